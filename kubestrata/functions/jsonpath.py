@@ -56,6 +56,10 @@ def _children(v: Column) -> Column:
     return F.coalesce(_array(v), F.map_values(_map(v)))
 
 
+def _member(cur: Column, key: str) -> Column:
+    return _present(F.transform(cur, lambda v: _get(v, key)))
+
+
 def _slice(v: Column, lo, hi, step: int) -> Column:
     arr = _array(v)
     n = F.size(arr)
@@ -161,7 +165,7 @@ def _steps(cur: Column, expr: str) -> Column:
             cur = _each(cur, _children)
         elif m["key"]:
             key = re.sub(r"\\(.)", r"\1", m["key"])
-            cur = _present(F.transform(cur, lambda v, k=key: _get(v, k)))
+            cur = _member(cur, key)
         elif m["brk"] is not None:
             cur = _bracket(cur, m["brk"])
     return cur

@@ -32,6 +32,16 @@ def or_none(col) -> Column:
     return F.coalesce(F.nullif(_c(col), F.lit("")), F.lit("<none>"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def record(**fields) -> Column:
+    """struct with explicit names; safe inside nested lambdas."""
+    return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
+
+
 # ------------------------------------------------------------------- time
 
 _RFC3339 = "^(\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?)(Z|[+-]\\d{2}:\\d{2})$"
@@ -45,7 +55,9 @@ def rfc3339(col) -> Column:
     hours = F.coalesce(F.substring(offset, 2, 2).try_cast("int"), F.lit(0)) * sign
     minutes = F.coalesce(F.substring(offset, 5, 2).try_cast("int"), F.lit(0)) * sign
     wall = F.nullif(F.regexp_extract(col, _RFC3339, 1), F.lit("")).try_cast("timestamp_ntz")
-    return wall - F.make_dt_interval(F.lit(0), hours, minutes)
+    # the common form needs no pattern work: the cast reads the wall clock and Z adds nothing
+    zulu = col.endswith("Z") & (F.length(col) >= 20) & (F.substring(col, 11, 1) == "T")
+    return F.when(zulu, col.try_cast("timestamp_ntz")).otherwise(wall - F.make_dt_interval(F.lit(0), hours, minutes))
 
 
 def at_literal(at) -> Column | None:
@@ -133,38 +145,42 @@ def div(a, n: int) -> Column:
 
 def age_text(created, ref) -> Column:
     """Dashboard age: 14d, 3h12m, 5m, 9s; '' when unknown, 0s when negative."""
-    us = micros_between(created, ref)
-    s = F.floor(us / 1_000_000)
-    over = lambda limit: us > limit * 1_000_000
-    return (
-        F.when(_c(created).isNull(), "")
-        .when(us < 0, "0s")
-        .when(over(48 * 3600), _txt(div(s, 86400), "d"))
-        .when(over(3600), _txt(div(s, 3600), "h", div(s % 3600, 60), "m"))
-        .when(over(60), _txt(div(s, 60), "m"))
-        .otherwise(_txt(s, "s"))
-    )
+    def text(us: Column) -> Column:
+        s = F.floor(us / 1_000_000)
+        over = lambda limit: us > limit * 1_000_000
+        return (
+            F.when(us.isNull(), "")
+            .when(us < 0, "0s")
+            .when(over(48 * 3600), _txt(div(s, 86400), "d"))
+            .when(over(3600), _txt(div(s, 3600), "h", div(s % 3600, 60), "m"))
+            .when(over(60), _txt(div(s, 60), "m"))
+            .otherwise(_txt(s, "s"))
+        )
+
+    return let(micros_between(created, ref), text)
 
 
 def age_short(created, ref) -> Column:
     """Column age as kubectl prints it: 90s, 5m30s, 170m, 7h5m, 47h, 7d3h, 400d, 3y20d."""
-    s = seconds_between(created, ref)
-    m, h = div(s, 60), div(s, 3600)
-    d = div(h, 24)
-    two = lambda big, bu, small, su: F.when(small == 0, _txt(big, bu)).otherwise(_txt(big, bu, small, su))
-    return (
-        F.when(_c(created).isNull(), "<unknown>")
-        .when(s < -1, "<invalid>").when(s < 0, "0s")
-        .when(s < 120, _txt(s, "s"))
-        .when(m < 10, two(m, "m", s % 60, "s"))
-        .when(m < 180, _txt(m, "m"))
-        .when(h < 8, two(h, "h", m % 60, "m"))
-        .when(h < 48, _txt(h, "h"))
-        .when(h < 192, two(d, "d", h % 24, "h"))
-        .when(h < 24 * 365 * 2, _txt(d, "d"))
-        .when(h < 24 * 365 * 8, two(div(d, 365), "y", d % 365, "d"))
-        .otherwise(_txt(div(d, 365), "y"))
-    )
+    def text(s: Column) -> Column:
+        m, h = div(s, 60), div(s, 3600)
+        d = div(h, 24)
+        two = lambda big, bu, small, su: F.when(small == 0, _txt(big, bu)).otherwise(_txt(big, bu, small, su))
+        return (
+            F.when(s.isNull(), "<unknown>")
+            .when(s < -1, "<invalid>").when(s < 0, "0s")
+            .when(s < 120, _txt(s, "s"))
+            .when(m < 10, two(m, "m", s % 60, "s"))
+            .when(m < 180, _txt(m, "m"))
+            .when(h < 8, two(h, "h", m % 60, "m"))
+            .when(h < 48, _txt(h, "h"))
+            .when(h < 192, two(d, "d", h % 24, "h"))
+            .when(h < 24 * 365 * 2, _txt(d, "d"))
+            .when(h < 24 * 365 * 8, two(div(d, 365), "y", d % 365, "d"))
+            .otherwise(_txt(div(d, 365), "y"))
+        )
+
+    return let(seconds_between(created, ref), text)
 
 
 # ------------------------------------------------------------------- json

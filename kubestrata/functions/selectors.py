@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kubestrata.functions.scalars import let
 from kubestrata.schema import FIELD_LABELS
 
 
@@ -122,30 +123,50 @@ def field_requirements(group: str, resource: str, selector: str) -> list[tuple[s
     return out
 
 
+def _paths_ddl(paths: set[str]) -> str:
+    """DDL that reads exactly these dotted paths as text: a.b, a.c -> `a` STRUCT<`b`: STRING, `c`: STRING>."""
+    tree: dict = {}
+    for path in paths:
+        node = tree
+        for step in path.split("."):
+            node = node.setdefault(step, {})
+
+    def fields(node: dict, sep: str) -> str:
+        return ", ".join(f"`{k}`{sep}" + (f"STRUCT<{fields(v, ': ')}>" if v else "STRING") for k, v in sorted(node.items()))
+
+    return fields(tree, " ")
+
+
 def _field_text(obj: Column, path: str, default: str) -> Column:
-    raw = F.get_json_object(obj, "$." + path)
+    raw = obj
+    for step in path.split("."):
+        raw = raw[step]
     integral = F.regexp_replace(raw, "^(-?[0-9]+)\\.0+$", "$1")
     return F.coalesce(F.when(raw.rlike("^[\\[{]"), "").otherwise(integral), F.lit(default))
 
 
 def fields_match(obj, group: str, resource: str, selector: str) -> Column:
-    """AND of ``label=value`` / ``label!=value`` over the object's JSON text.
+    """AND of ``label=value`` / ``label!=value`` over the object's JSON text, which is decoded once.
 
     Unaccepted labels raise; accepted labels that have no readable path compare as ''.
     """
     obj = _c(obj)
     _, values, _ = _rules(group, resource)
-    cond = F.lit(True)
-    for label, op, want in field_requirements(group, resource, selector):
-        spec = values.get(label)
-        if spec is None:
+    terms = [(values.get(label), op, want) for label, op, want in field_requirements(group, resource, selector)]
+    paths = {p for spec, _, _ in terms if spec for p in (spec[0], *spec[2:])}
+
+    def matches(o: Column) -> Column:
+        cond = F.lit(True)
+        for spec, op, want in terms:
             got = F.lit("")
-        else:
-            got = _field_text(obj, spec[0], spec[1])
-            if len(spec) == 3:
-                got = F.coalesce(F.nullif(got, F.lit("")), _field_text(obj, spec[2], ""))
-        cond = cond & ((got == want) if op == "=" else (got != want))
-    return cond
+            if spec is not None:
+                got = _field_text(o, spec[0], spec[1])
+                if len(spec) == 3:
+                    got = F.coalesce(F.nullif(got, F.lit("")), _field_text(o, spec[2], ""))
+            cond = cond & ((got == want) if op == "=" else (got != want))
+        return cond
+
+    return let(F.from_json(obj, _paths_ddl(paths)), matches) if paths else matches(obj)
 
 
 def needs_full_object(group: str, resource: str, selector: str) -> bool:

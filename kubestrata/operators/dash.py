@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from kubestrata.functions.paths import api_path_cols, kind_of, log_path_cols
 from kubestrata.functions.scalars import (
-    age_text, at_literal, blank, first_non_empty, is_sidecar, line_count, micros_between, rfc3339, zero,
+    age_text, at_literal, blank, first_non_empty, is_sidecar, line_count, micros_between, record, rfc3339, zero,
 )
 from kubestrata.operators.change import as_yaml, pretty
 from kubestrata.operators.health import parse_pods
 from kubestrata.operators.select import get_object
 from kubestrata.operators.timetravel import explode_items, latest_at, namespace_counts
 from kubestrata.schema import (
-    BAD_WAITING_REASONS, CONFIG_DDL, POD_DDL, PREFERRED_TILES, VIRTUAL_MACHINES, WORKLOAD_DDL, WORKLOADS,
+    BAD_WAITING_REASONS, CONFIG_DDL, POD_DDL, POD_META_DDL, POD_MOUNTS_DDL, PREFERRED_TILES, VIRTUAL_MACHINES, WORKLOAD_DDL, WORKLOADS,
 )
 
 KEYS = ["capture_id", "path"]
@@ -335,14 +335,11 @@ def _card_spec(c: Column) -> Column:
     port = lambda p: F.concat(zero(p["containerPort"]).cast("string"), F.lit("/"), first_non_empty(p["protocol"], F.lit("TCP")),
                               F.when(blank(p["name"]) != "", F.concat(F.lit(" ("), p["name"], F.lit(")"))).otherwise(""))
     res = c["resources"]
-    return F.struct(
-        blank(c["name"]).alias("name"), blank(c["image"]).alias("image"),
-        blank(F.try_element_at(res["requests"], F.lit("cpu"))).alias("cpu_request"),
-        blank(F.try_element_at(res["limits"], F.lit("cpu"))).alias("cpu_limit"),
-        blank(F.try_element_at(res["requests"], F.lit("memory"))).alias("memory_request"),
-        blank(F.try_element_at(res["limits"], F.lit("memory"))).alias("memory_limit"),
-        F.array_compact(F.array(*probes)).alias("probes"),
-        F.coalesce(F.transform(c["ports"], port), F.array().cast("array<string>")).alias("ports"))
+    amount = lambda of, what: blank(F.try_element_at(res[of], F.lit(what)))
+    return record(
+        name=blank(c["name"]), image=blank(c["image"]), cpu_request=amount("requests", "cpu"), cpu_limit=amount("limits", "cpu"),
+        memory_request=amount("requests", "memory"), memory_limit=amount("limits", "memory"),
+        probes=F.array_compact(F.array(*probes)), ports=F.coalesce(F.transform(c["ports"], port), F.array().cast("array<string>")))
 
 
 def container_cards(objects: DataFrame, logs: DataFrame | None = None) -> DataFrame:
@@ -351,12 +348,13 @@ def container_cards(objects: DataFrame, logs: DataFrame | None = None) -> DataFr
     ``logs`` (capture_id, namespace, pod, container, previous, tail) adds the log tail and whether an earlier
     log exists.
     """
-    p = parse_pods(objects)
+    p = parse_pods(objects, POD_DDL)
     specs = F.concat(*[F.coalesce(F.transform(f"pod.spec.{f}", _card_spec), F.array()) for f in ("initContainers", "containers")])
-    rows = p.select("capture_id", "namespace", F.col("name").alias("pod"), specs.alias("_specs"),
+    # specs keyed by container name inside the row; for repeated names the last one counts
+    by_name = F.map_from_entries(F.transform(specs, lambda x: record(k=x["name"], v=x)))
+    rows = p.select("capture_id", "namespace", F.col("name").alias("pod"), by_name.alias("_specs"),
                     F.posexplode("health.containers").alias("pos", "c"))
-    spec = F.element_at(F.filter("_specs", lambda s: s["name"] == F.col("c.name")), -1)
-    rows = rows.withColumn("s", F.when(F.exists("_specs", lambda s: s["name"] == F.col("c.name")), spec))
+    rows = rows.withColumn("s", F.try_element_at("_specs", F.col("c.name")))
     c = lambda f: F.col(f"c.{f}")
     n = c("restart_count").cast("string")
     reason, code = c("state_reason"), c("last_exit_code").cast("string")
@@ -388,7 +386,7 @@ def container_cards(objects: DataFrame, logs: DataFrame | None = None) -> DataFr
 
 def pod_meta(objects: DataFrame) -> DataFrame:
     """Conditions with severity, labels, annotations and creation time per pod."""
-    p = objects.filter("resource = 'pods'").withColumn("o", F.from_json("obj", POD_DDL))
+    p = objects.filter("resource = 'pods'").withColumn("o", F.from_json("obj", POD_META_DDL))
     cond = lambda c: F.struct(blank(c["type"]).alias("type"), blank(c["status"]).alias("status"), blank(c["reason"]).alias("reason"),
                               F.when(c["status"] == "True", "good").when(c["status"] == "False", "bad").otherwise("neutral").alias("severity"))
     return p.select("capture_id", "namespace", "name", rfc3339(F.col("o.metadata.creationTimestamp")).alias("created_at"),
@@ -398,7 +396,7 @@ def pod_meta(objects: DataFrame) -> DataFrame:
 
 def pod_related(objects: DataFrame) -> DataFrame:
     """First owner, and configmaps, secrets and claims mounted as volumes."""
-    p = objects.filter("resource = 'pods'").withColumn("o", F.from_json("obj", POD_DDL))
+    p = objects.filter("resource = 'pods'").withColumn("o", F.from_json("obj", POD_MOUNTS_DDL))
     vol = lambda pick: F.filter(F.transform("o.spec.volumes", pick), lambda n: n.isNotNull() & (n != ""))
     owner = F.get(F.col("o.metadata.ownerReferences"), F.lit(0))
     return p.select("capture_id", "namespace", "name", owner["kind"].alias("owner_kind"), owner["name"].alias("owner_name"),

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kubestrata.functions.paths import api_path_cols
-from kubestrata.functions.scalars import blank, first_non_empty, minor_version, pod_prefix, reason_slug, zero
+from kubestrata.functions.scalars import (
+    blank, first_non_empty, let, minor_version, pod_prefix, reason_slug, record, zero,
+)
 from kubestrata.schema import (
     BAD_ISSUES, BENIGN_REASONS, DAEMON_SUGGESTION, DEPRECATED_APIS, ISSUE_PRIORITY, NODE_DDL, OBJECT_RULES,
-    OTHER_REASON_SUGGESTION, POD_DDL, REASON_RULES, REPLICA_SUGGESTION, VOLUME_DDL, WORKLOAD_DDL,
+    OTHER_REASON_SUGGESTION, POD_HEALTH_DDL, POD_RULES_DDL, REASON_RULES, REPLICA_SUGGESTION, VOLUME_DDL, WORKLOAD_DDL,
 )
 
 SEVERITIES = ["info", "warning", "critical"]
@@ -22,23 +24,22 @@ FINDING = ["capture_id", "rule_id", "severity", "category", "title", "kind", "na
 def _container(is_init: bool):
     def build(c: Column) -> Column:
         st = c["state"]
-        running, waiting, term = (st[k].isNotNull() for k in ("running", "waiting", "terminated"))
-        waiting, term = waiting & ~running, term & ~running & ~waiting
+        running = st["running"].isNotNull()
+        waiting = st["waiting"].isNotNull() & ~running
+        term = st["terminated"].isNotNull() & ~running & st["waiting"].isNull()
         last = c["lastState"]["terminated"]
         code = F.when(term, zero(st["terminated"]["exitCode"])).otherwise(0)
         reason = F.when(waiting, blank(st["waiting"]["reason"])).when(term, blank(st["terminated"]["reason"])).otherwise("")
-        counts = waiting | (term & (F.lit(not is_init) | (zero(st["terminated"]["exitCode"]) != 0)))
-        return F.struct(
-            blank(c["name"]).alias("name"), blank(c["image"]).alias("image"),
-            F.coalesce(c["ready"], F.lit(False)).alias("ready"), zero(c["restartCount"]).alias("restart_count"),
-            F.lit(is_init).alias("is_init"),
-            F.when(running, "Running").when(waiting, "Waiting").when(term, "Terminated").otherwise("").alias("state"),
-            reason.alias("state_reason"),
-            F.when(waiting, blank(st["waiting"]["message"])).when(term, blank(st["terminated"]["message"]))
-            .otherwise("").alias("state_message"),
-            blank(last["reason"]).alias("last_terminated"),
-            F.when((code == 0) & last.isNotNull(), zero(last["exitCode"])).otherwise(code).alias("last_exit_code"),
-            F.when(counts, reason).otherwise("").alias("issue"),
+        excused = F.lit(is_init) & term & (code == 0)
+        return record(
+            name=blank(c["name"]), image=blank(c["image"]), ready=F.coalesce(c["ready"], F.lit(False)),
+            restart_count=zero(c["restartCount"]), is_init=is_init,
+            state=F.when(running, "Running").when(waiting, "Waiting").when(term, "Terminated").otherwise(""),
+            state_reason=reason,
+            state_message=F.when(waiting, blank(st["waiting"]["message"])).when(term, blank(st["terminated"]["message"])).otherwise(""),
+            last_terminated=blank(last["reason"]),
+            last_exit_code=F.when((code == 0) & last.isNotNull(), zero(last["exitCode"])).otherwise(code),
+            issue=F.when(excused, "").otherwise(reason),
         )
 
     return build
@@ -46,34 +47,34 @@ def _container(is_init: bool):
 
 def health_of(status: Column) -> Column:
     """struct<phase, issues, ready, total, restarts, containers> of a parsed pod status."""
-    parts = [
+    containers = F.concat(*[
         F.coalesce(F.transform(status[name], _container(init)), F.array())
         for name, init in (("initContainerStatuses", True), ("containerStatuses", False))
-    ]
-    containers = F.concat(*parts)
+    ])
     phase = blank(status["phase"])
     from_phase = F.when(phase.isin("Failed", "Unknown"), F.array(phase)).otherwise(F.array().cast("array<string>"))
-    issues = F.array_distinct(F.filter(
-        F.concat(from_phase, F.transform(containers, lambda c: c["issue"])), lambda x: x != ""))
-    return F.struct(
-        phase.alias("phase"), issues.alias("issues"),
-        F.size(F.filter(containers, lambda c: c["ready"])).alias("ready"), F.size(containers).alias("total"),
-        F.aggregate(containers, F.lit(0), lambda a, c: a + c["restart_count"]).alias("restarts"),
-        containers.alias("containers"),
-    )
+
+    def summed(cs: Column) -> Column:
+        issues = F.filter(F.concat(from_phase, F.transform(cs, lambda c: c["issue"])), lambda x: x != "")
+        return record(
+            phase=phase, issues=F.array_distinct(issues), ready=F.size(F.filter(cs, lambda c: c["ready"])), total=F.size(cs),
+            restarts=F.aggregate(cs, F.lit(0), lambda a, c: a + c["restart_count"]), containers=cs)
+
+    return let(containers, summed)
 
 
 def classify(obj) -> Column:
     """Health of a pod's JSON text."""
     obj = F.col(obj) if isinstance(obj, str) else obj
-    return health_of(F.from_json(obj, POD_DDL)["status"])
+    return let(F.from_json(obj, POD_HEALTH_DDL), lambda p: health_of(p["status"]))
 
 
-def parse_pods(objects: DataFrame) -> DataFrame:
-    """Pod objects with the parsed payload ``pod`` and the evaluated ``health``; rules share both."""
+def parse_pods(objects: DataFrame, ddl: str = POD_HEALTH_DDL) -> DataFrame:
+    """Pod objects with the parsed payload ``pod`` (as far as ``ddl`` says) and the evaluated ``health``."""
     pods = objects.filter(F.col("resource") == "pods") if "resource" in objects.columns else objects
-    parsed = pods.withColumn("pod", F.from_json("obj", POD_DDL))
-    return parsed.withColumn("health", health_of(F.col("pod.status")))
+    # one-row generators: later filters and projections cannot pull the parse in and repeat it
+    parsed = pods.select("*", F.explode(F.array(F.from_json("obj", ddl))).alias("pod"))
+    return parsed.select("*", F.explode(F.array(health_of(F.col("pod.status")))).alias("health"))
 
 
 def pod_health(objects: DataFrame) -> DataFrame:
@@ -88,76 +89,116 @@ def owner_of(meta: Column) -> Column:
 
 
 # -------------------------------------------------------------------- rules
+# A rule is a Column: the array of findings of one parsed object. ``split`` separates findings that must not
+# be grouped under one owner. Rules are exploded together, so any number of them costs one pass and one shuffle.
 
-def reason_rule(reason) -> Column:
-    """struct<rule_id, severity, title, suggestion> of a pod reason; null for benign ones."""
-    reason = F.col(reason) if isinstance(reason, str) else reason
+def _found(rule: str | Column, title, kind, name, evidence, severity=None, category=None, suggestion=None, split="") -> Column:
+    if isinstance(rule, str) and rule in OBJECT_RULES:
+        severity, category, suggestion = OBJECT_RULES[rule]
+    return record(rule_id=rule, severity=severity, category=category, title=title, kind=kind, name=name, evidence=evidence,
+                  suggestion=suggestion, split=split)
 
-    def rule(rule_id, severity, title, suggestion) -> Column:
-        cols = [x if isinstance(x, Column) else F.lit(x) for x in (rule_id, severity, title, suggestion)]
-        return F.struct(*[c.alias(n) for c, n in zip(cols, ("rule_id", "severity", "title", "suggestion"))])
 
-    first = F.when(reason.isin(BENIGN_REASONS) | reason.isNull(), F.lit(None))
-    known = reduce(lambda acc, r: acc.when(reason.isin(r[0]), rule(*r[1:])), REASON_RULES, first)
-    return known.otherwise(rule(F.concat(F.lit("pod."), reason_slug(reason)), "warning", reason, OTHER_REASON_SUGGESTION))
+def reason_rule(reason: Column, name: Column) -> Column:
+    """Finding of a pod reason; null for benign ones."""
+    def found(rule, severity, title, suggestion) -> Column:
+        return _found(rule, title, "Pod", name, reason, severity, "workload", suggestion)
 
+    benign = F.when(reason.isin(BENIGN_REASONS), F.lit(None))
+    known = reduce(lambda acc, r: acc.when(reason.isin(r[0]), found(*r[1:])), REASON_RULES, benign)
+    return known.otherwise(found(F.concat(F.lit("pod."), reason_slug(reason)), "warning", reason, OTHER_REASON_SUGGESTION))
 
-def _position(df: DataFrame) -> str:
-    return "position" if "position" in df.columns else "name"
 
+def _pod_health(pod: Column, health: Column) -> Column:
+    owner = owner_of(pod["metadata"])
+    return F.filter(F.transform(health["issues"], lambda r: reason_rule(r, owner)), lambda f: f.isNotNull())
 
-def _grouped(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One finding per group with its size; the first row in order represents it (map-side combined)."""
-    rest = [c for c in FINDING if c not in keys and c != "count"]
-    g = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"), F.count("*").alias("count"))
-    return g.select(*[F.col(c) if c in keys or c == "count" else F.col("_f")[c].alias(c) for c in FINDING])
 
+def _unschedulable(pod: Column) -> Column:
+    owner = owner_of(pod["metadata"])
+    refused = F.filter(pod["status"]["conditions"], lambda c: (c["type"] == "PodScheduled") & (c["status"] == "False"))
 
-def _finding(rows: DataFrame, rule: str | None = None, **cols) -> DataFrame:
-    """Rows with the finding columns set; rule fills severity, category and suggestion from the table."""
-    if rule:
-        severity, category, suggestion = OBJECT_RULES[rule]
-        cols = {"rule_id": rule, "severity": severity, "category": category, "suggestion": suggestion} | cols
-    cols = {"count": F.lit(1).cast("bigint")} | cols
-    return rows.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in cols.items()})
+    def found(c: Column) -> Column:
+        why = first_non_empty(c["message"], c["reason"])
+        return _found("scheduling.unschedulable", "Pod cannot be scheduled", "Pod", owner, why, split=why)
+
+    return F.when(pod["status"]["phase"] == "Pending", F.transform(refused, found))
+
+
+def _missing_resources(pod: Column) -> Column:
+    owner = owner_of(pod["metadata"])
+    containers = pod["spec"]["containers"]
+
+    def lacks(what: str) -> Column:
+        none = F.exists(containers, lambda c: F.coalesce(F.size(c["resources"][what]), F.lit(0)) < 1)
+        return F.when(none, _found(f"workload.no-{what}", f"Container without resource {what}", "Pod", owner,
+                                   f"a container has no resources.{what}"))
+
+    return F.array_compact(F.array(lacks("requests"), lacks("limits")))
+
+
+def _unbound_pvc(o: Column) -> Column:
+    phase = blank(o["status"]["phase"])
+    text = F.concat(F.lit("phase="), phase, F.lit(", storageClass="), F.coalesce(o["spec"]["storageClassName"], F.lit("(default)")))
+    return F.when(~phase.isin("Bound", ""), F.array(_found(
+        "storage.pvc-unbound", "PersistentVolumeClaim not bound", "PersistentVolumeClaim", blank(o["metadata"]["name"]), text)))
+
+
+_WORKLOAD_KINDS = {"deployments": "Deployment", "statefulsets": "StatefulSet", "replicasets": "ReplicaSet", "daemonsets": "DaemonSet"}
+
+
+def _replica_shortfall(o: Column, resource: Column, path: Column) -> Column:
+    daemon = resource == "daemonsets"
+    st = o["status"]
+    want = F.when(daemon, zero(st["desiredNumberScheduled"])).otherwise(F.coalesce(o["spec"]["replicas"], F.lit(1)))
+    have = F.when(daemon, zero(st["numberReady"])).otherwise(F.greatest(zero(st["readyReplicas"]), zero(st["availableReplicas"])))
+    kind = F.create_map(*[F.lit(x) for kv in _WORKLOAD_KINDS.items() for x in kv])[resource]
+    text = F.concat(have.cast("string"), F.lit("/"), want.cast("string"), F.when(daemon, " nodes ready").otherwise(" replicas ready"))
+    return F.when((want > 0) & (have < want), F.array(_found(
+        "workload.replicas-unavailable", F.concat(kind, F.lit(" not fully available")), kind, blank(o["metadata"]["name"]), text,
+        "warning", "workload", F.when(daemon, DAEMON_SUGGESTION).otherwise(REPLICA_SUGGESTION), split=path)))
+
+
+def _node_conditions(o: Column, path: Column) -> Column:
+    name = blank(o["metadata"]["name"])
+
+    def found(c: Column) -> Column:
+        t, s = blank(c["type"]), blank(c["status"])
+        down = _found("node.not-ready", "Node not Ready", "Node", name, F.concat(F.lit("Ready condition is "), s), split=path)
+        tight = _found("node.pressure", F.concat(F.lit("Node under "), t), "Node", name, F.concat(t, F.lit(" is True")),
+                       split=F.concat(path, t))
+        pressure = t.isin("DiskPressure", "MemoryPressure", "PIDPressure") & (s == "True")
+        return F.when((t == "Ready") & (s != "True"), down).when(pressure, tight)
+
+    return F.filter(F.transform(o["status"]["conditions"], found), lambda f: f.isNotNull())
+
+
+def _collect(objects: DataFrame, findings: Column) -> DataFrame:
+    """Explode the findings and group them: the first in (path, position) order represents its group."""
+    pos = F.col("position") if "position" in objects.columns else F.lit(0)
+    rows = objects.select("capture_id", "path", "namespace", pos.alias("_pos"), F.posexplode(findings).alias("_i", "_f"))
+    keys = ["rule_id", "name", "split"]
+    rest = ["severity", "category", "title", "kind", "evidence", "suggestion"]
+    rows = rows.select("capture_id", "path", "namespace", "_pos", "_i", *[f"_f.{c}" for c in keys + rest])
+    grouped = rows.groupBy("capture_id", "namespace", *keys).agg(
+        F.min_by(F.struct("path", *rest), F.struct("path", "_pos", "_i")).alias("_f"), F.count("*").alias("count"))
+    own = {"capture_id", "namespace", "count", *keys}
+    return grouped.select(*[F.col(c) if c in own else F.col("_f")[c].alias(c) for c in FINDING])
 
 
 def find_pod_health(pods: DataFrame) -> DataFrame:
     """Per (rule, path namespace, owner) one finding with the number of affected pods."""
-    pos = _position(pods)
-    rows = pods.select(
-        "capture_id", "path", "namespace", F.col(pos).alias("_pos"), owner_of(F.col("pod.metadata")).alias("name"),
-        F.posexplode("health.issues").alias("_i", "evidence")).withColumn("_r", reason_rule("evidence"))
-    rows = _finding(rows.filter("_r IS NOT NULL").select("*", "_r.*"), category="workload", kind="Pod")
-    return _grouped(rows, ["capture_id", "rule_id", "namespace", "name"], ["path", "_pos", "_i"])
+    return _collect(pods, _pod_health(F.col("pod"), F.col("health")))
 
 
 def find_unschedulable(pods: DataFrame) -> DataFrame:
-    pos = _position(pods)
-    rows = pods.filter(F.col("pod.status.phase") == "Pending").select(
-        "capture_id", "path", "namespace", F.col(pos).alias("_pos"), owner_of(F.col("pod.metadata")).alias("name"),
-        F.explode("pod.status.conditions").alias("c")).filter("c.type = 'PodScheduled' AND c.status = 'False'")
-    rows = _finding(rows, "scheduling.unschedulable", title="Pod cannot be scheduled", kind="Pod",
-                    evidence=first_non_empty("c.message", "c.reason"))
-    return _grouped(rows, ["capture_id", "rule_id", "namespace", "name", "evidence"], ["path", "_pos"])
+    """Pending pods the scheduler refused, per owner and message."""
+    return _collect(pods, _unschedulable(F.col("pod")))
 
 
 def find_missing_resources(pods: DataFrame) -> DataFrame:
     """Owners with a container lacking requests (warning) or limits (info)."""
-    pos = _position(pods)
-    lacks = lambda k: F.exists("pod.spec.containers", lambda c: F.coalesce(F.size(c["resources"][k]), F.lit(0)) < 1)
-    base = pods.filter(F.size("pod.spec.containers") > 0).select(
-        "capture_id", "path", "namespace", F.col(pos).alias("_pos"), owner_of(F.col("pod.metadata")).alias("name"),
-        F.explode(F.array(
-            F.when(lacks("requests"), F.lit("requests")), F.when(lacks("limits"), F.lit("limits")))).alias("_what"),
-    ).filter("_what IS NOT NULL")
-    pick = lambda i: F.when(F.col("_what") == "requests", OBJECT_RULES["workload.no-requests"][i]).otherwise(
-        OBJECT_RULES["workload.no-limits"][i])
-    rows = _finding(
-        base, rule_id=F.concat(F.lit("workload.no-"), "_what"), severity=pick(0), category=pick(1), suggestion=pick(2),
-        title=F.concat(F.lit("Container without resource "), "_what"), kind="Pod",
-        evidence=F.concat(F.lit("a container has no resources."), "_what"))
-    return _grouped(rows, ["capture_id", "rule_id", "namespace", "name"], ["path", "_pos"])
+    return _collect(pods, _missing_resources(F.col("pod")))
 
 
 def _of(objects: DataFrame, *resources: str) -> DataFrame:
@@ -165,64 +206,34 @@ def _of(objects: DataFrame, *resources: str) -> DataFrame:
 
 
 def find_unbound_pvc(objects: DataFrame) -> DataFrame:
-    rows = _of(objects, "persistentvolumeclaims").select(
-        "capture_id", "path", "namespace", F.from_json("obj", VOLUME_DDL).alias("o"))
-    phase = blank("o.status.phase")
-    rows = rows.filter(~phase.isin("Bound", "")).withColumn("name", blank("o.metadata.name"))
-    rows = _finding(
-        rows, "storage.pvc-unbound", title="PersistentVolumeClaim not bound", kind="PersistentVolumeClaim",
-        evidence=F.concat(F.lit("phase="), phase, F.lit(", storageClass="),
-                          F.coalesce("o.spec.storageClassName", F.lit("(default)"))))
-    return _grouped(rows, ["capture_id", "rule_id", "namespace", "name"], ["path"])
+    return _collect(_of(objects, "persistentvolumeclaims"), let(F.from_json("obj", VOLUME_DDL), _unbound_pvc))
+
+
+def find_replica_shortfall(objects: DataFrame) -> DataFrame:
+    """Workloads with fewer ready replicas than wanted; a missing replica count means 1."""
+    return _collect(_of(objects, *_WORKLOAD_KINDS), let(
+        F.from_json("obj", WORKLOAD_DDL), lambda o: _replica_shortfall(o, F.col("resource"), F.col("path"))))
 
 
-def _nodes(objects: DataFrame) -> DataFrame:
-    return _of(objects, "nodes").select("capture_id", "path", F.from_json("obj", NODE_DDL).alias("o")).withColumns(
-        {"name": blank("o.metadata.name"), "namespace": F.lit(""), "kind": F.lit("Node")})
+def find_node_conditions(objects: DataFrame) -> DataFrame:
+    """Nodes not ready (critical) or under disk, memory or PID pressure (warning)."""
+    return _collect(_of(objects, "nodes"), let(F.from_json("obj", NODE_DDL), lambda o: _node_conditions(o, F.col("path"))))
 
 
 def find_version_skew(objects: DataFrame, captures: DataFrame) -> DataFrame:
     """Nodes whose kubelet is 3 or more minor versions away from the control plane."""
     plane = captures.select("capture_id", F.col("kubernetes_version").alias("_v"))
-    kubelet = F.col("o.status.nodeInfo.kubeletVersion")
-    rows = _nodes(objects).join(plane, "capture_id").withColumn(
-        "_skew", F.abs(minor_version("_v") - minor_version(kubelet))).filter("_skew >= 3")
-    text = F.concat(F.lit("control plane "), "_v", F.lit(", kubelet "), kubelet, F.lit(" ("),
-                    F.col("_skew").cast("string"), F.lit(" minor versions apart)"))
-    return _finding(rows, "cluster.version-skew", title="Node/control-plane version skew", evidence=text).select(*FINDING)
+    rows = _of(objects, "nodes").join(plane, "capture_id")
 
+    def found(o: Column) -> Column:
+        kubelet = o["status"]["nodeInfo"]["kubeletVersion"]
+        skew = F.abs(minor_version("_v") - minor_version(kubelet))
+        text = F.concat(F.lit("control plane "), F.col("_v"), F.lit(", kubelet "), kubelet, F.lit(" ("), skew.cast("string"),
+                        F.lit(" minor versions apart)"))
+        return F.when(skew >= 3, F.array(_found("cluster.version-skew", "Node/control-plane version skew", "Node",
+                                                blank(o["metadata"]["name"]), text, split=F.col("path"))))
 
-def find_replica_shortfall(objects: DataFrame) -> DataFrame:
-    """Workloads with fewer ready replicas than wanted; a missing replica count means 1."""
-    kinds = {"deployments": "Deployment", "statefulsets": "StatefulSet", "replicasets": "ReplicaSet",
-             "daemonsets": "DaemonSet"}
-    rows = _of(objects, *kinds).select(
-        "capture_id", "path", "namespace", "resource", F.from_json("obj", WORKLOAD_DDL).alias("o"))
-    daemon = F.col("resource") == "daemonsets"
-    st = F.col("o.status")
-    want = F.when(daemon, zero(st["desiredNumberScheduled"])).otherwise(F.coalesce(F.col("o.spec.replicas"), F.lit(1)))
-    have = F.when(daemon, zero(st["numberReady"])).otherwise(
-        F.greatest(zero(st["readyReplicas"]), zero(st["availableReplicas"])))
-    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("resource")]
-    rows = rows.withColumns({"_want": want, "_have": have, "kind": kind, "name": blank("o.metadata.name")}).filter(
-        "_want > 0 AND _have < _want")
-    unit = F.when(daemon, " nodes ready").otherwise(" replicas ready")
-    return _finding(
-        rows, rule_id="workload.replicas-unavailable", severity="warning", category="workload",
-        title=F.concat("kind", F.lit(" not fully available")),
-        evidence=F.concat(F.col("_have").cast("string"), F.lit("/"), F.col("_want").cast("string"), unit),
-        suggestion=F.when(daemon, DAEMON_SUGGESTION).otherwise(REPLICA_SUGGESTION)).select(*FINDING)
-
-
-def find_node_conditions(objects: DataFrame) -> DataFrame:
-    """Nodes not ready (critical) or under disk, memory or PID pressure (warning)."""
-    rows = _nodes(objects).select("*", F.explode("o.status.conditions").alias("c")).withColumns(
-        {"_t": blank("c.type"), "_s": blank("c.status")})
-    down = _finding(rows.filter("_t = 'Ready' AND _s <> 'True'"), "node.not-ready", title="Node not Ready",
-                    evidence=F.concat(F.lit("Ready condition is "), "_s"))
-    tight = _finding(rows.filter("_t IN ('DiskPressure','MemoryPressure','PIDPressure') AND _s = 'True'"),
-                     "node.pressure", title=F.concat(F.lit("Node under "), "_t"), evidence=F.concat("_t", F.lit(" is True")))
-    return down.select(*FINDING).unionByName(tight.select(*FINDING))
+    return _collect(rows, let(F.from_json("obj", NODE_DDL), found))
 
 
 def find_deprecated_api(index: DataFrame) -> DataFrame:
@@ -233,8 +244,27 @@ def find_deprecated_api(index: DataFrame) -> DataFrame:
     rows = index.filter(~F.col("path").contains("?") & (c["group"] != "")).select(
         "capture_id", "path", gv.alias("_gv"), c["resource"].alias("kind"), F.try_element_at(notes, gv).alias("_note"),
     ).filter("_note IS NOT NULL").groupBy("capture_id", "_gv", "kind", "_note").agg(F.min("path").alias("path"))
-    return _finding(rows, "cluster.deprecated-api", title="Deprecated API in use", namespace="", name="",
-                    evidence=F.concat("_gv", F.lit(" "), "kind", F.lit(" — "), "_note")).select(*FINDING)
+    severity, category, suggestion = OBJECT_RULES["cluster.deprecated-api"]
+    lits = {"rule_id": "cluster.deprecated-api", "severity": severity, "category": category, "suggestion": suggestion,
+            "title": "Deprecated API in use", "namespace": "", "name": ""}
+    return rows.withColumns({k: F.lit(v) for k, v in lits.items()}).withColumns({
+        "evidence": F.concat("_gv", F.lit(" "), "kind", F.lit(" — "), "_note"), "count": F.lit(1).cast("bigint")}).select(*FINDING)
+
+
+def object_findings(objects: DataFrame) -> DataFrame:
+    """All object rules in one pass and one shuffle; each row is parsed with the schema of its own kind."""
+    res, path = F.col("resource"), F.col("path")
+
+    def pod_rules(pod: Column) -> Column:
+        return let(health_of(pod["status"]), lambda h: F.concat(*[
+            F.coalesce(x, F.array()) for x in (_pod_health(pod, h), _unschedulable(pod), _missing_resources(pod))]))
+
+    findings = (
+        F.when(res == "pods", let(F.from_json("obj", POD_RULES_DDL), pod_rules))
+        .when(res == "persistentvolumeclaims", let(F.from_json("obj", VOLUME_DDL), _unbound_pvc))
+        .when(res == "nodes", let(F.from_json("obj", NODE_DDL), lambda o: _node_conditions(o, path)))
+        .when(res.isin(list(_WORKLOAD_KINDS)), let(F.from_json("obj", WORKLOAD_DDL), lambda o: _replica_shortfall(o, res, path))))
+    return _collect(_of(objects, "pods", "persistentvolumeclaims", "nodes", *_WORKLOAD_KINDS), findings)
 
 
 # ------------------------------------------------------------------- report
@@ -245,10 +275,8 @@ def severity_rank(severity) -> Column:
 
 def diagnose(objects: DataFrame, index: DataFrame | None = None, captures: DataFrame | None = None,
              min_severity: str = "info", category: str | None = None) -> DataFrame:
-    """All rules over one reconstructed state (persist it before calling), worst first."""
-    pods = parse_pods(objects)
-    parts = [find_pod_health(pods), find_unschedulable(pods), find_missing_resources(pods), find_unbound_pvc(objects),
-             find_replica_shortfall(objects), find_node_conditions(objects)]
+    """All rules over one reconstructed state, worst first. With captures the nodes are read a second time."""
+    parts = [object_findings(objects)]
     if captures is not None:
         parts.append(find_version_skew(objects, captures))
     if index is not None:

@@ -151,8 +151,8 @@ def _labels_ok(selector: str, labels: dict) -> bool:
     return all(test[op](labels.get(k), vals) for k, op, vals in label_requirements(selector))
 
 
-def _apply(obj: dict, kind: str, rule: Rule, path: list) -> int:
-    declared = rule.value_type or schema_type(kind, path)
+def _apply(obj: dict, kind: str, rule: Rule, path: list, types: dict) -> int:
+    declared = rule.value_type or types.get(kind.removesuffix("List"))
     return replace_at(obj, path, lambda old: convert(rule.replacement, declared or runtime_type(old)))[1]
 
 
@@ -165,7 +165,7 @@ def _in_scope(rule: Rule, obj: dict, strict_namespace: bool) -> bool:
     return _labels_ok(rule.label_selector, {k: v for k, v in labels.items() if isinstance(v, str)})
 
 
-def mask_fields(text: str, rules: list[tuple[Rule, list]]) -> str | None:
+def mask_fields(text: str, rules: list[tuple[Rule, list, dict]]) -> str | None:
     """Masked body, or None when nothing matched. Lists are handled per item, and only there does a missing
     namespace fail a namespace rule."""
     try:
@@ -176,27 +176,35 @@ def mask_fields(text: str, rules: list[tuple[Rule, list]]) -> str | None:
         return None
     kind = body.get("kind") if isinstance(body.get("kind"), str) else ""
     hits = 0
-    for rule, path in rules:
+    for rule, path, types in rules:
         if rule.kind not in ("", "*", kind, kind.removesuffix("List") if kind.endswith("List") else kind):
             continue
         if kind.endswith("List"):
             items = body.get("items")
             for item in items if isinstance(items, list) else ():
                 if isinstance(item, dict) and _in_scope(rule, item, True):
-                    hits += _apply(item, item.get("kind") or kind.removesuffix("List"), rule, path)
+                    hits += _apply(item, item.get("kind") or kind.removesuffix("List"), rule, path, types)
         elif _in_scope(rule, body, False):
-            hits += _apply(body, kind, rule, path)
+            hits += _apply(body, kind, rule, path, types)
     return json.dumps(body, ensure_ascii=False, separators=(",", ":")) if hits else None
 
 
+def compile_rules(rules: list[Rule]) -> list[tuple[Rule, list, dict]]:
+    """(rule, path, declared type per known kind), worked out once on the driver."""
+    out = []
+    for r in rules:
+        if path := tokens(r.field_path):
+            out.append((r, path, {k: t for k in FIELD_TYPES if (t := schema_type(k, path))}))
+    return out
+
+
 def redact_fields(records: DataFrame, rules: list[Rule], body: str = "body") -> DataFrame:
     """Field rules applied to bodies; ``fields_masked`` flags changed rows.
 
     Only rows of a kind some rule names reach the Arrow-batched rewrite; replacements are checked here.
     """
-    compiled = [(r, tokens(r.field_path)) for r in rules]
-    compiled = [(r, p) for r, p in compiled if p]
-    for r, _ in compiled:
+    compiled = compile_rules(rules)
+    for r, _, _ in compiled:
         if r.value_type:
             convert(r.replacement, r.value_type)
 
@@ -205,7 +213,7 @@ def redact_fields(records: DataFrame, rules: list[Rule], body: str = "body") ->
         for texts in batches:
             yield texts.map(lambda t: mask_fields(t, compiled))
 
-    kinds = {r.kind for r, _ in compiled}
+    kinds = {r.kind for r, _, _ in compiled}
     named = F.get_json_object(body, "$.kind")
     concerned = F.lit(bool(compiled)) if kinds & {"", "*"} or not kinds else named.isin(
         [k for kind in kinds for k in (kind, kind + "List")])

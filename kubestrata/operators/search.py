@@ -36,7 +36,7 @@ def _scoped(objects: DataFrame, resource: str | None, namespace: str | None) ->
 def query(objects: DataFrame, expression: str, resource: str | None = None, namespace: str | None = None) -> DataFrame:
     """One row per JSONPath result: match columns and ``value`` as JSON text. Missing keys give no row."""
     hits = _scoped(objects, resource, namespace).select(
-        *MATCH_COLUMNS, F.posexplode(F.transform(jsonpath.evaluate("obj", expression), F.to_json)).alias("n", "value"))
+        *MATCH_COLUMNS, F.posexplode(F.transform(jsonpath.evaluate("obj", expression), lambda v: F.to_json(v))).alias("n", "value"))
     return hits.select(*MATCH_COLUMNS, "n", F.coalesce("value", F.lit("null")).alias("value"))
 
 

@@ -9,7 +9,7 @@ from kubestrata.functions.ordered import shifted
 from kubestrata.functions.paths import api_path_cols, list_path
 from kubestrata.functions.scalars import blank, first_non_empty, item_count
 from kubestrata.operators.timetravel import latest_at
-from kubestrata.schema import CLUSTER_SCOPED, EXCLUDED_GROUPS, LIST_DDL, NATIVE_GROUPS, POD_DDL, TABLE_DDL
+from kubestrata.schema import CLUSTER_SCOPED, EXCLUDED_GROUPS, LIST_DDL, NATIVE_GROUPS, POD_NAMES_DDL, TABLE_DDL
 
 KEYS = ["capture_id", "path"]
 GVR = ["group", "version", "resource"]
@@ -210,7 +210,7 @@ def native_listable(catalog: DataFrame, captured: DataFrame) -> DataFrame:
 def log_targets(pods: DataFrame, previous: bool = True) -> DataFrame:
     """pod x (init containers, then containers) x {current, previous}; exploded inside the pod row."""
     p = pods.select("capture_id", first_non_empty("obj_namespace", "namespace").alias("namespace"), F.col("name").alias("pod"),
-                    F.from_json("obj", POD_DDL)["spec"].alias("s"))
+                    F.from_json("obj", POD_NAMES_DDL)["spec"].alias("s"))
     names = lambda f: F.coalesce(F.transform(f"s.{f}", lambda c: blank(c["name"])), F.array().cast("array<string>"))
     rows = p.select("capture_id", "namespace", "pod", F.posexplode(F.concat(names("initContainers"), names("containers"))).alias("pos", "container"))
     variants = F.array(F.lit(False), F.lit(True)) if previous else F.array(F.lit(False))

@@ -14,7 +14,7 @@ from kubestrata.functions.scalars import (
 )
 from kubestrata.operators.timetravel import latest_at
 from kubestrata.schema import (
-    CONFIG_DDL, CRD_DDL, ENDPOINTS_DDL, EVENT_DDL, NODE_DDL, POD_DDL, SERVICE_DDL, VOLUME_DDL, WORKLOAD_DDL,
+    CONFIG_DDL, CRD_DDL, ENDPOINTS_DDL, EVENT_DDL, NODE_DDL, POD_VIEW_DDL, SERVICE_DDL, VOLUME_DDL, WORKLOAD_DDL,
 )
 
 # cells read the parsed payload column ``o``
@@ -209,7 +209,7 @@ PRINTERS: dict[tuple[str, str], tuple[str, list[Col]]] = {
         *_wide(Col("Internal-IP", node_address("InternalIP")), Col("External-IP", node_address("ExternalIP")),
                Col("OS-Image", _s("status.nodeInfo.osImage")), Col("Kernel-Version", _s("status.nodeInfo.kernelVersion")),
                Col("Container-Runtime", _s("status.nodeInfo.containerRuntimeVersion")))]),
-    ("", "pods"): (POD_DDL, [
+    ("", "pods"): (POD_VIEW_DDL, [
         Col("Ready", pod_ready), Col("Status", pod_status), Col("Restarts", pod_restarts), AGE,
         *_wide(Col("IP", _none("status.podIP")), Col("Node", _none("spec.nodeName")),
                Col("Nominated Node", _none("status.nominatedNodeName")),

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores when the input has fewer splits than the cluster has slots.
+
+    A large table has far more splits than slots and is left as it is; a small file in one row group is not.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def txt(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -99,64 +108,42 @@ def kube_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -------------------------------------------------------------------- pods
 
-def _state(running=None, waiting=None, terminated=None, code=None) -> Column:
-    return F.struct(
-        F.when(running, F.struct(F.lit("2024-01-01T00:00:00Z").alias("startedAt"))).alias("running") if running is not None
-        else F.lit(None).cast("struct<startedAt:string>").alias("running"),
-        F.when(waiting.isNotNull(), F.struct(waiting.alias("reason"))).alias("waiting") if waiting is not None
-        else F.lit(None).cast("struct<reason:string>").alias("waiting"),
-        F.when(terminated.isNotNull(), F.struct(terminated.alias("reason"), code.alias("exitCode"))).alias("terminated") if terminated is not None
-        else F.lit(None).cast("struct<reason:string,exitCode:int>").alias("terminated"))
-
-
-def _status(name: str, ready: Column, restarts: Column, state: Column) -> Column:
-    return F.struct(F.lit(name).alias("name"), F.lit("").alias("image"), ready.alias("ready"), restarts.alias("restartCount"), state.alias("state"))
-
-
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pod per lineitem, built inside the row: main container, a sidecar for every third line number and
     an init container for every fourth."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     q = F.col("l_quantity").cast("int")
-    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
-    ns = txt("ns", F.col("l_suppkey") % 25)
+    flag, line, supp, part = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
+    ns = txt("ns", supp % 25)
     digest = F.substring(F.sha2(F.concat_ws("/", *[F.col(c).cast("string") for c in (
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]), 256), 1, 6)
     name = txt("app-o", F.col("l_orderkey") % 500, "-", digest)
     phase = F.when(q % 10 == 0, "Pending").when(q % 10 == 1, "Failed").when(q % 17 == 2, "Unknown").otherwise("Running")
-    crash, error = F.when(flag == "R", "CrashLoopBackOff"), F.when(flag == "A", "Error")
-    ready = (F.col("l_linestatus") == "O").cast("boolean")
-    main = _status("main", ready, q % 5, _state(flag == "N", crash, error, F.lit(1)))
-    side = F.when(line % 3 == 0, _status("envoy", F.lit(True), F.lit(0), _state(F.lit(True))))
-    oom = q % 7 == 0
-    init = F.when(line % 4 == 0, _status("setup", F.lit(False), F.lit(0), _state(
-        terminated=F.when(oom, "OOMKilled").otherwise("Completed"), code=F.when(oom, 137).otherwise(0))))
-    reqs = F.when(F.col("l_tax") >= 0.04, F.create_map(F.lit("cpu"), txt(q, "m")))
-    lims = F.when(F.col("l_partkey") % 3 == 0, F.create_map(F.lit("memory"), txt(q, "Mi")))
-    spec_main = F.struct(F.lit("main").alias("name"), txt("part:", F.col("l_partkey")).alias("image"),
-                         F.struct(reqs.alias("requests"), lims.alias("limits")).alias("resources"))
-    bare = lambda n, i, cond: F.when(cond, F.struct(F.lit(n).alias("name"), F.lit(i).alias("image"),
-                                                   F.struct(reqs.alias("requests"), lims.alias("limits")).alias("resources")))
-    pending = (phase == "Pending") & (F.col("l_discount") >= 0.08)
-    cond = F.when(pending, F.array(F.struct(F.lit("PodScheduled").alias("type"), F.lit("False").alias("status"),
-                                            F.lit("Unschedulable").alias("reason"), F.lit("insufficient cpu").alias("message"))))
-    vol = lambda f, k, v, c: F.when(c, F.struct(F.struct(v.alias(k)).alias(f)))
-    volumes = [
-        F.to_json(vol("configMap", "name", txt("part-", F.col("l_partkey")), F.lit(True))),
-        F.to_json(vol("secret", "secretName", txt("supp-", F.col("l_suppkey")), q % 2 == 0)),
-        F.to_json(vol("persistentVolumeClaim", "claimName", txt("claim-", F.col("l_suppkey") % 50), q % 3 == 0))]
+    iff = lambda cond, *parts: F.when(cond, txt(*parts)).otherwise("")
+    resources = txt('"resources":{"x":{}', iff(F.col("l_tax") >= 0.04, ',"requests":{"cpu":"', q, 'm"}'),
+                    iff(part % 3 == 0, ',"limits":{"memory":"', q, 'Mi"}'), "}")
+    spec = txt(
+        '{"nodeName":"node-', supp, '","containers":[{"name":"main","image":"part:', part, '",', resources, "}",
+        iff(line % 3 == 0, ',{"name":"envoy","image":"envoy:1",', resources, "}"), "]",
+        iff(line % 4 == 0, ',"initContainers":[{"name":"setup","image":"setup:1",', resources, "}]"),
+        ',"volumes":[{"configMap":{"name":"part-', part, '"}}', iff(q % 2 == 0, ',{"secret":{"secretName":"supp-', supp, '"}}'),
+        iff(q % 3 == 0, ',{"persistentVolumeClaim":{"claimName":"claim-', supp % 50, '"}}'), "]}")
+    state = (F.when(flag == "N", '{"running":{"startedAt":"2024-01-01T00:00:00Z"}}')
+             .when(flag == "R", '{"waiting":{"reason":"CrashLoopBackOff"}}').otherwise('{"terminated":{"reason":"Error","exitCode":1}}'))
+    done = F.when(q % 7 == 0, '"OOMKilled","exitCode":137').otherwise('"Completed","exitCode":0')
+    status = txt(
+        '{"phase":"', phase, '"',
+        iff((phase == "Pending") & (F.col("l_discount") >= 0.08),
+            ',"conditions":[{"type":"PodScheduled","status":"False","reason":"Unschedulable","message":"insufficient cpu"}]'),
+        ',"containerStatuses":[{"name":"main","ready":', F.col("l_linestatus") == "O", ',"restartCount":', q % 5, ',"state":', state, "}",
+        iff(line % 3 == 0, ',{"name":"envoy","ready":true,"restartCount":0,"state":{"running":{}}}'), "]",
+        iff(line % 4 == 0, ',"initContainerStatuses":[{"name":"setup","ready":false,"restartCount":0,"state":{"terminated":{"reason":', done, "}}}]"), "}")
+    obj = txt(
+        '{"metadata":{"name":"', name, '","namespace":"', ns, '","labels":{"flag":"', flag, '","line":"', line, '"},"creationTimestamp":"',
+        F.date_format("l_shipdate", "yyyy-MM-dd"), 'T00:00:00Z","ownerReferences":[{"kind":"ReplicaSet","name":"rs-',
+        F.col("l_orderkey") % 500, '"}]},"spec":', spec, ',"status":', status, "}")
     labels = F.create_map(F.lit("flag"), flag, F.lit("line"), line.cast("string"))
-    obj = F.struct(
-        F.struct(name.alias("name"), ns.alias("namespace"), labels.alias("labels"),
-                 F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creationTimestamp"),
-                 F.array(F.struct(F.lit("ReplicaSet").alias("kind"), txt("rs-", F.col("l_orderkey") % 500).alias("name"))).alias("ownerReferences")).alias("metadata"),
-        F.struct(txt("node-", F.col("l_suppkey")).alias("nodeName"),
-                 F.array_compact(F.array(spec_main, bare("envoy", "envoy:1", line % 3 == 0))).alias("containers"),
-                 F.array_compact(F.array(bare("setup", "setup:1", line % 4 == 0))).alias("initContainers"),
-                 F.transform(F.array_compact(F.array(*volumes)), F.parse_json).alias("volumes")).alias("spec"),
-        F.struct(phase.alias("phase"), cond.alias("conditions"), F.array_compact(F.array(main, side)).alias("containerStatuses"),
-                 F.array_compact(F.array(init)).alias("initContainerStatuses")).alias("status"))
-    return _objects(li, txt("/api/v1/namespaces/", ns, "/pods"), "", "v1", "pods", ns, name, F.to_json(obj), labels, F.col("l_orderkey"))
+    return _objects(li, txt("/api/v1/namespaces/", ns, "/pods"), "", "v1", "pods", ns, name, obj, labels, F.col("l_orderkey"))
 
 
 # --------------------------------------------------------------- workloads

@@ -72,6 +72,34 @@ POD_DDL = (
     f"conditions: ARRAY<{_CONDITION}>, containerStatuses: ARRAY<{_CONTAINER_STATUS}>, "
     f"initContainerStatuses: ARRAY<{_CONTAINER_STATUS}>>"
 )
+# Narrow pod schemas: a row is decoded only as far as its consumer reads.
+_OWNED = "metadata STRUCT<name: STRING, ownerReferences: ARRAY<STRUCT<kind: STRING, name: STRING>>"
+_STATUSES = f"containerStatuses: ARRAY<{_CONTAINER_STATUS}>, initContainerStatuses: ARRAY<{_CONTAINER_STATUS}>"
+POD_HEALTH_DDL = (
+    f"{_OWNED}, creationTimestamp: STRING, labels: MAP<STRING, STRING>>, spec STRUCT<nodeName: STRING>, "
+    f"status STRUCT<phase: STRING, podIP: STRING, qosClass: STRING, {_STATUSES}>"
+)
+POD_RULES_DDL = (
+    f"{_OWNED}>, spec STRUCT<containers: ARRAY<STRUCT<resources: STRUCT<requests: MAP<STRING, STRING>, "
+    f"limits: MAP<STRING, STRING>>>>>, status STRUCT<phase: STRING, conditions: ARRAY<{_CONDITION}>, {_STATUSES}>"
+)
+_REFS = (
+    "ARRAY<STRUCT<envFrom: ARRAY<STRUCT<configMapRef: STRUCT<name: STRING>, secretRef: STRUCT<name: STRING>>>, "
+    "env: ARRAY<STRUCT<valueFrom: STRUCT<configMapKeyRef: STRUCT<name: STRING>, secretKeyRef: STRUCT<name: STRING>>>>>>"
+)
+POD_MOUNTS_DDL = f"{_OWNED}>, spec STRUCT<volumes: ARRAY<{_VOLUME}>, containers: {_REFS}, initContainers: {_REFS}>"
+POD_NAMES_DDL = "spec STRUCT<containers: ARRAY<STRUCT<name: STRING>>, initContainers: ARRAY<STRUCT<name: STRING>>>"
+POD_VIEW_DDL = (
+    "metadata STRUCT<name: STRING, creationTimestamp: STRING, deletionTimestamp: STRING>, "
+    "spec STRUCT<nodeName: STRING, readinessGates: ARRAY<STRING>, containers: ARRAY<STRUCT<name: STRING>>>, "
+    "status STRUCT<phase: STRING, reason: STRING, podIP: STRING, nominatedNodeName: STRING, "
+    "containerStatuses: ARRAY<STRUCT<ready: BOOLEAN, restartCount: INT, state: STRUCT<waiting: STRUCT<reason: STRING>, "
+    "terminated: STRUCT<reason: STRING>>>>>"
+)
+POD_META_DDL = (
+    "metadata STRUCT<creationTimestamp: STRING, labels: MAP<STRING, STRING>, annotations: MAP<STRING, STRING>>, "
+    f"status STRUCT<conditions: ARRAY<{_CONDITION}>>"
+)
 # spec.selector stays text: it is a flat map for some kinds and a structured selector for others
 WORKLOAD_DDL = (
     f"{_META}, spec STRUCT<replicas: BIGINT, selector: STRING, completions: BIGINT, suspend: BOOLEAN, "
