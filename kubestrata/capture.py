@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kubestrata.functions.paths import list_path
 from kubestrata.functions.scalars import resolve_at
 from kubestrata.operators import change, dash, graph, health, overlay, redact, search, select, shape, timetravel, views
 from kubestrata.sources import records as rec
@@ -49,7 +50,15 @@ class Capture:
     def state(self, at=None) -> DataFrame:
         """Objects alive at an instant, overlay changes applied when the handle has some."""
         objects = timetravel.reconstruct_at(self.records, self._at(at))
-        return objects if self.changes is None else overlay.merge_overlay(objects, overlay.compact(self.changes))
+        if self.changes is None:
+            return objects
+        key = [*(["capture_id"] if "capture_id" in self.changes.columns else []), *overlay.KEY]
+        merged = overlay.merge_overlay(objects, overlay.compact(self.changes, key), key)
+        # identity is read again: a replaced object may carry other labels, an added one has no path yet
+        path = F.coalesce("path", list_path("group", "version", "resource", "obj_namespace"))
+        rows = merged.select("capture_id", path.alias("path"), "group", "version", "resource",
+                             F.coalesce("namespace", "obj_namespace").alias("namespace"), "position", "obj", "from_overlay")
+        return timetravel.with_identity(rows)
 
     def list(self, group, version, resource, namespace="", name=None, at=None, labels="", fields="") -> DataFrame:
         rows = timetravel.list_objects(self.state(at), group, version, resource, namespace, name)

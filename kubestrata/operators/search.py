@@ -92,9 +92,10 @@ def first_match(text, pattern: str, regex: bool = False) -> tuple[Column, Column
     if not regex:
         at = F.instr(text, F.lit(pattern))
         return F.when(at > 0, F.substring(text, F.lit(1), at - 1)), F.when(at > 0, F.lit(pattern))
-    at = F.regexp_instr(text, F.lit(pattern))
-    before = F.when(at > 0, F.substring(text, F.lit(1), at - 1))
-    return before, F.when(at > 0, F.regexp_extract(text, pattern, 0))
+    match = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 0))
+    # a split yields the text before the first match, except for an empty match at the very start
+    empty_at_start = (match == "") & text.rlike(f"\\A(?:{pattern})")
+    return F.when(empty_at_start, "").when(match.isNotNull(), F.get(F.split(text, pattern, 2), F.lit(0))), match
 
 
 def _char_edge(raw: Column, at: Column, step: int) -> Column:

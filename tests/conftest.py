@@ -25,7 +25,9 @@ from kubestrata.streaming.jobs import use_rocksdb  # noqa: E402
 def spark():
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "4g")
+        # tiny inputs: interpreting beats compiling; the query checks run with code generation
+        .config("spark.sql.codegen.wholeStage", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("OFF")
     yield use_rocksdb(configure(s))
