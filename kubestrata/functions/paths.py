@@ -6,9 +6,10 @@ about), the list one (is this exactly a list path) and the object one (which obj
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kubestrata.functions.scalars import let, record
 from kubestrata.schema import KIND_BY_RESOURCE
 
 FIELDS = ["group", "version", "resource", "namespace"]
@@ -23,49 +24,63 @@ def base_path(path) -> Column:
 
 
 def _parts(path: Column) -> Column:
-    return F.split(F.regexp_replace(path, "^/", ""), "/")
+    return F.split(F.when(path.startswith("/"), F.substring(path, 2, 1 << 30)).otherwise(path), "/")
 
 
 def _struct(cases: list[tuple[Column, list]]) -> Column:
     """struct<group, version, resource, namespace> from the first case that holds, '' where absent."""
-    out = []
+    out = {}
     for i, name in enumerate(FIELDS):
         col = None
         for cond, values in cases:
             v = values[i] if isinstance(values[i], Column) else F.lit(values[i])
             col = F.when(cond, v) if col is None else col.when(cond, v)
-        out.append(F.coalesce(col, F.lit("")).alias(name))
-    return F.struct(*out)
+        out[name] = F.coalesce(col, F.lit(""))
+    return record(**out)
 
 
 def api_path_cols(path) -> Column:
     """Loose parse: query suffix stripped, segments past the resource ignored."""
-    p = _parts(base_path(path))
-    n = F.size(p)
-    at = lambda i: F.get(p, F.lit(i))
-    core, grouped = at(0) == "api", at(0) == "apis"
-    return _struct([
-        (core & (n >= 5) & (at(2) == "namespaces"), ["", at(1), at(4), at(3)]),
-        (core & (n >= 3), ["", at(1), at(2), ""]),
-        (grouped & (n >= 6) & (at(3) == "namespaces"), [at(1), at(2), at(5), at(4)]),
-        (grouped & (n >= 4), [at(1), at(2), at(3), ""]),
-    ])
+    def parse(p: Column) -> Column:
+        n = F.size(p)
+        at = lambda i: F.get(p, F.lit(i))
+        core, grouped = at(0) == "api", at(0) == "apis"
+        return _struct([
+            (core & (n >= 5) & (at(2) == "namespaces"), ["", at(1), at(4), at(3)]),
+            (core & (n >= 3), ["", at(1), at(2), ""]),
+            (grouped & (n >= 6) & (at(3) == "namespaces"), [at(1), at(2), at(5), at(4)]),
+            (grouped & (n >= 4), [at(1), at(2), at(3), ""]),
+        ])
+
+    return let(_parts(base_path(path)), parse)
 
 
 def list_path_cols(path) -> Column:
     """Strict parse: only exact list paths have a resource; nothing is stripped."""
-    p = _parts(_c(path))
-    n = F.size(p)
-    at = lambda i: F.get(p, F.lit(i))
-    core, grouped = at(0) == "api", at(0) == "apis"
-    return _struct([
-        (core & (n == 3), ["", at(1), at(2), ""]),
-        (core & (n == 5) & (at(2) == "namespaces"), ["", at(1), at(4), at(3)]),
-        (core & (n >= 3), ["", at(1), "", ""]),
-        (grouped & (n == 4), [at(1), at(2), at(3), ""]),
-        (grouped & (n == 6) & (at(3) == "namespaces"), [at(1), at(2), at(5), at(4)]),
-        (grouped & (n >= 4), [at(1), at(2), "", ""]),
-    ])
+    def parse(p: Column) -> Column:
+        n = F.size(p)
+        at = lambda i: F.get(p, F.lit(i))
+        core, grouped = at(0) == "api", at(0) == "apis"
+        return _struct([
+            (core & (n == 3), ["", at(1), at(2), ""]),
+            (core & (n == 5) & (at(2) == "namespaces"), ["", at(1), at(4), at(3)]),
+            (core & (n >= 3), ["", at(1), "", ""]),
+            (grouped & (n == 4), [at(1), at(2), at(3), ""]),
+            (grouped & (n == 6) & (at(3) == "namespaces"), [at(1), at(2), at(5), at(4)]),
+            (grouped & (n >= 4), [at(1), at(2), "", ""]),
+        ])
+
+    return let(_parts(_c(path)), parse)
+
+
+def with_path_cols(df: DataFrame, strict: bool = False, columns: list[str] = FIELDS, prefix: str = "") -> DataFrame:
+    """The path columns added to ``df``, parsed once per row (existing ones are replaced)."""
+    parsed = (list_path_cols if strict else api_path_cols)("path")
+    names = [prefix + c for c in columns]
+    keep = [c for c in df.columns if c not in names]
+    # a one-row generator keeps later filters from repeating the parse
+    rows = df.select(*keep, F.explode(F.array(parsed)).alias("_p"))
+    return rows.select(*keep, *[F.col("_p")[c].alias(prefix + c) for c in columns])
 
 
 def object_path_cols(path) -> Column:
@@ -126,10 +141,9 @@ def view_kind(path) -> Column:
         .when(path.contains("?as=TableSchema"), "table_schema")
         .when(path.contains("?as=Table"), "table")
         .when(suffixed, "other")
-        .when(path.rlike("^/(api|apis|version|openapi)(/v[0-9][^/]*|/[^/]+/[^/]+)?$")
-              & (api_path_cols(path)["resource"] == ""), "discovery")
-        .when(api_path_cols(path)["resource"] == "", "other")
-        .otherwise("list")
+        .when(path.rlike("^/api/[^/]+/.+|^/apis/[^/]+/[^/]+/.+"), "list")
+        .when(path.rlike("^/(api|apis|version|openapi)(/v[0-9][^/]*|/[^/]+/[^/]+)?$"), "discovery")
+        .otherwise("other")
     )
 
 

@@ -240,8 +240,8 @@ _HASH = "(?:-(?=[a-z0-9]*[0-9])(?=[a-z0-9]*[a-z])[0-9a-z]{4,10})+$"
 def pod_prefix(name) -> Column:
     """Common stem of a pod's siblings: trailing hash segments dropped, else the last segment; '-*' added."""
     name = _c(name)
-    stripped = F.regexp_replace(name, _HASH, "")
-    stem = F.when(stripped != name, stripped).otherwise(F.regexp_replace(name, "-[^-]*$", ""))
+    stem = let(F.regexp_replace(name, _HASH, ""),
+               lambda cut: F.when(cut != name, cut).otherwise(F.regexp_replace(name, "-[^-]*$", "")))
     return F.concat(stem, F.lit("-*"))
 
 

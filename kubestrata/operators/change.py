@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kubestrata.functions.ordered import chunk_of, ranked, shifted
-from kubestrata.functions.paths import api_path_cols, list_path, list_path_cols
+from kubestrata.functions.paths import list_path, with_path_cols
 from kubestrata.functions.scalars import at_literal, canon_json, in_window
 from kubestrata.operators.health import classify
 from kubestrata.operators.select import put_fields
@@ -40,13 +40,8 @@ def _snapshot(records: DataFrame, at=None) -> DataFrame:
         "response_code = 200")
 
 
-def _with_path(df: DataFrame) -> DataFrame:
-    c = api_path_cols("path")
-    return df.select("*", *[c[f].alias(f) for f in ("group", "version", "resource", "namespace")])
-
-
 def _path_filter(df: DataFrame, resource: str | None, namespace: str | None) -> DataFrame:
-    out = _with_path(df)
+    out = with_path_cols(df)
     if resource:
         out = out.filter(F.col("resource") == resource)
     if namespace:
@@ -211,7 +206,7 @@ def transition_report(records: DataFrame, events: DataFrame, resource: str | Non
     Watch-only paths are not part of the report: like all report paths they must have a snapshot.
     """
     def scoped(df: DataFrame) -> DataFrame:
-        rows = _with_path(df.filter(~F.col("path").contains("?"))).filter("resource <> ''")
+        rows = with_path_cols(df.filter(~F.col("path").contains("?"))).filter("resource <> ''")
         if resource:
             rows = rows.filter(F.col("resource").contains(resource))
         if namespace:
@@ -228,7 +223,7 @@ def transition_report(records: DataFrame, events: DataFrame, resource: str | Non
     by_poll = transitions_poll(list_snapshots(alone), explode_items(alone.select(*KEYS, "seq", "body")), since, until, name)
     cols = [*KEYS, "seq", "captured_at", "event_type", "object_key", "name", "before", "after"]
     merged = by_event.select(*cols, F.lit(0).alias("pos")).unionByName(by_poll.select(*cols, "pos"))
-    return _with_path(merged).orderBy("captured_at", *KEYS, "seq", "pos", "object_key")
+    return with_path_cols(merged).orderBy("captured_at", *KEYS, "seq", "pos", "object_key")
 
 
 def recent(events: DataFrame, at=None, n: int = 8) -> DataFrame:
@@ -269,9 +264,10 @@ def timeline(events: DataFrame, polled: DataFrame | None = None, cluster: bool =
         watched = events.select(*KEYS).distinct()
         ev = ev.unionByName(polled.join(watched, KEYS, "left_anti").select(*KEYS, *cols))
     if cluster:
-        c = list_path_cols("path")
-        parent = F.when(c["namespace"] != "", list_path(c["group"], c["version"], c["resource"])).otherwise(F.col("path"))
-        ev = ev.withColumn("target", parent)
+        gvr = ["_group", "_version", "_resource"]
+        ev = with_path_cols(ev, strict=True, prefix="_")
+        parent = F.when(F.col("_namespace") != "", list_path(*gvr)).otherwise(F.col("path"))
+        ev = ev.withColumn("target", parent).drop(*gvr, "_namespace")
         exact = ev.filter("target = path").select("capture_id", "target").distinct().withColumn("_own", F.lit(True))
         ev = ev.join(exact, ["capture_id", "target"], "left").filter(
             F.col("_own").isNull() | (F.col("target") == F.col("path"))).drop("_own")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kubestrata.functions.paths import api_path_cols, kind_of, log_path_cols
+from kubestrata.functions.paths import kind_of, log_path_cols, with_path_cols
 from kubestrata.functions.scalars import (
     age_text, at_literal, blank, first_non_empty, is_sidecar, line_count, micros_between, record, rfc3339, zero,
 )
@@ -14,25 +14,20 @@ from kubestrata.operators.health import parse_pods
 from kubestrata.operators.select import get_object
 from kubestrata.operators.timetravel import explode_items, latest_at, namespace_counts
 from kubestrata.schema import (
-    BAD_WAITING_REASONS, CONFIG_DDL, POD_DDL, POD_META_DDL, POD_MOUNTS_DDL, PREFERRED_TILES, VIRTUAL_MACHINES, WORKLOAD_DDL, WORKLOADS,
+    BAD_WAITING_REASONS, CONFIG_DDL, POD_CARDS_DDL, POD_META_DDL, POD_MOUNTS_DDL, PREFERRED_TILES, VIRTUAL_MACHINES, WORKLOAD_DDL, WORKLOADS,
 )
 
 KEYS = ["capture_id", "path"]
 GVR = ["group", "version", "resource"]
 
 
-def _with_path(df: DataFrame) -> DataFrame:
-    c = api_path_cols("path")
-    return df.select("*", *[c[f].alias(f) for f in (*GVR, "namespace")])
-
-
 # ------------------------------------------------------------------ counts
 
 def capture_info(index: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """Paths, resource types, namespaces, events and duration per capture, from index columns only."""
     snap = F.col("event_type").isNull()
     typed = snap & ~F.col("path").contains("?") & (F.col("resource") != "")
-    rows = _with_path(index.drop(*GVR, "namespace"))
+    rows = with_path_cols(index)
     # distinct paths first (map-side combined), so the distinct counts run over paths and not over records
     per_path = rows.groupBy("capture_id", "path", *GVR).agg(
         F.count_if(~snap).alias("events"), F.bool_or(snap).alias("snap"),
@@ -54,7 +49,7 @@ def capture_info(index: DataFrame, captures: DataFrame | None = None) -> DataFra
 def inspect(records: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Per resource: records, items of the latest 200 snapshot, namespaced, sorted namespaces."""
     keys = ["capture_id", *GVR]
-    recs = _with_path(records.filter("event_type IS NULL").filter(~F.col("path").contains("?")).select(
+    recs = with_path_cols(records.filter("event_type IS NULL").filter(~F.col("path").contains("?")).select(
         *KEYS, "seq", "captured_at", "response_code", "body")).filter("resource <> '' AND version <> ''")
     totals = recs.groupBy(*keys).agg(F.count("*").alias("records"))
     latest = latest_at(recs).filter("response_code = 200")
@@ -82,7 +77,7 @@ def resource_catalog(index: DataFrame, catalog: DataFrame | None = None, at=None
     paths = snaps.select(*KEYS).distinct()
     rows = snaps if at is None else snaps.filter(F.col("captured_at") <= at_literal(at))
     counts = rows.groupBy(*KEYS).agg(F.max_by("item_count", "seq").alias("n"))
-    per = _with_path(paths.join(counts, KEYS, "left")).filter("resource <> ''").groupBy(*keys).agg(
+    per = with_path_cols(paths.join(counts, KEYS, "left")).filter("resource <> ''").groupBy(*keys).agg(
         F.bool_or(F.col("namespace") != "").alias("namespaced"),
         F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("objects"))
     if catalog is None:
@@ -165,8 +160,7 @@ def activity(events: DataFrame, captures: DataFrame, buckets: int = 30, namespac
 
     Empty slices are present. Optionally only one namespace's paths, or one pod's events.
     """
-    rows = events.drop(*GVR, "namespace") if {"group", "namespace"} <= set(events.columns) else events
-    rows = _with_path(rows)
+    rows = with_path_cols(events) if namespace is not None or pod is not None else events
     if namespace is not None:
         rows = rows.filter(F.col("namespace") == namespace)
     if pod is not None:
@@ -348,7 +342,7 @@ def container_cards(objects: DataFrame, logs: DataFrame | None = None) -> DataFr
     ``logs`` (capture_id, namespace, pod, container, previous, tail) adds the log tail and whether an earlier
     log exists.
     """
-    p = parse_pods(objects, POD_DDL)
+    p = parse_pods(objects, POD_CARDS_DDL)
     specs = F.concat(*[F.coalesce(F.transform(f"pod.spec.{f}", _card_spec), F.array()) for f in ("initContainers", "containers")])
     # specs keyed by container name inside the row; for repeated names the last one counts
     by_name = F.map_from_entries(F.transform(specs, lambda x: record(k=x["name"], v=x)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kubestrata.functions.scalars import blank
+from kubestrata.functions.scalars import blank, let
 from kubestrata.schema import POD_MOUNTS_DDL, VOLUME_DDL
 
 _OWNERS = "metadata struct<name: string, ownerReferences: array<struct<kind: string, name: string, apiVersion: string>>>"
@@ -53,7 +53,7 @@ def mounts_of(pod: Column) -> Column:
 
 def mount_edges(pods: DataFrame) -> DataFrame:
     """pod -> configmap / secret / claim, distinct per pod row; no shuffle."""
-    rows = pods.select("capture_id", "namespace", "name", F.explode(mounts_of(F.from_json("obj", POD_MOUNTS_DDL))).alias("m"))
+    rows = pods.select("capture_id", "namespace", "name", F.explode(let(F.from_json("obj", POD_MOUNTS_DDL), mounts_of)).alias("m"))
     return rows.select("capture_id", "namespace", "name", "m.kind", "m.target")
 
 

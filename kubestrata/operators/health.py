@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kubestrata.functions.paths import api_path_cols
+from kubestrata.functions.paths import with_path_cols
 from kubestrata.functions.scalars import (
     blank, first_non_empty, let, minor_version, pod_prefix, reason_slug, record, zero,
 )
@@ -238,11 +238,11 @@ def find_version_skew(objects: DataFrame, captures: DataFrame) -> DataFrame:
 
 def find_deprecated_api(index: DataFrame) -> DataFrame:
     """One finding per deprecated group/version and resource in the path table; empty lists count."""
-    c = api_path_cols("path")
     notes = F.create_map(*[F.lit(x) for kv in DEPRECATED_APIS.items() for x in kv])
-    gv = F.concat_ws("/", c["group"], c["version"])
-    rows = index.filter(~F.col("path").contains("?") & (c["group"] != "")).select(
-        "capture_id", "path", gv.alias("_gv"), c["resource"].alias("kind"), F.try_element_at(notes, gv).alias("_note"),
+    gv = F.concat_ws("/", "group", "version")
+    paths = index.filter(~F.col("path").contains("?")).select("capture_id", "path").distinct()
+    rows = with_path_cols(paths).filter(F.col("group") != "").select(
+        "capture_id", "path", gv.alias("_gv"), F.col("resource").alias("kind"), F.try_element_at(notes, gv).alias("_note"),
     ).filter("_note IS NOT NULL").groupBy("capture_id", "_gv", "kind", "_note").agg(F.min("path").alias("path"))
     severity, category, suggestion = OBJECT_RULES["cluster.deprecated-api"]
     lits = {"rule_id": "cluster.deprecated-api", "severity": severity, "category": category, "suggestion": suggestion,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, FractionalType, IntegralType, MapType, StringType, StructType
 
+from kubestrata.functions.scalars import let, record
 from kubestrata.functions.selectors import label_requirements
 from kubestrata.schema import FIELD_TYPES
 
@@ -25,7 +26,7 @@ MASK_B64 = base64.b64encode(MASK.encode()).decode()
 def _masked(field: str, mask: str, obj: Column) -> Column:
     """The field's map with every value masked, as VARIANT; null when absent or empty."""
     values = F.from_json(F.get_json_object(obj, f"$.{field}"), "map<string,string>")
-    return F.when(F.size(values) > 0, F.parse_json(F.to_json(F.transform_values(values, lambda _k, _v: F.lit(mask)))))
+    return let(values, lambda m: F.when(F.size(m) > 0, F.parse_json(F.to_json(F.transform_values(m, lambda _k, _v: F.lit(mask))))))
 
 
 def mask_secret(obj, allowed: list[str]) -> Column:
@@ -34,12 +35,14 @@ def mask_secret(obj, allowed: list[str]) -> Column:
     name = F.coalesce(F.get_json_object(obj, "$.metadata.name"), F.lit(""))
     ns = F.coalesce(F.get_json_object(obj, "$.metadata.namespace"), F.lit(""))
     key = F.when(ns == "", name).otherwise(F.concat(ns, F.lit("/"), name))
-    new = F.map_filter(
-        F.create_map(F.lit("data"), _masked("data", MASK_B64, obj), F.lit("stringData"), _masked("stringData", MASK, obj)),
-        lambda _k, v: v.isNotNull())
-    old = F.map_filter(F.from_json(obj, "map<string,variant>"), lambda k, _v: ~F.map_contains_key(new, k))
-    keep = key.isin(allowed) if allowed else F.lit(False)
-    return F.when(~keep & (F.size(new) > 0), F.to_json(F.map_concat(old, new)))
+    candidates = F.create_map(F.lit("data"), _masked("data", MASK_B64, obj), F.lit("stringData"), _masked("stringData", MASK, obj))
+
+    def rebuilt(new: Column) -> Column:
+        old = F.map_filter(F.from_json(obj, "map<string,variant>"), lambda k, _v: ~F.map_contains_key(new, k))
+        return F.when(F.size(new) > 0, F.to_json(F.map_concat(old, new)))
+
+    masked = let(F.map_filter(candidates, lambda _k, v: v.isNotNull()), rebuilt)
+    return F.when(~key.isin(allowed), masked) if allowed else masked
 
 
 def redact_secrets(records: DataFrame, allowed: list[str] | None = None, body: str = "body") -> DataFrame:
@@ -47,13 +50,18 @@ def redact_secrets(records: DataFrame, allowed: list[str] | None = None, body: s
     allowed = allowed or []
     kind = F.get_json_object(body, "$.kind")
     items = F.from_json(F.get_json_object(body, "$.items"), "array<string>")
-    done = F.transform(items, lambda i: F.struct(mask_secret(i, allowed).alias("new"), i.alias("old")))
-    any_item = F.exists(done, lambda d: d["new"].isNotNull())
-    new_items = F.parse_json(F.concat(F.lit("["), F.array_join(F.transform(done, lambda d: F.coalesce(d["new"], d["old"])), ","), F.lit("]")))
     rest = F.map_filter(F.from_json(F.col(body), "map<string,variant>"), lambda k, _v: k != "items")
-    new_list = F.when(any_item, F.to_json(F.map_concat(rest, F.create_map(F.lit("items"), new_items))))
+
+    def rebuilt(done: Column) -> Column:
+        texts = F.transform(done, lambda d: F.coalesce(d["new"], d["old"]))
+        new_items = F.parse_json(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
+        changed = F.exists(done, lambda d: d["new"].isNotNull())
+        return F.when(changed, F.to_json(F.map_concat(rest, F.create_map(F.lit("items"), new_items))))
+
+    new_list = let(F.transform(items, lambda i: record(new=mask_secret(i, allowed), old=i)), rebuilt)
     masked = F.when(kind == "Secret", mask_secret(body, allowed)).when(kind == "SecretList", new_list)
-    return records.withColumn("secrets_masked", masked.isNotNull()).withColumn(body, F.coalesce(masked, F.col(body)))
+    rows = records.select("*", F.explode(F.array(masked)).alias("_masked"))
+    return rows.withColumn("secrets_masked", F.col("_masked").isNotNull()).withColumn(body, F.coalesce("_masked", body)).drop("_masked")
 
 
 # ------------------------------------------------------------------ fields

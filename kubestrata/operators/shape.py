@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kubestrata.functions.ordered import shifted
-from kubestrata.functions.paths import api_path_cols, list_path
+from kubestrata.functions.paths import api_path_cols, list_path, with_path_cols
 from kubestrata.functions.scalars import blank, first_non_empty, item_count
 from kubestrata.operators.timetravel import latest_at
 from kubestrata.schema import CLUSTER_SCOPED, EXCLUDED_GROUPS, LIST_DDL, NATIVE_GROUPS, POD_NAMES_DDL, TABLE_DDL
@@ -39,10 +39,8 @@ def dedup_skipped(records: DataFrame, kept: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- demux
 
 def _demux(records: DataFrame, ddl: str, field: str, table: bool) -> DataFrame:
-    base = F.substring_index("path", "?", 1)
-    p = api_path_cols("path")
     keep = [c for c in records.columns if c not in ("body", "path")]
-    parsed = records.filter((p["namespace"] == "") & (p["resource"] != "")).select(
+    parsed = with_path_cols(records, prefix="_").filter("_namespace = '' AND _resource <> ''").select(
         *keep, "path", F.from_json("body", ddl).alias("l"))
     rows = parsed.select(*keep, "path", F.struct(*[f"l.{c}" for c in ("apiVersion", "kind", "metadata")],
                                                  *(["l.columnDefinitions"] if table else [])).alias("head"),
@@ -121,18 +119,17 @@ def with_emptied(demuxed: DataFrame, polled: DataFrame, table: bool = False) ->
 
 def demux_watch(events: DataFrame) -> DataFrame:
     """Cluster-wide change events re-keyed to their object's namespace; other event types are dropped."""
-    c = api_path_cols("path")
     ns = blank(F.get_json_object("body", "$.metadata.namespace"))
-    rows = events.filter(F.col("event_type").isin("ADDED", "MODIFIED", "DELETED")).withColumn("_ns", ns)
-    cluster = (c["namespace"] == "") & (c["resource"] != "")
+    rows = with_path_cols(events.filter(F.col("event_type").isin("ADDED", "MODIFIED", "DELETED")), prefix="_").withColumn("_ns", ns)
+    cluster = (F.col("_namespace") == "") & (F.col("_resource") != "")
+    child = list_path("_group", "_version", "_resource", "_ns")
     return rows.filter(~cluster | (F.col("_ns") != "")).withColumn(
-        "path", F.when(cluster, _child_path(F.col("path"), F.col("_ns"))).otherwise(F.col("path"))).drop("_ns")
+        "path", F.when(cluster, child).otherwise(F.col("path"))).select(*events.columns)
 
 
 def infer_scope(records: DataFrame, poll: list[str]) -> DataFrame:
     """Per resource and poll: cluster scoped when every namespaced path answered 404 (0 is not a 404)."""
-    c = api_path_cols("path")
-    rows = records.filter(c["namespace"] != "").withColumns({f: c[f] for f in GVR})
+    rows = with_path_cols(records).filter("namespace <> ''")
     return rows.groupBy("capture_id", *GVR, *poll).agg(F.every(F.col("response_code") == 404).alias("cluster_scoped"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kubestrata.functions.ordered import filled, ranked
-from kubestrata.functions.paths import api_path_cols, child_match, kind_of, list_path, list_path_cols
+from kubestrata.functions.paths import child_match, kind_of, list_path, with_path_cols
 from kubestrata.functions.scalars import at_literal, blank, first_non_empty, meta_of
 from kubestrata.schema import LIST_DDL, SHORT_NAMES, TABLE_DDL
 
@@ -132,10 +132,7 @@ def reconstruct_at(records: DataFrame, at=None) -> DataFrame:
     events = event_objects(records.select(*KEYS, "seq", "captured_at", "event_type", "body"))
     watched = records.filter("event_type IS NOT NULL").select(*KEYS)
     state = reconstruct(base.drop("body"), items, events, at, watched)
-    c = api_path_cols("path")
-    return with_identity(state.drop("object_key")).select(
-        "*", *[c[f].alias(f) for f in ("group", "version", "resource", "namespace")]
-    )
+    return with_path_cols(with_identity(state.drop("object_key")))
 
 
 # ---------------------------------------------------------------- counts
@@ -150,16 +147,14 @@ def _counted(index: DataFrame, at) -> DataFrame:
 
 def namespace_counts(index: DataFrame, at=None) -> DataFrame:
     """Objects per (namespace, resource) on strict namespaced list paths; bodies stay unread."""
-    c = list_path_cols("path")
-    rows = _counted(index, at).select("capture_id", c["namespace"].alias("namespace"), c["resource"].alias("resource"), "n")
+    rows = with_path_cols(_counted(index, at), strict=True)
     return rows.filter("resource <> '' AND namespace <> ''").groupBy("capture_id", "namespace", "resource").agg(
         F.sum("n").alias("objects"))
 
 
 def cluster_counts(index: DataFrame, at=None) -> DataFrame:
     """Objects per resource on paths without a namespace (loose parse)."""
-    c = api_path_cols("path")
-    rows = _counted(index, at).select("capture_id", c["namespace"].alias("namespace"), c["resource"].alias("resource"), "n")
+    rows = with_path_cols(_counted(index, at))
     return rows.filter("resource <> '' AND namespace = ''").groupBy("capture_id", "resource").agg(F.sum("n").alias("objects"))
 
 
@@ -220,10 +215,8 @@ def list_objects(state: DataFrame, group: str, version: str, resource: str, name
 
 def resource_info(index: DataFrame, catalog: DataFrame) -> DataFrame:
     """Known resources: from paths and from discovery; discovery wins on kind, scope and short names."""
-    c = list_path_cols("path")
     seen = (
-        index.filter(~F.col("path").contains("?")).select("capture_id", "path").distinct()
-        .select("capture_id", *[c[f].alias(f) for f in ("group", "version", "resource", "namespace")])
+        with_path_cols(index.filter(~F.col("path").contains("?")).select("capture_id", "path").distinct(), strict=True)
         .filter("resource <> ''").groupBy("capture_id", "group", "version", "resource")
         .agg(F.bool_or(F.col("namespace") != "").alias("_ns"))
     )

@@ -34,12 +34,13 @@ def _objects(df: DataFrame, path: Column, group: str, version: str, resource: Co
     """Object rows with the identity columns the operators expect."""
     res = F.lit(resource) if isinstance(resource, str) else resource
     none = F.lit(None).cast("map<string,string>")
+    # obj comes out of a one-row generator, like a stored column: filters on it do not build it a second time
     return df.select(
         F.lit(CAPTURE).alias("capture_id"), path.alias("path"), F.lit(group).alias("group"), F.lit(version).alias("version"),
         res.alias("resource"), namespace.alias("namespace"), name.alias("name"), namespace.alias("obj_namespace"),
         F.lit("").alias("uid"), (none if labels is None else labels).alias("labels"), F.lit(True).alias("decodable"),
         F.when(namespace == "", name).otherwise(txt(namespace, "/", name)).alias("object_key"),
-        (F.lit(0) if position is None else position).cast("bigint").alias("position"), obj.alias("obj"))
+        (F.lit(0) if position is None else position).cast("bigint").alias("position"), F.explode(F.array(obj)).alias("obj"))
 
 
 # ------------------------------------------------------------------ events
@@ -92,7 +93,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kube_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as Event objects about pod u<user>."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     ns, name = txt("ns", F.col("user_id") % 10), txt("ev", F.col("event_id"))
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     reason = F.when(F.col("event_type") == "error", "BackOff").when(F.col("event_type") == "signup", "Scheduled").otherwise("Pulled")
@@ -154,7 +155,7 @@ WORKLOAD_OF_TYPE = {"STANDARD": "deployments", "ECONOMY": "statefulsets", "MEDIU
 
 def workloads(spark: SparkSession, sf_dir: str, resource: str | None = None, group: str | None = None) -> DataFrame:
     """Parts as workloads: the kind follows p_type (or is given), p_size is the wanted size."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     kinds = F.create_map(*[F.lit(x) for kv in WORKLOAD_OF_TYPE.items() for x in kv])
     res = F.lit(resource) if resource else F.element_at(kinds, F.col("p_type"))
     size, have = F.col("p_size"), (F.col("p_partkey") % (F.col("p_size") + 3)).cast("int")
@@ -188,7 +189,7 @@ def workloads(spark: SparkSession, sf_dir: str, resource: str | None = None, gro
 
 def part_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with brand and type labels; a size label only above 10."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     name = txt("part-", F.col("p_partkey"))
     labels = F.map_from_entries(F.array_compact(F.array(
         F.struct(F.lit("brand").alias("k"), F.col("p_brand").alias("v")), F.struct(F.lit("type").alias("k"), F.col("p_type").alias("v")),
@@ -228,7 +229,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as volume claims; the market segment decides the phase."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     k = F.col("c_custkey")
     ns, name = txt("ns", F.col("c_nationkey")), txt("claim-", k)
     phase = F.when(F.col("c_mktsegment") == "BUILDING", "Pending").when(F.col("c_mktsegment") == "MACHINERY", "Lost").otherwise("Bound")
@@ -241,7 +242,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     k = F.col("c_custkey")
     name = txt("pv-", k)
     obj = F.to_json(F.struct(
@@ -254,7 +255,7 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     k = F.col("c_custkey")
     ns, name = txt("ns", F.col("c_nationkey")), txt("svc-", k)
     kind = F.when(k % 4 == 0, "LoadBalancer").when(k % 4 == 1, "ExternalName").when(k % 4 == 2, "NodePort").otherwise("ClusterIP")
@@ -275,7 +276,7 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as Secrets / ConfigMaps with one to three data entries."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     k = F.col("c_custkey")
     ns, name = txt("ns", F.col("c_nationkey")), txt("cfg-", k)
     data = F.map_from_entries(F.slice(F.array(
@@ -345,7 +346,7 @@ def log_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_as_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     name = txt("doc-", F.col("doc_id"))
     obj = F.to_json(F.struct(F.struct(name.alias("name")).alias("metadata"), F.struct(F.col("lang"), F.col("text")).alias("spec")))
     return _objects(d, F.lit("/apis/text.example.com/v1/documents"), "text.example.com", "v1", "documents", F.lit(""), name, obj, position=F.col("doc_id"))

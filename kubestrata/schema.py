@@ -100,6 +100,12 @@ POD_META_DDL = (
     "metadata STRUCT<creationTimestamp: STRING, labels: MAP<STRING, STRING>, annotations: MAP<STRING, STRING>>, "
     f"status STRUCT<conditions: ARRAY<{_CONDITION}>>"
 )
+_CARD = (
+    "ARRAY<STRUCT<name: STRING, image: STRING, ports: ARRAY<STRUCT<name: STRING, containerPort: INT, protocol: STRING>>, "
+    "resources: STRUCT<requests: MAP<STRING, STRING>, limits: MAP<STRING, STRING>>, "
+    f"livenessProbe: {_PROBE}, readinessProbe: {_PROBE}, startupProbe: {_PROBE}>>"
+)
+POD_CARDS_DDL = f"spec STRUCT<containers: {_CARD}, initContainers: {_CARD}>, status STRUCT<phase: STRING, {_STATUSES}>"
 # spec.selector stays text: it is a flat map for some kinds and a structured selector for others
 WORKLOAD_DDL = (
     f"{_META}, spec STRUCT<replicas: BIGINT, selector: STRING, completions: BIGINT, suspend: BOOLEAN, "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kubestrata.functions.ordered import CHUNK_ROWS, chunk_of, ranked
-from kubestrata.functions.paths import api_path_cols, view_kind
+from kubestrata.functions.paths import view_kind, with_path_cols
 from kubestrata.functions.scalars import blank, item_count, rfc3339
 from kubestrata.schema import NDJSON_DDL, TABLE_DDL
 
@@ -77,10 +77,8 @@ def with_seq(records: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 def enrich(records: DataFrame) -> DataFrame:
     """Envelope columns extracted once, so index-only queries never read ``body``."""
-    cols = api_path_cols("path")
-    return records.select(
-        "*", cols["group"].alias("group"), cols["version"].alias("version"), cols["resource"].alias("resource"),
-        cols["namespace"].alias("namespace"), view_kind("path").alias("view_kind"),
+    return with_path_cols(records).select(
+        "*", view_kind("path").alias("view_kind"),
         item_count("body").alias("item_count"), F.octet_length("body").cast("bigint").alias("body_bytes"),
         F.sha2("body", 256).alias("body_hash"),
     )
