@@ -60,6 +60,15 @@ def _blocks(df: DataFrame, sort: list[str]) -> DataFrame:
     ).withColumn("_block", F.shiftright("_rid", 33))
 
 
+def _with_block_facts(blocks: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts per (keys, block) joined to the rows; null keys match each other."""
+    right = facts.withColumnsRenamed({c: f"_r_{c}" for c in [*keys, "_block"]})
+    on = blocks["_block"] == right["_r__block"]
+    for k in keys:
+        on = on & blocks[k].eqNullSafe(right[f"_r_{k}"])
+    return blocks.join(right, on)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
     """1-based row number per key in a total ``order``.
 
@@ -70,7 +79,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rank")
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return (
-        blocks.join(offsets, [*keys, "_block"])
+        _with_block_facts(blocks, offsets, keys)
         .withColumn(out, F.col("_before") + F.col("_rid") - F.col("_start") + 1)
         .select(*df.columns, out)
     )
@@ -84,5 +93,5 @@ def filled(df: DataFrame, keys: list[str], order: list[str], value: str) -> Data
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_last"))
     inside = Window.partitionBy("_block", *keys).orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
-    out = blocks.withColumn(value, F.last(value, ignorenulls=True).over(inside)).join(carry, [*keys, "_block"])
+    out = _with_block_facts(blocks.withColumn(value, F.last(value, ignorenulls=True).over(inside)), carry, keys)
     return out.withColumn(value, F.coalesce(value, "_last")).select(*df.columns)

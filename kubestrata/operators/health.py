@@ -101,12 +101,14 @@ def _found(rule: str | Column, title, kind, name, evidence, severity=None, categ
 
 def reason_rule(reason: Column, name: Column) -> Column:
     """Finding of a pod reason; null for benign ones."""
-    def found(rule, severity, title, suggestion) -> Column:
-        return _found(rule, title, "Pod", name, reason, severity, "workload", suggestion)
-
-    benign = F.when(reason.isin(BENIGN_REASONS), F.lit(None))
-    known = reduce(lambda acc, r: acc.when(reason.isin(r[0]), found(*r[1:])), REASON_RULES, benign)
-    return known.otherwise(found(F.concat(F.lit("pod."), reason_slug(reason)), "warning", reason, OTHER_REASON_SUGGESTION))
+    def rule(rule_id, severity, title, suggestion) -> Column:
+        return record(rule_id=rule_id, severity=severity, title=title, suggestion=suggestion)
+
+    table = F.create_map(*[x for reasons, *r in REASON_RULES for one in reasons for x in (F.lit(one), rule(*r))])
+    other = rule(F.concat(F.lit("pod."), reason_slug(reason)), "warning", reason, OTHER_REASON_SUGGESTION)
+    found = let(F.coalesce(F.try_element_at(table, reason), other), lambda r: _found(
+        r["rule_id"], r["title"], "Pod", name, reason, r["severity"], "workload", r["suggestion"]))
+    return F.when(~reason.isin(BENIGN_REASONS), found)
 
 
 def _pod_health(pod: Column, health: Column) -> Column:

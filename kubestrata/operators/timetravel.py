@@ -41,10 +41,10 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, righ
     so neither a hot key nor a burst in time ends up in one task.
     """
     payload = F.struct(*[F.col(v) for v in values])
-    r = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
+    r = right.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
                      F.col(right_order).cast("bigint").alias("_o"), payload.alias("_v"))
     l_ = left.select("*", F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
-                     F.monotonically_increasing_id().alias("_o"))
+                     F.lit(0).cast("bigint").alias("_o"))
     rows = filled(l_.unionByName(r, allowMissingColumns=True), ["_k"], ["_t", "_side", "_o"], "_v").filter("_side = 1")
     return rows.select(*left.columns, *[F.col("_v")[v].alias(v) for v in values])
 

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 CAPTURE = "c0"
 
 
+def capture_of(key: Column) -> Column:
+    """Which capture a row belongs to: negative keys would be a second one."""
+    return F.when(key < 0, "c1").otherwise(CAPTURE)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,7 +41,7 @@ def _objects(df: DataFrame, path: Column, group: str, version: str, resource: Co
     none = F.lit(None).cast("map<string,string>")
     # obj comes out of a one-row generator, like a stored column: filters on it do not build it a second time
     return df.select(
-        F.lit(CAPTURE).alias("capture_id"), path.alias("path"), F.lit(group).alias("group"), F.lit(version).alias("version"),
+        (F.lit(CAPTURE) if position is None else capture_of(position)).alias("capture_id"), path.alias("path"), F.lit(group).alias("group"), F.lit(version).alias("version"),
         res.alias("resource"), namespace.alias("namespace"), name.alias("name"), namespace.alias("obj_namespace"),
         F.lit("").alias("uid"), (none if labels is None else labels).alias("labels"), F.lit(True).alias("decodable"),
         F.when(namespace == "", name).otherwise(txt(namespace, "/", name)).alias("object_key"),
@@ -52,7 +57,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "ADDED").when(F.col("event_type") == "error", "DELETED").otherwise("MODIFIED")
     obj = txt('{"metadata":{"name":"', name, '","namespace":"', ns, '"},"spec":', F.col("props"), ',"value":', F.col("value"), "}")
     return e.select(
-        F.lit(CAPTURE).alias("capture_id"), txt("/api/v1/namespaces/", ns, "/widgets").alias("path"),
+        capture_of(F.col("event_id")).alias("capture_id"), txt("/api/v1/namespaces/", ns, "/widgets").alias("path"),
         F.col("event_id").alias("seq"), F.col("ts").alias("captured_at"), kind.alias("event_type"),
         F.lit(200).alias("response_code"), name.alias("name"), ns.alias("obj_namespace"), txt(ns, "/", name).alias("object_key"),
         obj.alias("obj"))
@@ -86,8 +91,8 @@ def daily_snapshots(items: DataFrame) -> DataFrame:
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture: the window of the events table."""
-    return table(spark, sf_dir, "events").agg(
-        F.lit(CAPTURE).alias("capture_id"), F.min("ts").alias("captured_at"), F.max("ts").alias("captured_until"),
+    return table(spark, sf_dir, "events").groupBy(capture_of(F.col("event_id")).alias("capture_id")).agg(
+        F.min("ts").alias("captured_at"), F.max("ts").alias("captured_until"),
         F.lit("v1.30.2").alias("kubernetes_version"))
 
 
