@@ -85,28 +85,27 @@ def with_path_cols(df: DataFrame, strict: bool = False, columns: list[str] = FIE
 
 def object_path_cols(path) -> Column:
     """Object parse: adds name and subresource. Core ``namespaces`` is both a scope word and a resource."""
-    p = _parts(F.regexp_replace(base_path(path), "/$", ""))
-    n = F.size(p)
-    core = (F.get(p, F.lit(0)) == "api") & (n >= 3)
-    grouped = (F.get(p, F.lit(0)) == "apis") & (n >= 4)
-    head = F.when(core, 2).when(grouped, 3)
-    rest_n = n - head
-    at = lambda i: F.get(p, head + i)
-    core_scope = F.when(rest_n == 3, ~at(2).isin("status", "finalize")).otherwise(rest_n >= 4)
-    scoped = (at(0) == "namespaces") & F.when(core, core_scope).otherwise(rest_n >= 3)
-    skip = F.when(scoped, 2).otherwise(0)
-    m = rest_n - skip
-    pick = lambda i: F.get(p, head + skip + i)
-    ok = (core | grouped) & m.between(1, 3)
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    return F.struct(
-        empty(F.when(grouped, F.get(p, F.lit(1)))).alias("group"),
-        empty(F.when(core, F.get(p, F.lit(1))).when(grouped, F.get(p, F.lit(2)))).alias("version"),
-        empty(F.when(ok, pick(0))).alias("resource"),
-        empty(F.when(scoped, at(1))).alias("namespace"),
-        empty(F.when(ok & (m >= 2), pick(1))).alias("name"),
-        empty(F.when(ok & (m == 3), pick(2))).alias("subresource"),
-    )
+    def parse(p: Column) -> Column:
+        core = (F.get(p, F.lit(0)) == "api") & (F.size(p) >= 3)
+        grouped = (F.get(p, F.lit(0)) == "apis") & (F.size(p) >= 4)
+        rest = F.when(core, F.slice(p, 3, 1 << 30)).when(grouped, F.slice(p, 4, 1 << 30)).otherwise(F.array().cast("array<string>"))
+        group = F.when(grouped, F.get(p, F.lit(1))).otherwise("")
+        version = F.when(core, F.get(p, F.lit(1))).when(grouped, F.get(p, F.lit(2))).otherwise("")
+
+        def scope(r: Column) -> Column:
+            n, at = F.size(r), lambda i: F.get(r, F.lit(i))
+            in_core = F.when(n == 3, ~at(2).isin("status", "finalize")).otherwise(n >= 4)
+            scoped = F.coalesce((at(0) == "namespaces") & F.when(core, in_core).otherwise(n >= 3), F.lit(False))
+            return record(namespace=F.when(scoped, at(1)).otherwise(""), tail=F.when(scoped, F.slice(r, 3, 1 << 30)).otherwise(r))
+
+        def named(s: Column) -> Column:
+            t = s["tail"]
+            part = lambda i: F.when(F.size(t).between(i + 1, 3), F.get(t, F.lit(i))).otherwise("")
+            return record(group=group, version=version, resource=part(0), namespace=s["namespace"], name=part(1), subresource=part(2))
+
+        return let(let(rest, scope), named)
+
+    return let(_parts(F.regexp_replace(base_path(path), "/$", "")), parse)
 
 
 LOG_PATH = "^/api/v1/namespaces/([^/?]*)/pods/([^/?]*)/log(?:\\?(.*))?$"
