@@ -47,32 +47,42 @@ class Capture:
         row = self.captures.select("captured_at", "captured_until").first()
         return resolve_at(at, row["captured_at"], row["captured_until"])
 
-    def state(self, at=None) -> DataFrame:
-        """Objects alive at an instant, overlay changes applied when the handle has some."""
-        objects = timetravel.reconstruct_at(self.records, self._at(at))
+    def state(self, at=None, resources: list[str] | None = None) -> DataFrame:
+        """Objects alive at an instant, overlay changes applied when the handle has some.
+
+        ``resources`` narrows the scan to some plural names before anything is reconstructed.
+        """
+        objects = timetravel.reconstruct_at(self.records, self._at(at), resources)
         if self.changes is None:
             return objects
+        changes = self.changes if resources is None else self.changes.filter(F.col("resource").isin(resources))
         key = [*(["capture_id"] if "capture_id" in self.changes.columns else []), *overlay.KEY]
-        merged = overlay.merge_overlay(objects, overlay.compact(self.changes, key), key)
+        merged = overlay.merge_overlay(objects, overlay.compact(changes, key), key)
         # identity is read again: a replaced object may carry other labels, an added one has no path yet
         path = F.coalesce("path", list_path("group", "version", "resource", "obj_namespace"))
         rows = merged.select("capture_id", path.alias("path"), "group", "version", "resource",
                              F.coalesce("namespace", "obj_namespace").alias("namespace"), "position", "obj", "from_overlay")
         return timetravel.with_identity(rows)
 
+    def _searched(self, at, resource: str | None) -> DataFrame:
+        """Objects of lists and bodies that are one object themselves."""
+        only = [resource] if resource else None
+        single = timetravel.single_objects(self.records, self._at(at), only)
+        return self.state(at, only).unionByName(single, allowMissingColumns=True)
+
     def list(self, group, version, resource, namespace="", name=None, at=None, labels="", fields="") -> DataFrame:
-        rows = timetravel.list_objects(self.state(at), group, version, resource, namespace, name)
+        rows = timetravel.list_objects(self.state(at, [resource]), group, version, resource, namespace, name)
         return select.filter_fields(select.filter_labels(rows, labels), group, resource, fields)
 
     def view(self, group, version, resource, namespace="", at=None, wide=False) -> DataFrame:
-        crds = self.state(at).filter(F.col("resource") == "customresourcedefinitions") if group else None
+        crds = self.state(at, ["customresourcedefinitions"]) if group else None
         return views.view(self.list(group, version, resource, namespace, at=at), group, version, resource, self._at(at), wide, crds, self.records)
 
     def query(self, expression: str, at=None, resource=None, namespace=None) -> DataFrame:
-        return search.query(self.state(at), expression, resource, namespace)
+        return search.query(self._searched(at, resource), expression, resource, namespace)
 
     def search_text(self, pattern: str, regex=False, at=None, resource=None, namespace=None) -> DataFrame:
-        return search.search_text(self.state(at), pattern, regex, resource, namespace)
+        return search.search_text(self._searched(at, resource), pattern, regex, resource, namespace)
 
     def search_logs(self, pattern: str, regex=False, at=None, resource=None, namespace=None) -> DataFrame:
         return search.search_logs(search.log_lines(self.records, self._at(at)), pattern, regex, resource, namespace)
@@ -87,7 +97,7 @@ class Capture:
         return change.diff_captures(self.records, other.records, resource, namespace)
 
     def diagnose(self, at=None, min_severity="info", category=None) -> DataFrame:
-        return health.diagnose(self.state(at), self.index, self.captures, min_severity, category)
+        return health.diagnose(self.state(at, health.DIAGNOSED), self.index, self.captures, min_severity, category)
 
     def inspect(self) -> DataFrame:
         return dash.inspect(self.records, self.catalog)

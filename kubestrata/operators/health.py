@@ -147,6 +147,7 @@ def _unbound_pvc(o: Column) -> Column:
 
 
 _WORKLOAD_KINDS = {"deployments": "Deployment", "statefulsets": "StatefulSet", "replicasets": "ReplicaSet", "daemonsets": "DaemonSet"}
+DIAGNOSED = ["pods", "persistentvolumeclaims", "nodes", *_WORKLOAD_KINDS]
 
 
 def _replica_shortfall(o: Column, resource: Column, path: Column) -> Column:
@@ -266,7 +267,7 @@ def object_findings(objects: DataFrame) -> DataFrame:
         .when(res == "persistentvolumeclaims", let(F.from_json("obj", VOLUME_DDL), _unbound_pvc))
         .when(res == "nodes", let(F.from_json("obj", NODE_DDL), lambda o: _node_conditions(o, path)))
         .when(res.isin(list(_WORKLOAD_KINDS)), let(F.from_json("obj", WORKLOAD_DDL), lambda o: _replica_shortfall(o, res, path))))
-    return _collect(_of(objects, "pods", "persistentvolumeclaims", "nodes", *_WORKLOAD_KINDS), findings)
+    return _collect(_of(objects, *DIAGNOSED), findings)
 
 
 # ------------------------------------------------------------------- report

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kubestrata.functions.ordered import filled, ranked
-from kubestrata.functions.paths import child_match, kind_of, list_path, with_path_cols
+from kubestrata.functions.paths import child_match, is_log_path, kind_of, list_path, with_path_cols
 from kubestrata.functions.scalars import at_literal, blank, first_non_empty, meta_of
 from kubestrata.schema import LIST_DDL, SHORT_NAMES, TABLE_DDL
 
@@ -125,13 +125,42 @@ def reconstruct(base: DataFrame, items: DataFrame, events: DataFrame, at=None,
     )
 
 
-def reconstruct_at(records: DataFrame, at=None) -> DataFrame:
-    """As ``reconstruct``, from a record table; rows carry the identity and path columns."""
-    base = latest_at(records.select(*KEYS, "seq", "captured_at", "event_type", "response_code", "body"), at)
-    items = explode_items(base.select(*KEYS, "body"))
+def in_scope(records: DataFrame, resources: list[str] | None = None) -> DataFrame:
+    """Records that can hold objects, of the given resources.
+
+    The stored ``resource`` column of the tables prunes partitions; without it the path is parsed.
+    """
+    rows = records.filter(~F.col("path").contains("?as=Table") & ~is_log_path("path"))
+    if resources is None:
+        return rows
+    if "resource" not in rows.columns:
+        rows = with_path_cols(rows, columns=["resource"])
+    return rows.filter(F.col("resource").isin(list(resources)))
+
+
+def single_objects(records: DataFrame, at=None, resources: list[str] | None = None) -> DataFrame:
+    """Latest 200 bodies that are one object instead of a list, on paths without events; searched, not diagnosed."""
+    rows = in_scope(records, resources).select(*KEYS, "seq", "captured_at", "event_type", "response_code", "body")
+    watched = rows.filter("event_type IS NOT NULL").select(*KEYS).distinct()
+    plain = F.get_json_object("body", "$.items").isNull() & F.try_parse_json("body").isNotNull()
+    latest = latest_at(rows, at).filter("response_code = 200").filter(plain).join(watched, KEYS, "left_anti")
+    one = latest.select(*KEYS, F.lit(0).cast("bigint").alias("position"), F.col("body").alias("obj"))
+    return with_path_cols(with_identity(one)).filter("resource <> ''")
+
+
+def reconstruct_at(records: DataFrame, at=None, resources: list[str] | None = None) -> DataFrame:
+    """As ``reconstruct``, from a record table; rows carry the identity and path columns.
+
+    ``resources`` narrows the scan itself; filtering the result would come after the whole reconstruction.
+    """
+    records = in_scope(records, resources)
+    # bodies are read by one scan only; what bounds the events comes from narrow columns
+    base = latest_at(records.select(*KEYS, "seq", "captured_at", "event_type", "response_code"), at)
+    bodies = latest_at(records.select(*KEYS, "seq", "captured_at", "event_type", "body"), at)
+    items = explode_items(bodies.select(*KEYS, "body"))
     events = event_objects(records.select(*KEYS, "seq", "captured_at", "event_type", "body"))
     watched = records.filter("event_type IS NOT NULL").select(*KEYS)
-    state = reconstruct(base.drop("body"), items, events, at, watched)
+    state = reconstruct(base, items, events, at, watched)
     return with_path_cols(with_identity(state.drop("object_key")))
 
 

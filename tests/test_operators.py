@@ -209,6 +209,8 @@ def test_query_and_search(spark, log):
     logs = cap.search_logs("nginx").orderBy("line_no").collect()
     assert [(r["container"], r["line_no"], r["snippet"]) for r in logs] == [("main", 1, "nginx up"), ("main", 2, "error nginx nginx")]
     assert cap.search_logs("nginx", resource="nodes").count() == 0
+    single = Capture(log.add("/api/v1/namespaces/ns/pods/solo", 0, obj("solo", "ns", spec={"image": "solo:1"})).df(spark))
+    assert [r["value"] for r in single.query("{.spec.image}", resource="pods").filter("name = 'solo'").collect()] == ['"solo:1"']
     with pytest.raises(ValueError):
         cap.search_text("")
 

@@ -40,6 +40,9 @@ def test_tables_round_trip_and_pruning(spark, tmp_path, log):
     assert back.count() == 3 and sorted(r[0] for r in back.select("resource").distinct().collect()) == ["", "nodes", "pods"]
     cap = Capture(back)
     assert sorted(r["name"] for r in cap.state().collect()) == ["a", "n"]
+    assert [r["name"] for r in cap.state(resources=["pods"]).collect()] == ["a"]
+    plan = cap.state(resources=["pods"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [resource") + plan.count("PartitionFilters: [isnotnull(resource") + plan.count("resource#") > 0
     m = rec.manifest(back).first()
     assert (m["record_count"], m["watch_enabled"]) == (3, False) and m["uncompressed_bytes"] > 0
 
