@@ -175,7 +175,8 @@ def limit_total(spark, sf):
   event_id % 7 AS count FROM events WHERE user_id % 10 = 3""")
 def events_for(spark, sf):
     """Event objects of a namespace with time and severity."""
-    return search.events_for(ad.kube_events(spark, sf), "ns3", "Pod").select("name", "severity", "time", "count")
+    rows = search.events_for(ad.kube_events(spark, sf), "ns3", "Pod")
+    return rows.select("name", "severity", "time", F.col("count").cast("bigint").alias("count"))
 
 
 # ------------------------------------------------------------------- health
