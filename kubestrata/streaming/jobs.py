@@ -56,6 +56,15 @@ def split_late(batch: DataFrame, newest_seen, delay: str = "10 minutes") -> tupl
     return batch.filter(~late), batch.filter(late)
 
 
+def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """One key's rows of one micro-batch in event order.
+
+    Arrow chunks of a key come in no particular order, so they are sorted together. What is held is one key's
+    share of one micro-batch, which the source's rate limit (maxFilesPerTrigger and the like) bounds.
+    """
+    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
+
+
 # ----------------------------------------------------------- duplicate runs
 
 class _DropRepeats(StatefulProcessor):
@@ -69,15 +78,12 @@ class _DropRepeats(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         prev = self.last.get()[0] if self.last.exists() else None
-        for pdf in rows:
-            pdf = pdf.sort_values(["captured_at", "record_id"])
-            keep = pdf["body_hash"].ne(pdf["body_hash"].shift(fill_value=prev if prev is not None else ""))
-            if prev is None:
-                keep.iloc[0] = True
-            prev = pdf["body_hash"].iloc[-1]
-            yield pdf[keep]
-        if prev is not None:
-            self.last.update((prev,))
+        pdf = _in_order(rows, ["captured_at", "record_id"])
+        keep = pdf["body_hash"].ne(pdf["body_hash"].shift(fill_value=prev if prev is not None else ""))
+        if prev is None:
+            keep.iloc[0] = True
+        self.last.update((pdf["body_hash"].iloc[-1],))
+        yield pdf[keep]
 
     def close(self) -> None:
         pass
@@ -105,14 +111,13 @@ class _Transitions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         prev = self.last.get()[0] if self.last.exists() else None
-        for pdf in rows:
-            pdf = pdf.sort_values(["captured_at", "record_id"])
-            before, after = [], []
-            for kind, obj in zip(pdf["event_type"], pdf["obj"]):
-                before.append(None if kind == "ADDED" else prev)
-                after.append(None if kind == "DELETED" else obj)
-                prev = after[-1] if key[-1] != "" else None
-            yield pdf.drop(columns="obj").assign(before=before, after=after)
+        pdf = _in_order(rows, ["captured_at", "record_id"])
+        before, after = [], []
+        for kind, obj in zip(pdf["event_type"], pdf["obj"]):
+            before.append(None if kind == "ADDED" else prev)
+            after.append(None if kind == "DELETED" else obj)
+            prev = after[-1] if key[-1] != "" else None
+        yield pdf.drop(columns="obj").assign(before=before, after=after)
         if prev is None:
             self.last.clear()
         else:
@@ -142,15 +147,15 @@ class _Emptied(StatefulProcessor):
         self.seen = handle.getMapState("seen", "namespace string", "first timestamp_ntz")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for poll in pdf.sort_values("captured_at").itertuples():
-                now = set(poll.namespaces) if poll.namespaces is not None else set()
-                known = {k[0] for k in self.seen.keys()}
-                gone = sorted(known - now)
-                if gone:
-                    yield pd.DataFrame({"capture_id": key[0], "path": key[1], "captured_at": poll.captured_at, "namespace": gone})
-                for ns in now - known:
-                    self.seen.updateValue((ns,), (poll.captured_at.to_pydatetime(),))
+        known = {k[0] for k in self.seen.keys()}
+        for poll in _in_order(rows, ["captured_at"]).itertuples():
+            now = set(poll.namespaces) if poll.namespaces is not None else set()
+            gone = sorted(known - now)
+            if gone:
+                yield pd.DataFrame({"capture_id": key[0], "path": key[1], "captured_at": poll.captured_at, "namespace": gone})
+            for ns in now - known:
+                self.seen.updateValue((ns,), (poll.captured_at.to_pydatetime(),))
+            known |= now
 
     def close(self) -> None:
         pass
