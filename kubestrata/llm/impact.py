@@ -70,6 +70,7 @@ class Shard:
         # one sum holds the gains and, above them, how many dimensions were seen; exact below 2**53
         step = 2.0 ** np.ceil(np.log2(max(gain.max(axis=1).sum(), 1.0) + 1))
         together = step * (d + 1) < 1 << 53
+        slack = 1e-6 + 1e-9 * (np.abs(floor).sum() + gain.max(axis=1).sum())  # rounding of the sums must not rule a member out
         got, seen, both = np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
         done = 0
         for look in LOOKS:
@@ -93,7 +94,7 @@ class Shard:
             lead = np.argpartition(-np.where(other, got, -np.inf), k - 1)[:k] if n > k else np.arange(n)
             lead = lead[other[lead]]
             need = np.sort(self._scores(lead, q))[-k] if len(lead) >= k else -np.inf
-            members = np.flatnonzero(bound >= need - 1e-6)
+            members = np.flatnonzero(other & (bound >= need - slack))
             if len(members) <= FEW * n:
                 break
         score = self._scores(members, q)
