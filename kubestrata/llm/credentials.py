@@ -24,10 +24,11 @@ REACH = 160
 _NAMES = r"(?i:password|passwd|secret|token|api_?key)"
 KINDS = [
     Kind("assign", _NAMES + r"""["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""),
-    Kind("access", r"AKIA[A-Z0-9]++"),
-    Kind("hex", r"[0-9a-f]++"),
+    # the least lengths stand in the patterns: a run that is too short holds no match, and most runs are
+    Kind("access", r"AKIA[A-Z0-9]{16,}+"),
+    Kind("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
     Kind("user", r"""(?<![A-Za-z0-9_])(?i:user|username|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@._-]++""", base=False),
-    Kind("opaque", r"(?:(?<![A-Za-z0-9+/_=-])|\G)[A-Za-z0-9+/_=-]++", base=False),
+    Kind("opaque", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}+", base=False),
     Kind("endpoint", r"(?i:https?|ftp|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]++", base=False),
 ]
 _ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "user": "identifier", "opaque": "secret", "endpoint": "endpoint"}

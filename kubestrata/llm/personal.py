@@ -21,7 +21,7 @@ LEAST = 0.5
 KINDS = [
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){13,}+"),  # a shorter run of digits holds no longer one
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", base=False),
     Kind("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", base=False),
@@ -81,7 +81,7 @@ def _score() -> Column:
 
 def personal_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans) of ``docs`` (doc_id, text); a span has row, kind, at, start, end, hit, score."""
-    rows, spans = find(docs, KINDS)
+    rows, spans = find(docs, KINDS, context=True)
     scored = spans.where(_checked()).withColumn("score", _score()).drop("left", "right")
     base = F.col("kind").isin([k.name for k in KINDS if k.base])
     return rows, apart_from_base(scored.where(base | (F.col("score") >= LEAST)), KINDS)

@@ -32,24 +32,26 @@ class Kind:
     base: bool = True
 
 
-def _matches(text: Column, hits: Column, pattern: str) -> Column:
+def _matches(text: Column, hits: Column, pattern: str, context: bool) -> Column:
     pieces = F.split(text, pattern, -1)
-    around = F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), F.right(x, F.lit(CONTEXT)).alias("left"), F.left(x, F.lit(CONTEXT)).alias("right")))
+    cut = (lambda f, x: f(x, F.lit(CONTEXT))) if context else (lambda f, x: F.lit(""))
+    around = F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), cut(F.right, x).alias("left"), cut(F.left, x).alias("right")))
     zipped = lambda a: F.transform(hits, lambda h, i: F.struct(
         F.get(a, i)["n"].alias("skip"), h.alias("hit"), F.get(a, i)["left"].alias("left"), F.get(a, i + 1)["right"].alias("right")))
     # the pieces are an array of their own row: one evaluation, then places by index
     return F.when(F.size(hits) > 0, F.element_at(F.transform(F.array(around), zipped), 1))
 
 
-def find(docs: DataFrame, kinds: list[Kind]) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, kinds: list[Kind], context: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (row, doc_id), one per row of ``docs``; spans (row, kind, at, start, end, hit, left, right).
 
-    ``at`` is the place of the kind in ``kinds``; a null text is empty.
+    ``at`` is the place of the kind in ``kinds``; a null text is empty. ``left`` and ``right`` are the text around a
+    match up to the matches of its kind next to it, with ``context``; else they are empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", *[F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias(f"h{i}") for i, k in enumerate(kinds)])
-    made = hit.select("doc_id", *[_matches(F.col("text"), F.col(f"h{i}"), k.pattern).alias(f"k{i}") for i, k in enumerate(kinds)])
+    made = hit.select("doc_id", *[_matches(F.col("text"), F.col(f"h{i}"), k.pattern, context).alias(f"k{i}") for i, k in enumerate(kinds)])
     found = staged(made.withColumn("row", F.monotonically_increasing_id()), "found")
     whole = None
     for i in range(len(kinds)):
