@@ -41,11 +41,15 @@ class Capture:
         return shape.api_catalog(self.records)
 
     def _at(self, at):
-        """Relative bounds resolve against the capture window (one capture)."""
+        """Relative bounds resolve against the capture's window; with several captures there is no one window."""
         if not isinstance(at, str) or self.captures is None:
             return at
-        row = self.captures.select("captured_at", "captured_until").first()
-        return resolve_at(at, row["captured_at"], row["captured_until"])
+        rows = self.captures.select("captured_at", "captured_until").head(2)
+        if len(rows) == 1:
+            return resolve_at(at, rows[0]["captured_at"], rows[0]["captured_until"])
+        if at[:4].isdigit():
+            return at
+        raise ValueError("a relative time needs a handle with one capture; give an absolute one")
 
     def state(self, at=None, resources: list[str] | None = None) -> DataFrame:
         """Objects alive at an instant, overlay changes applied when the handle has some.
@@ -56,8 +60,7 @@ class Capture:
         if self.changes is None:
             return objects
         changes = self.changes if resources is None else self.changes.filter(F.col("resource").isin(resources))
-        key = [*(["capture_id"] if "capture_id" in self.changes.columns else []), *overlay.KEY]
-        merged = overlay.merge_overlay(objects, overlay.compact(changes, key), key)
+        merged = overlay.merge_overlay(objects, overlay.compact(changes))
         # identity is read again: a replaced object may carry other labels, an added one has no path yet
         path = F.coalesce("path", list_path("group", "version", "resource", "obj_namespace"))
         rows = merged.select("capture_id", path.alias("path"), "group", "version", "resource",
@@ -97,7 +100,7 @@ class Capture:
         return change.diff_captures(self.records, other.records, resource, namespace)
 
     def diagnose(self, at=None, min_severity="info", category=None) -> DataFrame:
-        return health.diagnose(self.state(at, health.DIAGNOSED), self.index, self.captures, min_severity, category)
+        return health.worst_first(health.diagnose(self.state(at, health.DIAGNOSED), self.index, self.captures, min_severity, category))
 
     def inspect(self) -> DataFrame:
         return dash.inspect(self.records, self.catalog)

@@ -18,6 +18,21 @@ from kubestrata.session import checkpointed
 CHUNK_ROWS = 1 << 16
 
 
+#: Parts that rows of one key are dealt into before a join with that key's facts.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Join narrow ``facts`` to ``rows`` on ``keys`` where one key may hold a large share of the rows.
+
+    Facts are repeated once per salt, so a key's rows meet them in ``SALTS`` tasks; and as the salt is part of the
+    join's partitioning, an aggregate by a finer key has an exchange of its own.
+    """
+    salt = F.pmod(F.hash(*by), F.lit(SALTS))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def chunk_of(seq, rows: int = CHUNK_ROWS) -> Column:
     return F.floor((F.col(seq) if isinstance(seq, str) else seq) / F.lit(rows))
 

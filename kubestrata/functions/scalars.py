@@ -186,9 +186,11 @@ def age_short(created, ref) -> Column:
 # ------------------------------------------------------------------- json
 
 def canon_json(body) -> Column:
-    """Text that is equal for semantically equal JSON: keys sorted, 1 and 1.0 alike; raw when unparsable."""
+    """Text that is equal for semantically equal JSON: keys sorted, 1, 1.0 and 1e0 alike; raw when unparsable."""
     body = _c(body)
-    return F.coalesce(F.to_json(F.try_parse_json(body)), body)
+    # numbers with an exponent come back as doubles; whole ones lose their fraction, outside strings only
+    whole = r'("(?:[^"\\]++|\\.)*+")|(-?[0-9]+)\.0+(?=[,}\]]|$)'
+    return F.coalesce(F.regexp_replace(F.to_json(F.try_parse_json(body)), whole, "$1$2"), body)
 
 
 def json_same(a, b) -> Column:

@@ -7,10 +7,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kubestrata.functions.ordered import chunk_of, ranked, shifted
+from kubestrata.functions.ordered import ranked, shifted
 from kubestrata.functions.paths import list_path, with_path_cols
 from kubestrata.functions.scalars import at_literal, canon_json, in_window
 from kubestrata.operators.health import classify
@@ -51,8 +51,16 @@ def _path_filter(df: DataFrame, resource: str | None, namespace: str | None) ->
 
 def diff_captures(before: DataFrame, after: DataFrame, resource: str | None = None, namespace: str | None = None,
                   before_at=None, after_at=None) -> DataFrame:
-    """Paths whose latest 200 body differs between two record tables (compared path by path)."""
-    changed = diff_tables(_snapshot(before, before_at), _snapshot(after, after_at), ["path"])
+    """Paths whose latest 200 body differs between two captures (compared path by path), one in each record table.
+
+    A table with several captures has no single latest body for a path: that is an error when a row of it is compared.
+    """
+    def one(df: DataFrame) -> DataFrame:
+        many = F.count_distinct("capture_id") > 1
+        check = df.agg(F.when(many, F.raise_error(F.lit("diff_captures takes one capture on either side"))).cast("boolean").alias("_many"))
+        return df.crossJoin(F.broadcast(check)).filter(F.col("_many").isNull()).drop("_many")  # one row on the right
+
+    changed = diff_tables(one(_snapshot(before, before_at)), one(_snapshot(after, after_at)), ["path"])
     return _path_filter(changed, resource, namespace)
 
 
@@ -226,10 +234,13 @@ def transition_report(records: DataFrame, events: DataFrame, resource: str | Non
     return with_path_cols(merged).orderBy("captured_at", *KEYS, "seq", "pos", "object_key")
 
 
-def recent(events: DataFrame, at=None, n: int = 8) -> DataFrame:
-    """The n newest events over all paths (a top-n report)."""
+def recent(events: DataFrame, at=None, n: int | None = None) -> DataFrame:
+    """The n newest events of each capture over all its paths; all of them without ``n``."""
     rows = events if at is None else events.filter(F.col("captured_at") <= at_literal(at))
-    return rows.orderBy(F.desc("captured_at"), F.desc("path"), F.desc("seq")).limit(n)
+    if n is None:
+        return rows
+    newest = F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("captured_at"), F.desc("path"), F.desc("seq")))
+    return rows.withColumn("_newest", newest).filter(F.col("_newest") <= n).drop("_newest")
 
 
 def object_history(events: DataFrame, path: str, name: str | None = None, at=None, n: int | None = None) -> DataFrame:
@@ -284,13 +295,24 @@ def rv_as_of(events: DataFrame, instants: dict[str, object] | list, target: str
     return events.groupBy("capture_id", F.col(target).alias("target")).agg(*aggs)
 
 
+def expired(rows: DataFrame, rv: int, floor: int = RV_BASE) -> DataFrame:
+    """Targets whose timeline does not hold version ``rv``: capture_id, target, newest."""
+    newest = rows.groupBy("capture_id", "target").agg(F.max("rv").alias("newest"))
+    return newest.filter((F.lit(rv) < floor) | (F.lit(rv) > F.col("newest")))
+
+
 def read_since(rows: DataFrame, rv: int, floor: int = RV_BASE, check: bool = True) -> DataFrame:
-    """Timeline rows after version ``rv``; a version outside the timeline is an expired-version error."""
-    if check:
-        top = rows.agg(F.coalesce(F.max("rv"), F.lit(RV_BASE))).first()[0]
-        if rv < floor or rv > top:
-            raise ValueError(f"version {rv} is expired: the timeline holds {floor}..{top}")
-    return rows.filter(F.col("rv") > rv)
+    """Timeline rows after version ``rv`` of each target.
+
+    With ``check``, targets that do not hold the version give one row instead, of type EXPIRED, whose ``rv`` is the
+    newest they hold: a reader of that target has to list again. The bound is each target's own.
+    """
+    later = rows.filter(F.col("rv") > rv)
+    if not check:
+        return later
+    old = expired(rows, rv, floor).select("capture_id", "target", F.lit("EXPIRED").alias("event_type"), F.col("newest").alias("rv"))
+    kept = later if floor <= rv else later.limit(0)
+    return kept.unionByName(old, allowMissingColumns=True)
 
 
 def stamp_version(obj, rv) -> Column:
@@ -305,9 +327,9 @@ def stamp_version(obj, rv) -> Column:
 def list_then_tail(state: DataFrame, events: DataFrame, at, target_path: str) -> DataFrame:
     """State of one list at T as ADDED rows stamped with the list's version, then every later event."""
     ev = events.filter(F.col("path") == target_path)
-    start = (ev.filter(F.col("captured_at") <= at_literal(at)).agg(F.count("*")).scalar() + RV_BASE)
-    now = state.filter(F.col("path") == target_path).withColumn("rv", start).select(
-        *KEYS, F.lit("ADDED").alias("event_type"), "rv", "object_key", "obj")
+    start = ev.filter(F.col("captured_at") <= at_literal(at)).groupBy("capture_id").agg(F.count("*").alias("_n"))
+    now = state.filter(F.col("path") == target_path).join(start, "capture_id", "left").withColumn(
+        "rv", F.coalesce("_n", F.lit(0)) + RV_BASE).select(*KEYS, F.lit("ADDED").alias("event_type"), "rv", "object_key", "obj")
     bodies = ev.select(*KEYS, "seq", "obj")
     later = timeline(ev).filter(F.col("captured_at") > at_literal(at)).join(bodies, [*KEYS, "seq"]).select(
         *KEYS, "event_type", "rv", "object_key", "obj")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kubestrata.functions.ordered import salted_join
 from kubestrata.functions.paths import kind_of, log_path_cols, with_path_cols
 from kubestrata.functions.scalars import (
     age_text, at_literal, blank, first_non_empty, is_sidecar, line_count, micros_between, record, rfc3339, zero,
@@ -168,8 +169,8 @@ def activity(events: DataFrame, captures: DataFrame, buckets: int = 30, namespac
     window = captures.select("capture_id", F.col("captured_at").alias("_start"), F.col("captured_until").alias("_end")).filter("_end > _start")
     is_pod = F.col("path").contains("/pods")
     kind = lambda t: F.count_if(is_pod & (F.col("event_type") == t))
-    # pre-aggregated per capture, then joined to a spine of `buckets` rows
-    hit = rows.join(window, "capture_id").withColumn("bucket", bucket_of("captured_at", "_start", "_end", buckets))
+    # the window is salted: events of one capture meet it in several tasks and are counted before they meet each other
+    hit = salted_join(rows, window, ["capture_id"], ["path", "seq"]).withColumn("bucket", bucket_of("captured_at", "_start", "_end", buckets))
     counts = hit.groupBy("capture_id", "bucket").agg(
         F.count("*").alias("total"), kind("MODIFIED").alias("warn"), kind("DELETED").alias("bad"))
     width = F.floor(micros_between("_start", "_end") / buckets)

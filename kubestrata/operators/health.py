@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kubestrata.functions.ordered import salted_join
 from kubestrata.functions.paths import with_path_cols
 from kubestrata.functions.scalars import (
     blank, first_non_empty, let, minor_version, pod_prefix, reason_slug, record, zero,
@@ -226,7 +227,7 @@ def find_node_conditions(objects: DataFrame) -> DataFrame:
 def find_version_skew(objects: DataFrame, captures: DataFrame) -> DataFrame:
     """Nodes whose kubelet is 3 or more minor versions away from the control plane."""
     plane = captures.select("capture_id", F.col("kubernetes_version").alias("_v"))
-    rows = _of(objects, "nodes").join(plane, "capture_id")
+    rows = salted_join(_of(objects, "nodes"), plane, ["capture_id"], ["path", "name"])
 
     def found(o: Column) -> Column:
         kubelet = o["status"]["nodeInfo"]["kubeletVersion"]
@@ -278,7 +279,7 @@ def severity_rank(severity) -> Column:
 
 def diagnose(objects: DataFrame, index: DataFrame | None = None, captures: DataFrame | None = None,
              min_severity: str = "info", category: str | None = None) -> DataFrame:
-    """All rules over one reconstructed state, worst first. With captures the nodes are read a second time."""
+    """All rules over one reconstructed state, in no order (see ``worst_first``). With captures the nodes are read twice."""
     parts = [object_findings(objects)]
     if captures is not None:
         parts.append(find_version_skew(objects, captures))
@@ -290,7 +291,12 @@ def diagnose(objects: DataFrame, index: DataFrame | None = None, captures: DataF
     found = found.filter(F.col("severity").isin(SEVERITIES[SEVERITIES.index(min_severity):]))
     if category:
         found = found.filter(F.col("category") == category)
-    return found.orderBy(F.desc(severity_rank("severity")), "category", "rule_id", "namespace", "name")
+    return found
+
+
+def worst_first(findings: DataFrame) -> DataFrame:
+    """Findings in the order of a report."""
+    return findings.orderBy(F.desc(severity_rank("severity")), "category", "rule_id", "namespace", "name")
 
 
 def summary(findings: DataFrame) -> DataFrame:
@@ -311,8 +317,8 @@ def dominant_issue(issues) -> Column:
     return F.coalesce(hit, F.get(issues, F.lit(0)), F.lit("Unknown"))
 
 
-def issues(health: DataFrame, n: int | None = 8, scope: list[str] = ["capture_id"]) -> DataFrame:  # noqa: B006
-    """Unhealthy pods grouped by (namespace, name stem, dominant reason), worst and largest first (top n)."""
+def issues(health: DataFrame, n: int | None = None, scope: list[str] = ["capture_id"]) -> DataFrame:  # noqa: B006
+    """Unhealthy pods grouped by (namespace, name stem, dominant reason), worst and largest first; ``n`` keeps the first ones."""
     rows = health.filter(F.size("issues") > 0).select(
         *scope, "namespace", "name", "restarts", pod_prefix("name").alias("prefix"), dominant_issue("issues").alias("reason"))
     g = rows.groupBy(*scope, "namespace", "prefix", "reason").agg(

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GVR = ["group", "version", "resource"]
-KEY = [*GVR, "obj_namespace", "name"]
+KEY = ["capture_id", *GVR, "obj_namespace", "name"]
+#: Versions of one run of a log.
+RUN = 4096
 
 
 def merge_overlay(base: DataFrame, changes: DataFrame, key: list[str] = KEY, namespace: str = "") -> DataFrame:
@@ -25,22 +27,24 @@ def merge_overlay(base: DataFrame, changes: DataFrame, key: list[str] = KEY, nam
 def compact(log: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Write log -> latest entry per key: rv, created_rv (0 for tombstones), deleted, obj.
 
-    created_rv is the first write after the last delete. It comes from two aggregates that combine on the
-    map side; the join in between is per key and adaptive execution splits a hot one.
+    created_rv is the first write after the last delete. A key's log is cut into runs of neighbouring versions; a run
+    knows its last delete, its first write and its first write after its last delete, and the key's birth follows
+    from one row per run: no join with the log, and a busy object is as many tasks as it has runs. Bodies are picked
+    afterwards, by key and version.
     """
-    heads = log.groupBy(*key).agg(
-        F.max("rv").alias("rv"), F.max_by(F.struct("deleted", "obj"), "rv").alias("_e"),
-        F.max(F.when(F.col("deleted"), F.col("rv"))).alias("_last_delete"),
-    )
-    births = (
-        log.filter("NOT deleted").select(*key, "rv")
-        .join(heads.select(*key, "_last_delete"), key)
-        .filter(F.col("_last_delete").isNull() | (F.col("rv") > F.col("_last_delete")))
-        .groupBy(*key).agg(F.min("rv").alias("created_rv"))
-    )
-    return heads.join(births, key, "left").select(
-        *key, "rv", F.coalesce("created_rv", F.lit(0)).cast("bigint").alias("created_rv"),
-        F.col("_e.deleted").alias("deleted"), F.col("_e.obj").alias("obj"))
+    run = F.floor(F.col("rv") / RUN).alias("_run")
+    deleted = F.max(F.when(F.col("deleted"), F.col("rv"))).alias("_gone")
+    write = F.when(~F.col("deleted"), F.col("rv"))
+    facts = log.select(*key, "rv", "deleted", run)
+    last = facts.groupBy(*key, "_run").agg(deleted, F.max("rv").alias("rv"), F.min(write).alias("_first"), F.collect_list(write).alias("_writes"))
+    runs = last.select(*key, "_run", "rv", "_gone", "_first",
+                       F.array_min(F.filter("_writes", lambda w: w > F.coalesce("_gone", F.lit(-1)))).alias("_after"))
+    heads = runs.groupBy(*key).agg(F.max("rv").alias("rv"), F.max("_gone").alias("_gone"), F.max(F.when(F.col("_gone").isNotNull(), F.col("_run"))).alias("_last"))
+    births = runs.join(heads.select(*key, "_last"), key).filter(F.col("_last").isNull() | (F.col("_run") >= F.col("_last"))).groupBy(*key).agg(
+        F.min(F.when(F.col("_run") == F.col("_last"), F.col("_after")).otherwise(F.col("_first"))).alias("created_rv"))
+    return log.join(heads.select(*key, "rv"), [*key, "rv"]).join(births, key, "left").select(
+        *key, "rv", F.when(F.col("deleted"), F.lit(0)).otherwise(F.coalesce("created_rv", F.lit(0))).cast("bigint").alias("created_rv"),
+        "deleted", "obj")
 
 
 def changes_since(entries: DataFrame, rv: int, namespace: str = "") -> DataFrame:
@@ -53,25 +57,25 @@ def changes_since(entries: DataFrame, rv: int, namespace: str = "") -> DataFrame
 
 
 def scope_rv(entries: DataFrame) -> DataFrame:
-    """Newest version per (group, version, resource, namespace)."""
-    return entries.groupBy(*GVR, "obj_namespace").agg(F.max("rv").alias("rv"))
+    """Newest version per capture and (group, version, resource, namespace)."""
+    return entries.groupBy("capture_id", *GVR, "obj_namespace").agg(F.max("rv").alias("rv"))
 
 
 def overlay_scopes(entries: DataFrame) -> DataFrame:
     """Live entries per scope: count and one sample object (of the smallest name)."""
-    return entries.filter("NOT deleted").groupBy(*GVR, "obj_namespace").agg(
+    return entries.filter("NOT deleted").groupBy("capture_id", *GVR, "obj_namespace").agg(
         F.count("*").alias("objects"), F.min_by("obj", "name").alias("sample"))
 
 
 def _deleted_namespaces(entries: DataFrame) -> DataFrame:
     return entries.filter("deleted AND `group` = '' AND version = 'v1' AND resource = 'namespaces'").select(
-        F.col("name").alias("_gone")).distinct()
+        F.col("capture_id").alias("_of"), F.col("name").alias("_gone")).distinct()
 
 
 def drop_deleted_namespaces(objects: DataFrame, entries: DataFrame, namespace: str = "obj_namespace") -> DataFrame:
-    """Objects (captured or overlay) without the contents of deleted namespaces."""
+    """Objects (captured or overlay) without the contents of namespaces that were deleted in the same capture."""
     gone = _deleted_namespaces(entries)
-    return objects.join(gone, objects[namespace] == gone["_gone"], "left_anti")
+    return objects.join(gone, (objects["capture_id"] == gone["_of"]) & (objects[namespace] == gone["_gone"]), "left_anti")
 
 
 def cascade_tombstones(entries: DataFrame, next_rv: int) -> DataFrame:
@@ -79,7 +83,7 @@ def cascade_tombstones(entries: DataFrame, next_rv: int) -> DataFrame:
     from kubestrata.functions.ordered import ranked
 
     gone = _deleted_namespaces(entries)
-    live = entries.filter("NOT deleted").join(gone, F.col("obj_namespace") == F.col("_gone"), "left_semi")
+    live = entries.filter("NOT deleted").join(gone, (F.col("capture_id") == F.col("_of")) & (F.col("obj_namespace") == F.col("_gone")), "left_semi")
     return ranked(live.drop("rv"), [], KEY, "rv").withColumn("rv", F.col("rv") + next_rv - 1).withColumn(
         "deleted", F.lit(True)).withColumn("created_rv", F.lit(0).cast("bigint"))
 
@@ -93,7 +97,7 @@ def suppress_owned(timeline: DataFrame, entries: DataFrame, key: list[str] = KEY
 def delete_collection(objects: DataFrame, rv: int) -> DataFrame:
     """One tombstone per named object of an already strictly filtered list (see select.filter_strict)."""
     return objects.filter("name <> ''").select(
-        *GVR, "obj_namespace", "name", F.lit(rv).cast("bigint").alias("rv"), F.lit(0).cast("bigint").alias("created_rv"),
+        *KEY, F.lit(rv).cast("bigint").alias("rv"), F.lit(0).cast("bigint").alias("created_rv"),
         F.lit(True).alias("deleted"), "obj")
 
 

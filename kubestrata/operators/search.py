@@ -140,13 +140,11 @@ def search_text(objects: DataFrame, pattern: str, regex: bool = False, resource:
                 namespace: str | None = None) -> DataFrame:
     """Matches in every string leaf: match columns, ``field`` and ``snippet``.
 
-    A literal pattern that JSON never escapes also pre-filters the raw objects, so most are not decoded.
+    Every object in scope is decoded: JSON may spell any character as an escape, so the raw text rules none out.
     """
     if not pattern:
         raise ValueError("search pattern must not be empty")
     rows = _scoped(objects, resource, namespace)
-    if not regex and not _ESCAPED.search(pattern):
-        rows = rows.filter(F.col("obj").contains(pattern))
     found = search_strings(leaves(rows.select(*MATCH_COLUMNS, "obj")), "text", pattern, regex)
     return found.select(*MATCH_COLUMNS, "field", "snippet", "byte_start")
 

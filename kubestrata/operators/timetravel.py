@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kubestrata.functions.ordered import filled, ranked
+from kubestrata.functions.ordered import filled, ranked, salted_join
 from kubestrata.functions.paths import child_match, is_log_path, kind_of, list_path, with_path_cols
 from kubestrata.functions.scalars import at_literal, blank, first_non_empty, meta_of
 from kubestrata.schema import LIST_DDL, SHORT_NAMES, TABLE_DDL
@@ -26,8 +26,10 @@ def latest_at(records: DataFrame, at=None, keys: list[str] = KEYS, order: str =
     """Last snapshot record per path at or before ``at`` (unset: the last one); any response code counts."""
     snaps = records.filter(F.col("event_type").isNull()) if "event_type" in records.columns else records
     rest = [c for c in snaps.columns if c not in keys]
-    picked = _until(snaps, at).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
-    return picked.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+    seen = _until(snaps, at)
+    # narrow, fixed-width columns find the newest row; only then are bodies read
+    newest = seen.groupBy(*keys).agg(F.max(order).alias(order))
+    return seen.join(newest, [*keys, order], "left_semi").select(*keys, *rest)
 
 
 snapshot_at = latest_at  # the snapshot's own time stays in captured_at
@@ -91,13 +93,14 @@ def reconstruct(base: DataFrame, items: DataFrame, events: DataFrame, at=None,
 
     Paths with events: 200 snapshots give the base, others an empty one, and their time still bounds which
     events apply. Paths without events: the snapshot's items as they are. ``position`` is the place of first
-    appearance, which a deleted and re-added object keeps. One shuffle on (path, object) after the joins.
+    appearance, which a deleted and re-added object keeps. The joins are salted and the aggregate shuffles on
+    (path, object), so neither a busy path nor its joins are one task.
     """
     watched = (events if watched is None else watched).select(*KEYS).distinct()
     paths = base.select(*KEYS, "response_code", F.col("captured_at").alias("_snap")).join(
         watched.withColumn("_w", F.lit(True)), KEYS, "left")
     from_list = (
-        items.join(paths.filter("response_code = 200"), KEYS)
+        salted_join(items, paths.filter("response_code = 200"), KEYS, ["object_key"])
         .filter(F.col("_w").isNull() | (F.col("object_key") != ""))
         .select(
             *KEYS,
@@ -109,7 +112,7 @@ def reconstruct(base: DataFrame, items: DataFrame, events: DataFrame, at=None,
     )
     in_range = _until(events, at).filter("object_key <> '' AND captured_at IS NOT NULL")
     from_events = (
-        in_range.join(paths.select(*KEYS, "_snap"), KEYS, "left")
+        salted_join(in_range, paths.select(*KEYS, "_snap"), KEYS, ["object_key"], "left")
         .filter(F.col("_snap").isNull() | (F.col("captured_at") > F.col("_snap")))
         .select(*KEYS, F.col("object_key").alias("_key"), (F.col("seq") + _EVENT_OFFSET).alias("_rank"),
                 "event_type", "obj")
@@ -218,7 +221,7 @@ def aggregate_tables(records: DataFrame, group: str, version: str, resource: str
     ids = with_identity(rows.withColumn("obj", obj))
     merged = first_per_key(ids, first_non_empty("uid", "name"), ["path", "position"])
     heads = latest.groupBy("capture_id").agg(F.min_by(F.col("t.columnDefinitions"), "path").alias("column_definitions"))
-    return merged.join(heads, "capture_id")
+    return salted_join(merged, heads, ["capture_id"], ["path", "name"])
 
 
 def list_objects(state: DataFrame, group: str, version: str, resource: str, namespace: str = "",
@@ -286,14 +289,15 @@ def api_groups(catalog: DataFrame) -> DataFrame:
 
 
 def time_axis(records: DataFrame, stops: int = 180) -> DataFrame:
-    """Distinct record times; more than ``stops`` are thinned to evenly spaced ones, first and last kept."""
-    times = records.filter("captured_at IS NOT NULL").select("captured_at").distinct()
-    numbered = ranked(times, [], ["captured_at"], "n").withColumn("n", F.col("n") - 1)
-    total = numbered.agg(F.count("*")).scalar()
+    """Distinct record times of each capture; more than ``stops`` are thinned to evenly spaced ones, first and last kept."""
+    times = records.filter("captured_at IS NOT NULL").select("capture_id", "captured_at").distinct()
+    numbered = ranked(times, ["capture_id"], ["captured_at"], "n").withColumn("n", F.col("n") - 1)
+    totals = numbered.groupBy("capture_id").agg(F.count("*").alias("total"))
     step = (F.col("total") - 1) / F.lit(float(stops - 1))
-    picks = times.sparkSession.range(stops).withColumn("total", total).select(
-        F.least(F.floor(F.col("id") * step), F.col("total") - 1).alias("n"), "total")
-    wanted = picks.select("n").distinct()
-    thinned = numbered.join(wanted, "n", "left_semi").select("captured_at")
-    return numbered.filter(total <= stops).select("captured_at").unionByName(
-        thinned.withColumn("_t", total).filter(F.col("_t") > stops).drop("_t"))
+    ids = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(stops - 1).cast("bigint")))
+    picks = totals.filter(F.col("total") > stops).select("capture_id", "total", ids.alias("id")).select(
+        "capture_id", F.least(F.floor(F.col("id") * step), F.col("total") - 1).alias("n")).distinct()
+    short = totals.filter(F.col("total") <= stops).select("capture_id")
+    columns = ["capture_id", "captured_at"]
+    return numbered.join(picks, ["capture_id", "n"], "left_semi").select(*columns).unionByName(
+        salted_join(numbered, short, ["capture_id"], ["n"]).select(*columns))

@@ -21,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores when the input has fewer splits than the cluster has slots.
-
-    A large table has far more splits than slots and is left as it is; a small file in one row group is not.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def txt(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -98,7 +89,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kube_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as Event objects about pod u<user>."""
-    e = spread(table(spark, sf_dir, "events"))
+    e = table(spark, sf_dir, "events")
     ns, name = txt("ns", F.col("user_id") % 10), txt("ev", F.col("event_id"))
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     reason = F.when(F.col("event_type") == "error", "BackOff").when(F.col("event_type") == "signup", "Scheduled").otherwise("Pulled")
@@ -117,7 +108,7 @@ def kube_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pod per lineitem, built inside the row: main container, a sidecar for every third line number and
     an init container for every fourth."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("int")
     flag, line, supp, part = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
     ns = txt("ns", supp % 25)
@@ -160,7 +151,7 @@ WORKLOAD_OF_TYPE = {"STANDARD": "deployments", "ECONOMY": "statefulsets", "MEDIU
 
 def workloads(spark: SparkSession, sf_dir: str, resource: str | None = None, group: str | None = None) -> DataFrame:
     """Parts as workloads: the kind follows p_type (or is given), p_size is the wanted size."""
-    p = spread(table(spark, sf_dir, "part"))
+    p = table(spark, sf_dir, "part")
     kinds = F.create_map(*[F.lit(x) for kv in WORKLOAD_OF_TYPE.items() for x in kv])
     res = F.lit(resource) if resource else F.element_at(kinds, F.col("p_type"))
     size, have = F.col("p_size"), (F.col("p_partkey") % (F.col("p_size") + 3)).cast("int")
@@ -194,7 +185,7 @@ def workloads(spark: SparkSession, sf_dir: str, resource: str | None = None, gro
 
 def part_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with brand and type labels; a size label only above 10."""
-    p = spread(table(spark, sf_dir, "part"))
+    p = table(spark, sf_dir, "part")
     name = txt("part-", F.col("p_partkey"))
     labels = F.map_from_entries(F.array_compact(F.array(
         F.struct(F.lit("brand").alias("k"), F.col("p_brand").alias("v")), F.struct(F.lit("type").alias("k"), F.col("p_type").alias("v")),
@@ -234,7 +225,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as volume claims; the market segment decides the phase."""
-    c = spread(table(spark, sf_dir, "customer"))
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     ns, name = txt("ns", F.col("c_nationkey")), txt("claim-", k)
     phase = F.when(F.col("c_mktsegment") == "BUILDING", "Pending").when(F.col("c_mktsegment") == "MACHINERY", "Lost").otherwise("Bound")
@@ -247,7 +238,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spread(table(spark, sf_dir, "customer"))
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     name = txt("pv-", k)
     obj = F.to_json(F.struct(
@@ -260,7 +251,7 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spread(table(spark, sf_dir, "customer"))
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     ns, name = txt("ns", F.col("c_nationkey")), txt("svc-", k)
     kind = F.when(k % 4 == 0, "LoadBalancer").when(k % 4 == 1, "ExternalName").when(k % 4 == 2, "NodePort").otherwise("ClusterIP")
@@ -281,7 +272,7 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as Secrets / ConfigMaps with one to three data entries."""
-    c = spread(table(spark, sf_dir, "customer"))
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     ns, name = txt("ns", F.col("c_nationkey")), txt("cfg-", k)
     data = F.map_from_entries(F.slice(F.array(
@@ -324,7 +315,7 @@ def crds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as overlay writes: rv = event_id + 1."""
     e = event_log(spark, sf_dir)
-    return e.select(F.lit("").alias("group"), F.lit("v1").alias("version"), F.lit("widgets").alias("resource"), "obj_namespace", "name",
+    return e.select("capture_id", F.lit("").alias("group"), F.lit("v1").alias("version"), F.lit("widgets").alias("resource"), "obj_namespace", "name",
                     (F.col("seq") + 1).alias("rv"), (F.col("event_type") == "DELETED").alias("deleted"), "obj")
 
 
@@ -351,7 +342,7 @@ def log_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_as_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents"))
+    d = table(spark, sf_dir, "documents")
     name = txt("doc-", F.col("doc_id"))
     obj = F.to_json(F.struct(F.struct(name.alias("name")).alias("metadata"), F.struct(F.col("lang"), F.col("text")).alias("spec")))
     return _objects(d, F.lit("/apis/text.example.com/v1/documents"), "text.example.com", "v1", "documents", F.lit(""), name, obj, position=F.col("doc_id"))

@@ -194,7 +194,7 @@ SELECT captured_at FROM n WHERE c <= 180 OR n IN (SELECT least(CAST(floor(i * ((
   FROM (SELECT unnest(range(180)) AS i, (SELECT count(*) FROM t) AS c2))""")
 def time_axis(spark, sf):
     """180 evenly spaced instants of all record times."""
-    return timetravel.time_axis(ad.event_log(spark, sf), 180)
+    return timetravel.time_axis(ad.event_log(spark, sf), 180).select("captured_at")
 
 
 @query("""
@@ -367,7 +367,7 @@ def overlay_scopes(spark, sf):
 @query("SELECT 'ns' || c_nationkey AS namespace, 'claim-' || c_custkey AS name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 2")
 def namespace_cascade(spark, sf):
     """Claims without those of deleted namespaces."""
-    gone = ad.namespaces(spark, sf).select("group", "version", "resource", "obj_namespace", "name", (F.element_at("labels", "region") == "2").alias("deleted"))
+    gone = ad.namespaces(spark, sf).select("capture_id", "group", "version", "resource", "obj_namespace", "name", (F.element_at("labels", "region") == "2").alias("deleted"))
     return overlay.drop_deleted_namespaces(ad.claims(spark, sf), gone).select("namespace", "name")
 
 

@@ -15,10 +15,10 @@ KEYS = ["capture_id", "path"]
 
 # ------------------------------------------------------------------ NDJSON
 
-def _parse_lines(lines: DataFrame) -> DataFrame:
+def _parse_lines(lines: DataFrame, *keep: str) -> DataFrame:
     rec = F.from_json("value", NDJSON_DDL)
-    return lines.select("value", rec.alias("r")).select(
-        "value",
+    return lines.select("value", *keep, rec.alias("r")).select(
+        "value", *keep,
         F.col("r.id").alias("record_id"),
         F.col("r.api_path").alias("path"),
         rfc3339(F.col("r.captured_at")).alias("captured_at"),
@@ -35,10 +35,15 @@ def _usable():
 
 
 def read_records(spark: SparkSession, path: str, capture_id: str = "stream") -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine) of newline-delimited record files; unreadable lines land in quarantine."""
-    parsed = _parse_lines(spark.read.text(path).filter(F.trim("value") != ""))
+    """(records, quarantine) of newline-delimited record files; unreadable lines land in quarantine.
+
+    Records of one path and time keep the order of their lines: by file, block, and place in the block.
+    """
+    place = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")]
+    lines = spark.read.text(path).select("value", F.struct(*place).alias("_arrival"))
+    parsed = _parse_lines(lines.filter(F.trim("value") != ""), "_arrival")
     good = parsed.filter(_usable()).drop("value").withColumn("capture_id", F.lit(capture_id))
-    return with_seq(good), parsed.filter(~_usable()).select("value")
+    return with_seq(good, ["captured_at", "_arrival"]).drop("_arrival"), parsed.filter(~_usable()).select("value")
 
 
 def read_records_stream(

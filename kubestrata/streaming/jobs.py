@@ -1,8 +1,8 @@
 """Structured Streaming forms: landing with sequence numbers, duplicate suppression, transitions, emptied
 namespaces, activity counts, list then tail.
 
-Event time is ``event_time`` (captured_at as TIMESTAMP) and carries the watermark. State expires after six
-watermark lengths without input. Late rows: see ``split_late``.
+Event time is ``event_time`` (captured_at as TIMESTAMP) and carries the watermark. State of the processors stays until
+a time to live is given. Late rows: see ``split_late``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from kubestrata.operators.timetravel import with_identity
 from kubestrata.sources.records import with_seq
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-TTL_FACTOR = 6
 
 
 def use_rocksdb(spark: SparkSession) -> SparkSession:
