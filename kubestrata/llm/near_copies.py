@@ -163,7 +163,8 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     sizes = members.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("grams") / BLOCK_GRAMS)).alias("blocks"))
     members = staged(members, "members").join(staged(sizes, "sizes"), "label").select(
         "node", "n", "label", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("first._k").alias("_k"), F.col("first._t").alias("_t"))
-    candidates = texts.select("_k", "_t", "text").join(staged(members, "blocks"), ["_k", "_t"])
+    # texts are shuffled once whatever the number of candidates: no plan that only holds for few of them
+    candidates = texts.select("_k", "_t", "text").join(staged(members, "blocks").hint("merge"), ["_k", "_t"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
