@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from kubestrata.llm.store import staged
 from kubestrata.llm.vectors import best, blocks, spread, usable
 
-SHARD_ROWS, QUERY_ROWS, LEVELS = 8192, 1024, 8
+SHARD_ROWS, QUERY_ROWS, LEVELS = 16384, 512, 16
 #: Shares of a shard's postings after which the bounds are looked at, and the share of rows that are few enough to score.
-LOOKS, FEW = (0.25, 0.5, 1.0), 0.08
+LOOKS, FEW = (0.7, 1.0), 0.2
 
 
 class Shard:
@@ -39,7 +39,7 @@ class Shard:
         n, d = self.rows.shape
         low, high = self.rows.min(axis=0), self.rows.max(axis=0)
         level = ((self.rows - low) * LEVELS // (high - low + 1)).astype(np.int64)
-        self.postings = np.argsort(level, axis=0, kind="stable").astype(np.int32).T.ravel()
+        self.postings = np.argsort(level, axis=0, kind="stable").T.ravel()
         flat = (level + np.arange(d) * LEVELS).ravel()
         self.size = np.bincount(flat, minlength=d * LEVELS)
         self.first = np.cumsum(self.size) - self.size
@@ -87,11 +87,12 @@ class Shard:
                 else:
                     got += np.bincount(rows, np.repeat(gain.ravel()[part], size), n)
                     seen += np.bincount(rows, minlength=n)
-            left = np.zeros(d)
-            np.maximum.at(left, order[done:] // LEVELS, gain.ravel()[order[done:]])
-            rest = np.concatenate([[0.0], np.cumsum(np.sort(left)[::-1])])
-            bound = np.where(other, floor.sum() + got + rest[d - seen], -np.inf)
-            lead = np.argpartition(-np.where(other, got, -np.inf), k - 1)[:k] if n > k else np.arange(n)
+            bound = floor.sum() + got
+            if done < len(order):
+                left = np.zeros(d)
+                np.maximum.at(left, order[done:] // LEVELS, gain.ravel()[order[done:]])
+                bound += np.concatenate([[0.0], np.cumsum(np.sort(left)[::-1])])[d - seen]
+            lead = np.argpartition(got, n - k - 1)[n - k - 1 :] if n > k + 1 else np.arange(n)  # its own row may be among them
             lead = lead[other[lead]]
             need = np.sort(self._scores(lead, q))[-k] if len(lead) >= k else -np.inf
             members = np.flatnonzero(other & (bound >= need - slack))
