@@ -351,15 +351,16 @@ def overview_kpis(spark, sf):
 
 
 @query(with_(POD, WORK) + """
-, r AS (SELECT ns, count(*) AS n, count(*) FILTER (resource <> 'cronjobs') AS w, 0 AS p, 0 AS u FROM work WHERE p_partkey % 25 < 20 GROUP BY ns
-  UNION ALL SELECT ns, count(*), 0, count(*), count(*) FILTER (issues <> '') FROM podi WHERE l_suppkey % 25 < 20 GROUP BY ns UNION ALL SELECT 'ns' || n_nationkey, 0, 0, 0, 0 FROM nation)
+, r AS (SELECT ns, count(*) AS n, count(*) FILTER (resource <> 'cronjobs') AS w, 0 AS p, 0 AS u FROM work GROUP BY ns
+  UNION ALL SELECT ns, count(*), 0, count(*), count(*) FILTER (issues <> '') FROM podi GROUP BY ns
+  UNION ALL SELECT 'ns' || n_nationkey, 0, 0, 0, 0 FROM nation UNION ALL SELECT 'empty' || n_nationkey, 0, 0, 0, 0 FROM nation)
 SELECT ns AS namespace, CAST(sum(n) AS BIGINT) AS resources, CAST(sum(w) AS BIGINT) AS workloads, CAST(sum(p) AS BIGINT) AS pods, CAST(sum(u) AS BIGINT) AS unhealthy FROM r GROUP BY ns""")
 def namespace_summary(spark, sf):
     """Counts per namespace, empty ones included."""
-    some = lambda df: df.filter(F.substring("namespace", 3, 5).cast("int") < 20)
-    pods = some(ad.pods(spark, sf))
+    pods = ad.pods(spark, sf)
     known = ad.namespaces(spark, sf).select("capture_id", F.col("name").alias("namespace"))
-    return dash.namespace_summary(_counts(union(some(ad.workloads(spark, sf)), pods)), health.pod_health(pods), known).drop("capture_id")
+    known = known.unionByName(known.withColumn("namespace", F.regexp_replace("namespace", "^ns", "empty")))
+    return dash.namespace_summary(_counts(union(ad.workloads(spark, sf), pods)), health.pod_health(pods), known).drop("capture_id")
 
 
 @query("SELECT 'ns' || (l_suppkey % 25) AS namespace, CAST(count(*) AS BIGINT) AS resources FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
