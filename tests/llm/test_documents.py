@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kubestrata.llm import credentials, mixing, near_copies, packing, personal, quality, token_files
+from kubestrata.llm.components import components
 from kubestrata.llm.queries import vocabulary
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, k1 long, band string, size string, _k int, score int"
@@ -80,6 +81,25 @@ def test_near_copies_in_blocks(spark, texts, monkeypatch):
     assert sorted(r.n_links for r in out) == sorted(map(len, linked))
 
 
+@pytest.mark.parametrize("pairs", [
+    [(i, i + 1) for i in range(20)], [(hub, i) for hub in (0, 99) for i in range(1, 30)], [(i * 7 % 31, (i + 1) * 7 % 31) for i in range(31)], [],
+])
+def test_components(spark, pairs):
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(got) == len(parent)
+    assert {r.node: r.label for r in got} == {x: root(x) for x in parent}
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.99), (0.9, 0.999)):
         bands, rows = near_copies.choose_bands(threshold, recall)
