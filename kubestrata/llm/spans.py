@@ -21,7 +21,8 @@ CONTEXT = 48
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of span: its name, the pattern, and whether its spans are base ones, which nothing removes.
+    """A kind of span: its name, the pattern, whether its spans are base ones, which nothing removes, and how many
+    code points behind a match its rule may read beside the context.
 
     Patterns must not need more time than in proportion to a text's length, nor a stack: possessive repetitions, and a
     look behind (or the end of the last match) where a match can only start at the start of a run.
@@ -30,33 +31,52 @@ class Kind:
     name: str
     pattern: str
     base: bool = True
+    tail: int = 0
 
 
-def _matches(text: Column, hits: Column, pattern: str, context: bool) -> Column:
-    pieces = F.split(text, pattern, -1)
-    cut = (lambda f, x: f(x, F.lit(CONTEXT))) if context else (lambda f, x: F.lit(""))
-    around = F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), cut(F.right, x).alias("left"), cut(F.left, x).alias("right")))
+def _matches(text: Column, hits: Column, kind: Kind, context: bool) -> Column:
+    pieces = F.split(text, kind.pattern, -1)
+    cut = (lambda f, x, n: f(x, F.lit(n))) if context else (lambda f, x, n: F.lit(""))
+    around = F.transform(pieces, lambda x: F.struct(
+        F.length(x).alias("n"), cut(F.right, x, CONTEXT).alias("left"), cut(F.left, x, CONTEXT + kind.tail).alias("right")))
     zipped = lambda a: F.transform(hits, lambda h, i: F.struct(
         F.get(a, i)["n"].alias("skip"), h.alias("hit"), F.get(a, i)["left"].alias("left"), F.get(a, i + 1)["right"].alias("right")))
     # the pieces are an array of their own row: one evaluation, then places by index
     return F.when(F.size(hits) > 0, F.element_at(F.transform(F.array(around), zipped), 1))
 
 
+def _through_neighbours(spans: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """``left`` and ``right`` go on through the matches of the kind next to them, as far as the text does.
+
+    Pieces and matches in turn are the text again. A match has one code point at least, so as many matches as there are
+    code points in the context reach over it (and over a tail, where matches are longer); the work per match is bounded.
+    """
+    reach = F.element_at(F.array(*[F.lit(CONTEXT + k.tail) for k in kinds]), F.col("at") + 1)
+    order = Window.partitionBy("row", "at").orderBy("pos")
+    before = F.collect_list(F.concat("left", F.right("hit", F.lit(CONTEXT)))).over(order.rowsBetween(-CONTEXT, -1))
+    after = F.collect_list(F.concat(F.left("hit", reach), "right")).over(order.rowsBetween(1, CONTEXT))
+    joined = spans.withColumn("_before", before).withColumn("_after", after)
+    return joined.withColumn("left", F.right(F.concat(F.array_join("_before", ""), "left"), F.lit(CONTEXT))).withColumn(
+        "right", F.left(F.concat("right", F.array_join("_after", "")), reach)).drop("_before", "_after")
+
+
 def find(docs: DataFrame, kinds: list[Kind], context: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (row, doc_id), one per row of ``docs``; spans (row, kind, at, start, end, hit, left, right).
 
     ``at`` is the place of the kind in ``kinds``; a null text is empty. ``left`` and ``right`` are the text around a
-    match up to the matches of its kind next to it, with ``context``; else they are empty.
+    match, whatever it holds, with ``context``; else they are empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", *[F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias(f"h{i}") for i, k in enumerate(kinds)])
-    made = hit.select("doc_id", *[_matches(F.col("text"), F.col(f"h{i}"), k.pattern, context).alias(f"k{i}") for i, k in enumerate(kinds)])
+    made = hit.select("doc_id", *[_matches(F.col("text"), F.col(f"h{i}"), k, context).alias(f"k{i}") for i, k in enumerate(kinds)])
     found = staged(made.withColumn("row", F.monotonically_increasing_id()), "found")
     whole = None
     for i in range(len(kinds)):
         one = found.select("row", F.lit(i).alias("at"), F.posexplode(f"k{i}").alias("pos", "m")).select("row", "at", "pos", "m.*")
         whole = one if whole is None else whole.unionByName(one)
+    if context:
+        whole = _through_neighbours(whole, kinds)
     upto = Window.partitionBy("row", "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("hit")
     end = F.sum(F.col("skip").cast("long") + size).over(upto)

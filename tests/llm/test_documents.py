@@ -340,6 +340,18 @@ def test_checksums_and_context(spark):
     assert out[8] == ("email:6:12,card:19:35", 1.0)
 
 
+def test_context_of_lists(spark):
+    """Numbers in a list see the word before its first one; the context is the text's own 48 code points."""
+    texts = ["SSN: 123-45-6789, 987-65-4321, 111-22-3333", "call 555-123-4567, 555-987-6543, 555-111-2222 thanks", "123-45-6789; 987-65-4321 is an ssn",
+             "ssn 123-45-6789 " + "x" * 40 + " 987-65-4321", "ssn" + " " * 45 + "123-45-6789", "ssn" + " " * 46 + "123-45-6789"]
+    out = {r.doc_id: r.spans for r in personal.scan_personal(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert out[0] == "national:5:16,national:18:29,national:31:42"
+    assert out[1] == "local:5:17,local:19:31,local:33:45"
+    assert out[2] == "national:0:11,national:13:24"
+    assert out[3] == "national:4:15"  # the word is further away
+    assert (out[4], out[5]) == ("national:48:59", "")
+
+
 def test_quality(spark):
     rng = np.random.default_rng(0)
     good = lambda i: ". ".join(body(1000 + i * 7 + k, int(rng.integers(6, 14))).capitalize() for k in range(8)) + "."
