@@ -5,6 +5,10 @@ around them must raise to ``LEAST``: bank account numbers confirmed by their rem
 and telephone numbers without a country code, which need a word for them within ``spans.CONTEXT`` code points. Every
 span gets a score: prior, plus the confirmed checksum, plus the context word.
 
+A bank account number may be followed by further capitals and digits. The pattern finds where one can start; of its
+prefixes of 15 to 34 characters that end at the border of a group and pass modulo 97, the one of the country's length is
+taken, else the longest.
+
 Null texts are empty and give no spans; every row of the input gives one row, repeated rows alike. Other columns are
 ignored. An empty table gives an empty result.
 """
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kubestrata.llm.spans import Kind, apart_from_base, digest, find
+from kubestrata.llm.spans import CONTEXT, Kind, apart_from_base, digest, find
 
 LEAST = 0.5
 
@@ -23,10 +27,16 @@ KINDS = [
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){13,}+"),  # a shorter run of digits holds no longer one
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", base=False),
+    # only the start is taken, so that a number right behind another is found too; the tail holds 30 characters, each after a space
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", base=False, tail=60),
     Kind("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", base=False),
     Kind("local", r"(?<![0-9+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])", base=False),
 ]
+#: Characters of an account number by country, of the IBAN registry; other countries may have any from 15 to 34.
+IBAN_CHARS = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in names.split()}
 #: Prior, gain of a confirmed checksum or format, and the words that raise a score by WORD.
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.3, "phone": 0.6, "iban": 0.3, "national": 0.3, "local": 0.3}
 CHECKED = {"card": 0.4, "iban": 0.5}
@@ -55,13 +65,31 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97) == 1
 
 
+def _accounts(spans: DataFrame) -> DataFrame:
+    """``spans`` with whole account numbers for their starts; starts of none are left out."""
+    rest = F.concat("hit", "right")
+    run = F.regexp_extract(rest, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0)
+    ends = F.filter(F.sequence(F.lit(15), F.length(run)), lambda n: F.substring(rest, n, F.lit(2)).rlike(r"^[A-Z0-9](?![A-Za-z0-9])"))
+    codes = F.transform(ends, lambda n: F.struct(n.alias("n"), F.regexp_replace(F.substring(run, F.lit(1), n), " ", "").alias("code")))
+    country = F.left("hit", F.lit(2))
+    usual = F.coalesce(*[F.when(country.isin([c for c, m in IBAN_CHARS.items() if m == n]), n) for n in sorted(set(IBAN_CHARS.values()))], F.lit(0))
+    good = F.filter(codes, lambda x: (F.length(x["code"]) >= 15) & mod97(x["code"]))
+    best = F.array_max(F.transform(good, lambda x: F.struct((F.length(x["code"]) == usual).alias("usual"), x["n"].alias("n"))))["n"]
+    iban = F.col("kind") == "iban"
+    sized = spans.withColumn("_n", F.when(iban, best)).where(~iban | F.col("_n").isNotNull())
+    start = F.length("hit")
+    return sized.select(
+        "row", "kind", "at", "start", F.coalesce(F.col("start") + F.col("_n"), "end").alias("end"), F.coalesce(F.substring(rest, F.lit(1), F.col("_n")), "hit").alias("hit"),
+        "left", F.coalesce(F.substring("right", F.col("_n") - start + 1, F.lit(CONTEXT)), "right").alias("right"))
+
+
 def _checked() -> Column:
     parts = F.split("hit", r"\.")
     small = F.forall(parts, lambda x: F.regexp_replace(x, "^0+", "").rlike("^([0-9]{0,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
     digits = _digits(F.col("hit"))
     size = F.length(digits)
     return (F.when(F.col("kind") == "ip", small).when(F.col("kind") == "card", F.when(size.between(14, 19), luhn(digits)).otherwise(False))
-            .when(F.col("kind") == "phone", size.between(10, 15)).when(F.col("kind") == "iban", mod97(F.regexp_replace("hit", " ", ""))).otherwise(True))
+            .when(F.col("kind") == "phone", size.between(10, 15)).otherwise(True))
 
 
 def _pick(table: dict[str, object], default: object = None) -> Column:
@@ -82,7 +110,7 @@ def _score() -> Column:
 def personal_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans) of ``docs`` (doc_id, text); a span has row, kind, at, start, end, hit, score."""
     rows, spans = find(docs, KINDS, context=True)
-    scored = spans.where(_checked()).withColumn("score", _score()).drop("left", "right")
+    scored = _accounts(spans).where(_checked()).withColumn("score", _score()).drop("left", "right")
     base = F.col("kind").isin([k.name for k in KINDS if k.base])
     return rows, apart_from_base(scored.where(base | (F.col("score") >= LEAST)), KINDS)
 

@@ -340,6 +340,19 @@ def test_checksums_and_context(spark):
     assert out[8] == ("email:6:12,card:19:35", 1.0)
 
 
+def test_account_numbers_before_capitals(spark):
+    """Account numbers end where they end, whatever capitals or digits follow; reference: mod 97 on each one."""
+    gb, de, lc, other = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "LC14BOSL123456789012345678901234", "ZZ68ABCDEFGHIJKLMN"
+    lc = next(f"LC{i:02}{lc[4:]}" for i in range(2, 99) if int("".join(str(int(c, 36)) for c in lc[4:] + f"LC{i:02}")) % 97 == 1)
+    other = next(f"ZZ{i:02}{other[4:]}" for i in range(2, 99) if int("".join(str(int(c, 36)) for c in other[4:] + f"ZZ{i:02}")) % 97 == 1)
+    texts = [(de, " Please"), (gb, " BIC WESTGB22"), (gb, " I paid"), (de, " 12345 67"), (gb, ""), (lc, " A"), (lc[:4] + " " + " ".join(lc[4:]), " B 2"), (other, " XY 3"), (de, "é"), (gb, ", AB12")]
+    rows = [(i, a + b, "s") for i, (a, b) in enumerate(texts)] + [(90, f"{de} {gb} {de}", "s"), (91, de + "X", "s"), (92, de + "x y", "s"), (93, de[:-1] + "1 Please", "s"), (94, f"x{de} Y", "s")]
+    out = {r.doc_id: r.spans for r in personal.scan_personal(table(spark, rows)).collect()}
+    assert [out[i] for i in range(len(texts))] == [f"iban:0:{len(a)}" for a, _ in texts]
+    assert out[90] == "iban:0:22,iban:23:50,iban:51:73"
+    assert [out[i] for i in range(91, 95)] == [""] * 4
+
+
 def test_context_of_lists(spark):
     """Numbers in a list see the word before its first one; the context is the text's own 48 code points."""
     texts = ["SSN: 123-45-6789, 987-65-4321, 111-22-3333", "call 555-123-4567, 555-987-6543, 555-111-2222 thanks", "123-45-6789; 987-65-4321 is an ssn",
