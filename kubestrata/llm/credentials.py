@@ -2,10 +2,11 @@
 
 Base kinds (``assign``, ``access``, ``hex``) stand by themselves. Others are weak: a user name, a long opaque string,
 an address. A credential has several parts, and a weak candidate is reported only if a complementary part lies within
-``REACH`` code points of it in the same text: a user name near a secret, an opaque string near an identifier or an
+``REACH`` code points of it, or, at any distance, in the same scope of the same text: a block of lines of a
+configuration up to a blank line, a section below a name in brackets, or braces with those inside them. A user name near a secret, an opaque string near an identifier or an
 address, an address near an identifier and a secret. The join of weak candidates with the intervals around their
 complements is done by running maxima over the places of a text, one from the left and one from the right, so no pairs
-of parts arise. Weak candidates that touch a base span are part of it and dropped.
+of parts arise; a scope is a number of its parts, and says which roles it has. Weak candidates that touch a base span are part of it and dropped.
 
 Null texts are empty and give no spans; every row of the input gives one row, repeated rows alike. Other columns are
 ignored. An empty table gives an empty result.
@@ -27,10 +28,18 @@ KINDS = [
     # the least lengths stand in the patterns: a run that is too short holds no match, and most runs are
     Kind("access", r"AKIA[A-Z0-9]{16,}+"),
     Kind("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
-    Kind("user", r"""(?<![A-Za-z0-9_])(?i:user|username|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@._-]++""", base=False),
+    Kind("user", r"""(?<![A-Za-z0-9])(?i:user|username|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@._-]++""", base=False),
     Kind("opaque", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}+", base=False),
     Kind("endpoint", r"(?i:https?|ftp|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]++", base=False),
 ]
+# a line of a configuration: an entry, a comment, brackets alone, one word (a wrapped value, an item of a list), a PEM border
+_LINE = (r"""[\x20\t]*+(?:(?:-[\x20\t]++)?+(?:export[\x20\t]++)?+["']?+[A-Za-z0-9_./-]++["']?+[\x20\t]*+[:=][^\n]*+|[#;][^\n]*+|-----[^\n]*+"""
+         r"""|[\[\]{}(),;]++[\x20\t\r]*+|(?:-[\x20\t]++)?+["']?+[A-Za-z0-9+/_=.-]++["',;\\]*+[\x20\t\r]*+)(?:\n|\z)""")
+SCOPES = [
+    Kind("block", rf"(?md)^(?:{_LINE}){{2,}}+", base=False, scope=True),
+    Kind("section", rf"(?md)^[\x20\t]*+\[[^\[\]\n]++\][\x20\t\r]*+\n(?:{_LINE}|[\x20\t\r]*+\n)++", base=False, scope=True),
+    Kind("braces", r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}", base=False, scope=True),
+]
 _ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "user": "identifier", "opaque": "secret", "endpoint": "endpoint"}
 
 
@@ -40,11 +49,26 @@ def _valid() -> Column:
     mixed = F.col("hit").rlike("[0-9]") & F.col("hit").rlike("[a-z]") & F.col("hit").rlike("[A-Z]")
     size = F.length("hit")
     return (F.when(F.col("kind") == "assign", F.length(value) >= 6).when(F.col("kind") == "access", size >= 20).when(F.col("kind") == "hex", size >= 24)
-            .when(F.col("kind") == "opaque", (size >= 32) & (size <= 512) & mixed).otherwise(True))
+            .when(F.col("kind") == "opaque", (size >= 32) & mixed).otherwise(True))
+
+
+def scoped(spans: DataFrame) -> DataFrame:
+    """Spans without scopes, with the start of the scope of each kind that they lie in, or null.
+
+    Scopes of one kind do not overlap, so the last one that starts up to a span's start is the only one that can hold it.
+    """
+    upto = Window.partitionBy("row").orderBy("start", F.col("at").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = spans
+    for k in SCOPES:
+        out = out.withColumn(f"_{k.name}", F.last(F.when(F.col("kind") == k.name, F.struct("start", "end")), ignorenulls=True).over(upto))
+    for k in SCOPES:
+        last = F.col(f"_{k.name}")
+        out = out.withColumn(f"_{k.name}", F.when(last["end"] >= F.col("end"), last["start"]))
+    return out.where(~F.col("kind").isin([k.name for k in SCOPES]))
 
 
 def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
-    """Base spans, and weak ones that have their complement within reach."""
+    """Base spans, and weak ones that have their complement within reach or in a scope of theirs."""
     role = F.element_at(F.create_map(*[F.lit(x) for pair in _ROLES.items() for x in pair]), F.col("kind"))
     forth = Window.partitionBy("row").orderBy("start", "at").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,16 +79,19 @@ def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
         after = F.min(F.when(F.col("_role") == r, F.col("start"))).over(back)
         out = out.withColumn(f"_{r}", F.coalesce(before >= F.col("start") - reach, F.lit(False)) | F.coalesce(after <= F.col("end") + reach, F.lit(False)))
         near[r] = F.col(f"_{r}")
+        for k in SCOPES:
+            there = F.max(F.col("_role") == r).over(Window.partitionBy("row", f"_{k.name}"))
+            out = out.withColumn(f"_{r}", F.col(f"_{r}") | (F.col(f"_{k.name}").isNotNull() & there))
     base = F.element_at(F.array(*[F.lit(k.base) for k in KINDS]), F.col("at") + 1)
     complete = (F.when(F.col("_role") == "identifier", near["secret"]).when(F.col("_role") == "secret", near["identifier"] | near["endpoint"])
                 .otherwise(near["identifier"] & near["secret"]))
-    return out.where(base | complete).drop("_role", *[f"_{r}" for r in near])
+    return out.where(base | complete).drop("_role", *[f"_{r}" for r in near], *[f"_{k.name}" for k in SCOPES])
 
 
 def secret_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans) of ``docs`` (doc_id, text); a span has row, kind, at, start, end, hit."""
-    rows, spans = find(docs, KINDS)
-    return rows, linked(apart_from_base(spans.where(_valid()), KINDS)).drop("left", "right")
+    rows, spans = find(docs, KINDS + SCOPES)
+    return rows, linked(apart_from_base(scoped(spans).where(_valid()), KINDS)).drop("left", "right")
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

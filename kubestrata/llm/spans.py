@@ -21,8 +21,8 @@ CONTEXT = 48
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of span: its name, the pattern, whether its spans are base ones, which nothing removes, and how many
-    code points behind a match its rule may read beside the context.
+    """A kind of span: its name, the pattern, whether its spans are base ones, which nothing removes, how many code
+    points behind a match its rule may read beside the context, and whether its spans are scopes: places without a text.
 
     Patterns must not need more time than in proportion to a text's length, nor a stack: possessive repetitions, and a
     look behind (or the end of the last match) where a match can only start at the start of a run.
@@ -32,6 +32,7 @@ class Kind:
     pattern: str
     base: bool = True
     tail: int = 0
+    scope: bool = False
 
 
 def _matches(text: Column, hits: Column, kind: Kind, context: bool) -> Column:
@@ -40,7 +41,7 @@ def _matches(text: Column, hits: Column, kind: Kind, context: bool) -> Column:
     around = F.transform(pieces, lambda x: F.struct(
         F.length(x).alias("n"), cut(F.right, x, CONTEXT).alias("left"), cut(F.left, x, CONTEXT + kind.tail).alias("right")))
     zipped = lambda a: F.transform(hits, lambda h, i: F.struct(
-        F.get(a, i)["n"].alias("skip"), h.alias("hit"), F.get(a, i)["left"].alias("left"), F.get(a, i + 1)["right"].alias("right")))
+        F.get(a, i)["n"].alias("skip"), F.length(h).alias("size"), (F.lit("") if kind.scope else h).alias("hit"), F.get(a, i)["left"].alias("left"), F.get(a, i + 1)["right"].alias("right")))
     # the pieces are an array of their own row: one evaluation, then places by index
     return F.when(F.size(hits) > 0, F.element_at(F.transform(F.array(around), zipped), 1))
 
@@ -78,7 +79,7 @@ def find(docs: DataFrame, kinds: list[Kind], context: bool = False) -> tuple[Dat
     if context:
         whole = _through_neighbours(whole, kinds)
     upto = Window.partitionBy("row", "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.length("hit")
+    size = F.col("size")
     end = F.sum(F.col("skip").cast("long") + size).over(upto)
     names = F.array(*[F.lit(k.name) for k in kinds])
     spans = whole.withColumn("end", end).select("row", F.element_at(names, F.col("at") + 1).alias("kind"), "at", (F.col("end") - size).alias("start"), "end", "hit", "left", "right")

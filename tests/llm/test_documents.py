@@ -340,6 +340,23 @@ def test_checksums_and_context(spark):
     assert out[8] == ("email:6:12,card:19:35", 1.0)
 
 
+def test_parts_of_long_configurations(spark):
+    """Long keys, names with a prefix, and parts that are further apart than the reach in one scope."""
+    key, long = "Ab1" * 12, "aB3+" * 400
+    gap = "".join(f"option_{i} = value {i}\n" for i in range(40))
+    texts = [f"AKIA{'A' * 16} {long}", f"DB_USER=bob {key}", f"db_username: bob {key}", f"AWS_ACCESS_KEY_ID=xyz {key}", f"superuser=bob {key}",
+             f"user = bob\n{gap}key = {key}\n", f"user = bob\n{gap}\nkey = {key}\nmore = 1\n", f"[db]\nuser = bob\n\n{gap}\nkey = {key}\n", f"[db]\nuser = bob\n\n{gap}\n[other]\nkey = {key}\n",
+             f'{{"user": "bob", "text": "{"word " * 60}", "in": {{"a": 1}}, "key": "{key}"}}', f'{{"user": "bob", "text": "{"word " * 60}"}} {{"key": "{key}"}}', f"user: bob said\n{'prose of many words\n' * 20}{key}\n"]
+    out = {r.doc_id: r.spans for r in credentials.scan_secrets(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert out[0] == f"access:0:20,opaque:21:{21 + len(long)}"
+    want = [[], ["USER=bob"], ["username: bob"], ["ACCESS_KEY_ID=xyz"], None, ["user = bob"], None, ["user = bob"], None, ['user": "bob'], None, None]
+    for i, names in list(enumerate(want))[1:]:
+        parts = [] if names is None else [("user", names[0]), ("opaque", key)]
+        assert out[i] == ",".join(f"{k}:{texts[i].index(p)}:{texts[i].index(p) + len(p)}" for k, p in parts), i
+    long_runs = ["{" * 50_000, "{}" * 30_000 + "{", "a=1\n" * 30_000, "a=1\nsome prose\n" * 10_000, "[a]\n" * 20_000, "[a]\n" + "\n" * 50_000, "{{a}" * 20_000]
+    assert credentials.scan_secrets(table(spark, [(i, t, "s") for i, t in enumerate(long_runs)])).where("spans = ''").count() == len(long_runs)
+
+
 def test_account_numbers_before_capitals(spark):
     """Account numbers end where they end, whatever capitals or digits follow; reference: mod 97 on each one."""
     gb, de, lc, other = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "LC14BOSL123456789012345678901234", "ZZ68ABCDEFGHIJKLMN"
