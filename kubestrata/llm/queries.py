@@ -1,4 +1,4 @@
-"""The ten operators on their whole tables, as named queries, with SQL where SQL can express them."""
+"""The operators on their whole tables, as named queries, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from kubestrata.llm import (
     adscan,
+    cover_tree,
     credentials,
     impact,
+    lexical,
     mixing,
     near_copies,
     packing,
@@ -16,6 +18,7 @@ from kubestrata.llm import (
     quality,
     token_files,
     url_lists,
+    warc,
 )
 
 VOCABULARY = "word_bpe_49k.json"
@@ -72,9 +75,22 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adscan.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(table(spark, sf_dir, "pages"))
+
+
+def op12_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.product_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_token_files, op3_secret_scan, op4_url_lists, op5_source_mix, op6_exact_top_k, op7_personal_data,
-    op8_best_fit_packing, op9_quality_classifier, op10_nearest_neighbours,
+    op8_best_fit_packing, op9_quality_classifier, op10_nearest_neighbours, op11_warc_archives, op12_cover_tree_codes,
+    op13_ranked_search,
 )}
 
 ORACLES = {
@@ -87,4 +103,7 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op7_personal_data": personal.ORACLE,
+    "op11_warc_archives": warc.ORACLE,
+    "op12_cover_tree_codes": cover_tree.ORACLE,
+    "op13_ranked_search": lexical.ORACLE,
 }
