@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kubestrata.llm.store import carried, plain, restored, row_key, staged
 from kubestrata.llm.tokens import slices
-from kubestrata.llm.words import text_bytes, word_hashes
+from kubestrata.llm.words import text_bytes, word_hashes, word_spans
 
 FEATURES = [
     "bytes", "words", "word_length", "symbols", "stops", "digits", "capitals", "lines", "line_length", "short_words",
@@ -66,11 +66,13 @@ def statistics(texts: pa.Array) -> np.ndarray:
     n_words = np.diff(border)
     some_words = np.maximum(n_words, 1)
     blank = counts[:, [32, 9, 10, 11, 12, 13]].sum(axis=1)
-    begins = np.concatenate([[True], raw[:-1] <= 32]) if len(raw) else np.zeros(0, bool)
-    starts = np.bincount(owner[begins & (raw >= 65) & (raw <= 90)], minlength=n) if len(raw) else np.zeros(n)
-    ends = np.flatnonzero(begins & (raw > 32)) if len(raw) else np.zeros(0, np.int64)
-    gaps = np.diff(np.append(ends, len(raw)))
-    short = np.bincount(owner[ends[gaps <= 4]], minlength=n)
+    begin, _, first = word_spans(raw, at)
+    has = first[1:] > first[:-1]
+    behind = np.append(begin[1:], 0)[: len(begin)]  # where the next word begins, or the text ends
+    behind[first[1:][has] - 1] = at[1:][has]
+    of = np.repeat(np.arange(n), np.diff(first))
+    starts = np.bincount(of[(raw[begin] >= 65) & (raw[begin] <= 90)], minlength=n)
+    short = np.bincount(of[behind - begin <= 4], minlength=n)
     rows = np.zeros((n, 4))
     for i in range(n):
         own = words[border[i] : border[i + 1]]
@@ -135,7 +137,12 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.mean is None:
             return np.full(len(x), self.constant)
-        log = [self.offset[c] - 0.5 * (((x - self.mean[c]) @ self.inverse[c].T) ** 2).sum(axis=1) for c in (0, 1)]
+        log = []
+        for c in (0, 1):
+            z = np.zeros_like(x)
+            for j in range(x.shape[1]):  # in one order, so that a row's score does not depend on its batch
+                z += (x[:, j : j + 1] - self.mean[c, j]) * self.inverse[c, :, j]
+            log.append(self.offset[c] - 0.5 * (z**2).sum(axis=1))
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
 

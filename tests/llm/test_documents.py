@@ -402,6 +402,68 @@ def test_quality(spark):
     assert kept.columns == table(spark, rows).columns and kept.count() == sum(r.predicted for r in out)
 
 
+def plain_statistics(text):
+    """Each statistic of one text, in plain Python."""
+    data = (text or "").encode()
+    size, some = len(data), max(1, len(data))
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    words = [data[a:b].decode().lower() for a, b in spans]
+    n, lines = max(1, len(words)), (text or "").split("\n")
+    count = lambda chars: sum(b in chars.encode() for b in data)
+    logit = lambda x: np.log((x + 0.002) / (1 - x + 0.002))
+    borders = [a for a, _ in spans[1:]] + [size]
+    blank = sum(b in b" \t\n\x0b\x0c\r" for b in data)
+    entropy = -sum(data.count(b) / some * np.log(data.count(b) / some) for b in set(data))
+    pairs = list(zip(words, words[1:]))
+    return [
+        np.log1p(size), np.log1p(len(words)), np.log1p((size - blank) / n), logit(count("#$%&*+/<=>@[\\]^_`{|}~") / some),
+        logit(count(".,;:!?'\"()-") / some), logit(count("0123456789") / some), logit(sum(65 <= b <= 90 for b in data) / some),
+        np.log1p(data.count(b"\n")), np.log1p(size / (data.count(b"\n") + 1)), logit(sum(b - a <= 4 for (a, _), b in zip(spans, borders)) / n), entropy,
+        logit(len(set(words)) / n if words else 0), logit(max(map(words.count, words)) / n if words else 0), logit(len(set(pairs)) / max(1, len(pairs)) if words else 0),
+        logit(1 - len(set(lines)) / len(lines) if words else 0), logit(sum(b >= 128 for b in data) / some), logit(sum(65 <= data[a] <= 90 for a, _ in spans) / n),
+    ]
+
+
+QUALITY_TEXTS = ["Aa Bb c", "Zed", "x", None, "", " \n ", "  Lead and trail  ", "line\nline\nLine two\n", "É é Été 12, ab!", "Aa Bb c", "#a {b} <c> d", "A", body(3, 300).title()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quality_statistics_are_of_one_text(seed):
+    import pyarrow as pa
+
+    order = np.random.default_rng(seed).permutation(len(QUALITY_TEXTS))
+    texts = [QUALITY_TEXTS[i] for i in order]
+    want = np.array([plain_statistics(t) for t in texts])
+    together = quality.statistics(pa.array(texts, pa.string()))
+    assert np.allclose(together, want, rtol=1e-12, atol=1e-12)
+    alone = np.concatenate([quality.statistics(pa.array([t], pa.string())) for t in texts])
+    assert (together == alone).all()
+    assert (quality.statistics(pa.array([*texts, "More"], pa.string()).slice(2, 5)) == together[2:7]).all()
+
+
+def test_quality_scores_are_those_of_a_plain_discriminant(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(w.title() if rng.random() < 0.2 + 0.5 * (i % 2) else w for w in body(i, int(rng.integers(5, 60))).split()) + ("." if i % 3 else "!\n"), "s") for i in range(300)]
+    rows += [(400 + 5 * i, rows[7][1], "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.score for r in quality.score_documents(table(spark, rows).repartition(5), labels).collect()}
+    assert len({out[400 + 5 * i] for i in range(40)} | {out[7]}) == 1  # repeated rows score alike, wherever they lie
+    x = {i: np.array(plain_statistics(t)) for i, t, _ in rows}
+    train = [[x[i] for i in range(300) if i % 2 == c and zlib.crc32(str(i).encode()) % 5] for c in (0, 1)]
+    cov = [np.cov(np.array(t).T, bias=True) for t in train]
+    pooled = sum(len(t) * c for t, c in zip(train, cov)) / sum(map(len, train))
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))
+    d = len(scale)
+    for i in out:
+        log = []
+        for c in (0, 1):
+            own = (0.5 * cov[c] + 0.5 * pooled) / np.outer(scale, scale)
+            own = 0.9 * own + 0.1 * np.trace(own) / d * np.eye(d)
+            z = (x[i] - np.mean(train[c], axis=0)) / scale
+            log.append(-0.5 * z @ np.linalg.solve(own, z) - 0.5 * np.linalg.slogdet(own)[1] + np.log(len(train[c])))
+        assert out[i] == pytest.approx(1 / (1 + np.exp(log[0] - log[1])), abs=1e-4)  # sums of squares cancel
+
+
 def test_quality_without_a_class(spark):
     docs = table(spark, [(1, "some text", "s"), (2, "", "s")])
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
