@@ -16,6 +16,7 @@ sequence. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kubestrata.llm.store import staged
-from kubestrata.llm.tokens import Encoder, crc32, slices
+from kubestrata.llm.tokens import Encoder, slices
 
 CAPACITY = 2048
 
@@ -49,16 +50,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
         for batch in batches:
             for some in slices(batch):
                 ids, border = encoder.encode(some.column("text"))
-                cols: dict[str, list] = {name: [] for name in schema.names}
-                for doc_id, a, b in zip(some.column("doc_id").to_pylist(), border[:-1].tolist(), border[1:].tolist(), strict=True):
-                    whole = np.append(ids[a:b], np.array(end_id, ids.dtype))
-                    for k, at in enumerate(range(0, len(whole), capacity)):
-                        own = whole[at : at + capacity]
-                        row = [doc_id, k, at, len(own), crc32(own), part, seen[len(own)]]
-                        seen[len(own)] += 1
-                        for name, value in zip(schema.names, [*row, own.astype(np.int32).tolist()], strict=False):
-                            cols[name].append(value)
-                yield pa.RecordBatch.from_pydict(cols, schema=schema)
+                whole = np.insert(ids, border[1:], end_id).astype("<u4")
+                size = np.diff(border) + 1
+                pieces = -(-size // capacity)
+                of = np.repeat(np.arange(len(size)), pieces)
+                k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(capacity, size[of] - k * capacity)
+                end = np.cumsum(length)
+                turn = np.argsort(length, kind="stable")
+                rank = np.empty(len(of), np.int64)
+                rank[turn] = np.arange(len(of)) - np.searchsorted(length[turn], length[turn])
+                rank += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                crc = [zlib.crc32(whole[a:b]) for a, b in zip((end - length).tolist(), end.tolist(), strict=True)]
+                cols = [some.column("doc_id").take(pa.array(of)), k.astype(np.int32), k * capacity, length, crc, np.full(len(of), part, np.int32), rank]
+                arrays = [pa.array(c, t) for c, t in zip(cols, schema.types, strict=False)]
+                if token_ids:  # pieces lie one behind the other
+                    arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], end]).astype(np.int32), whole.view(np.int32)))
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
 

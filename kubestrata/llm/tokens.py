@@ -4,7 +4,7 @@ The vocabulary of ``word_bpe_49k.json`` never joins characters across white spac
 rule work between white spaces only. So a text is cut at ASCII white space, each different piece of a batch is encoded
 once by the library, and the ids are put together in order. A piece of Latin letters with ASCII marks behind them
 needs no normalising but lower case, so the library's model encodes its letters directly. That gives the ids
-of the whole text (``tests/llm/test_tokens.py`` compares them with the library's own) at several times the speed. A
+of the whole text (``tests/llm/test_documents.py`` compares them with the library's own) at several times the speed. A
 tokenizer with any other normaliser or splitting rule encodes whole texts.
 """
 
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 #: Pieces and words kept from batch to batch in one Python worker, and the longest that is kept.
 CACHED, CACHED_LENGTH = 500_000, 48
 #: Bytes of text encoded at once; one longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 #: The normaliser and splitting rule under which texts may be cut at white space (fixed values).
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
