@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kubestrata.functions.paths import list_path
 from kubestrata.functions.scalars import resolve_at
 from kubestrata.operators import change, dash, graph, health, overlay, redact, search, select, shape, timetravel, views
+from kubestrata.operators.textindex import TextIndex
 from kubestrata.sources import records as rec
 
 
@@ -84,8 +85,15 @@ class Capture:
     def query(self, expression: str, at=None, resource=None, namespace=None) -> DataFrame:
         return search.query(self._searched(at, resource), expression, resource, namespace)
 
-    def search_text(self, pattern: str, regex=False, at=None, resource=None, namespace=None) -> DataFrame:
-        return search.search_text(self._searched(at, resource), pattern, regex, resource, namespace)
+    def search_text(self, pattern: str, regex=False, at=None, resource=None, namespace=None, index=None) -> DataFrame:
+        return search.search_text(self._searched(at, resource), pattern, regex, resource, namespace, index)
+
+    def index_text(self, path: str) -> TextIndex:
+        """Add every body of this capture, of all times, to the text index below ``path``."""
+        items = timetravel.explode_items(timetravel.in_scope(self.records).filter("event_type IS NULL")).select("obj")
+        single = self.records.filter("event_type IS NULL").select(F.col("body").alias("obj"))
+        events = self.records.filter("event_type IS NOT NULL").select(F.col("body").alias("obj"))
+        return TextIndex(self.records.sparkSession, path).add(items.unionByName(single).unionByName(events))
 
     def search_logs(self, pattern: str, regex=False, at=None, resource=None, namespace=None) -> DataFrame:
         return search.search_logs(search.log_lines(self.records, self._at(at)), pattern, regex, resource, namespace)

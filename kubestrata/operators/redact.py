@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, FractionalType, IntegralType, MapType, StringType, StructType
 
 from kubestrata.functions.scalars import let, record
-from kubestrata.functions.selectors import label_requirements
+from kubestrata.functions.selectors import label_requirements, labels_match
 from kubestrata.schema import FIELD_TYPES
 
 MASK = "REDACTED"
@@ -126,12 +126,112 @@ def convert(text: str, kind: str):
     return {"array": [], "object": {}, "null": None}.get(kind, text)
 
 
-def runtime_type(value) -> str:
+JSON_TYPES = ["string", "number", "integer", "bool", "array", "object", "null"]
+
+
+def _text(v: Column, path: str) -> Column:
+    """The string at a path of a VARIANT; null where it is missing or no string."""
+    at = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(at, "$", "string"))
+
+
+def _object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def runtime_type(v: Column) -> Column:
+    """The JSON type of a VARIANT."""
+    kind = F.schema_of_variant(v)
+    return (F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "bool").when(kind.startswith("OBJECT<"), "object")
+            .when(kind.startswith("ARRAY<"), "array").when(kind == "VOID", "null").otherwise("number"))
+
+
+def _replacement(text: str, kind: Column) -> Column:
+    """The replacement as a VARIANT of JSON type ``kind``; a text that does not fit the type it meets is an error."""
+    out = F.parse_json(F.lit(json.dumps(text)))
+    for t in JSON_TYPES:
+        try:
+            value = F.parse_json(F.lit(json.dumps(convert(text, t))))
+        except ValueError:
+            value = F.raise_error(F.lit(f"replacement {text!r} is not a valid {t}")).cast("variant")
+        out = F.when(kind == t, value).otherwise(out)
+    return out
+
+
+def touched(v: Column, path: list, leaf) -> Column:
+    """struct<v, hit>: ``leaf`` (giving such a struct) applied wherever the path leads from ``v``.
+
+    Only containers above a place that was hit are rebuilt. ``v`` must be cheap to repeat (a column or a lambda's variable).
+    """
+    if not path:
+        return leaf(v)
+    step, rest = path[0], path[1:]
+    kept = record(v=v, hit=F.lit(False))
+    if isinstance(step, str):
+        def member(m: Column) -> Column:
+            into = lambda r: F.when(r["hit"], record(v=F.to_variant_object(F.map_concat(
+                F.map_filter(m, lambda k, _v: k != step), F.create_map(F.lit(step), r["v"]))), hit=F.lit(True))).otherwise(kept)
+            return F.when(F.map_contains_key(m, F.lit(step)), let(let(m[step], lambda x: touched(x, rest, leaf)), into)).otherwise(kept)
+
+        return F.coalesce(let(_object(v), member), kept)
+    reached = (lambda _i: F.lit(True)) if step is ... else (lambda i: i == F.lit(step))
+
+    def elements(done: Column) -> Column:
+        whole = F.to_variant_object(F.transform(done, lambda d: d["v"]))
+        return F.when(F.exists(done, lambda d: d["hit"]), record(v=whole, hit=F.lit(True))).otherwise(kept)
+
+    each = F.transform(_array(v), lambda x, i: F.when(reached(i), touched(x, rest, leaf)).otherwise(record(v=x, hit=F.lit(False))))
+    return F.coalesce(let(each, elements), kept)
+
+
+def _in_scope(rule: Rule, v: Column, strict_namespace: bool) -> Column:
+    """Whether an object is one that the rule means: its namespace and its labels (those that are strings)."""
+    ok = _object(v).isNotNull()
+    if rule.namespace:
+        ns = F.coalesce(_text(v, "$.metadata.namespace"), F.lit(""))
+        ok &= (ns == rule.namespace) if strict_namespace else ns.isin(rule.namespace, "")
+    if rule.label_selector:
+        labels = F.coalesce(F.try_variant_get(v, "$.metadata.labels", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+        strings = F.map_filter(F.transform_values(labels, lambda _k, x: _text(x, "$")), lambda _k, x: x.isNotNull())
+        ok &= labels_match(strings, rule.label_selector)
+    return ok
+
+
+def rule_applied(v: Column, rule: Rule, path: list, types: dict) -> Column:
+    """struct<v, hit> of one body under one rule. Lists are handled per item, and only there does a missing namespace fail a
+    namespace rule."""
+    kind = F.coalesce(_text(v, "$.kind"), F.lit(""))
+    single = F.regexp_replace(kind, "List$", "")
+
+    def leaf(of_kind: Column):
+        declared = F.lit(rule.value_type.lower()) if rule.value_type else F.try_element_at(
+            F.create_map(*[F.lit(x) for kv in types.items() for x in kv]), F.regexp_replace(of_kind, "List$", "")) if types else F.lit(None).cast("string")
+        return lambda old: record(v=_replacement(rule.replacement, F.coalesce(declared, runtime_type(old))), hit=F.lit(True))
+
+    def item(x: Column) -> Column:
+        own = touched(x, path, leaf(F.coalesce(F.nullif(_text(x, "$.kind"), F.lit("")), single)))
+        return F.when(_in_scope(rule, x, True), own).otherwise(record(v=x, hit=F.lit(False)))
+
+    kept = record(v=v, hit=F.lit(False))
+    in_list = touched(v, ["items", ...], item)
+    alone = F.when(_in_scope(rule, v, False), touched(v, path, leaf(kind))).otherwise(kept)
+    named = F.lit(True) if rule.kind in ("", "*") else (kind == rule.kind) | (single == rule.kind)
+    return F.when(named & _object(v).isNotNull(), F.when(kind.endswith("List"), in_list).otherwise(alone)).otherwise(kept)
+
+
+def _json_type(value) -> str:
     if isinstance(value, bool):
         return "bool"
     return {str: "string", int: "number", float: "number", list: "array", dict: "object"}.get(type(value), "null")
 
 
+# Rules with ** go down to any depth, which no expression of a fixed size does: they are applied in Arrow batches.
+
+
 def replace_at(value, path: list, new) -> tuple[object, int]:
     """(value with ``new(old)`` at every place the path reaches, number of places)."""
     if not path:
@@ -161,10 +261,10 @@ def _labels_ok(selector: str, labels: dict) -> bool:
 
 def _apply(obj: dict, kind: str, rule: Rule, path: list, types: dict) -> int:
     declared = rule.value_type or types.get(kind.removesuffix("List"))
-    return replace_at(obj, path, lambda old: convert(rule.replacement, declared or runtime_type(old)))[1]
+    return replace_at(obj, path, lambda old: convert(rule.replacement, declared or _json_type(old)))[1]
 
 
-def _in_scope(rule: Rule, obj: dict, strict_namespace: bool) -> bool:
+def _object_in_scope(rule: Rule, obj: dict, strict_namespace: bool) -> bool:
     meta = obj.get("metadata") if isinstance(obj.get("metadata"), dict) else {}
     ns = meta.get("namespace") or ""
     if rule.namespace and ns != rule.namespace and (strict_namespace or ns):
@@ -190,9 +290,9 @@ def mask_fields(text: str, rules: list[tuple[Rule, list, dict]]) -> str | None:
         if kind.endswith("List"):
             items = body.get("items")
             for item in items if isinstance(items, list) else ():
-                if isinstance(item, dict) and _in_scope(rule, item, True):
+                if isinstance(item, dict) and _object_in_scope(rule, item, True):
                     hits += _apply(item, item.get("kind") or kind.removesuffix("List"), rule, path, types)
-        elif _in_scope(rule, body, False):
+        elif _object_in_scope(rule, body, False):
             hits += _apply(body, kind, rule, path, types)
     return json.dumps(body, ensure_ascii=False, separators=(",", ":")) if hits else None
 
@@ -206,28 +306,40 @@ def compile_rules(rules: list[Rule]) -> list[tuple[Rule, list, dict]]:
     return out
 
 
+def _rewritten(compiled: list[tuple[Rule, list, dict]]):
+    @F.pandas_udf("string")
+    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: mask_fields(t, compiled))
+
+    return rewrite
+
+
 def redact_fields(records: DataFrame, rules: list[Rule], body: str = "body") -> DataFrame:
-    """Field rules applied to bodies; ``fields_masked`` flags changed rows.
+    """Field rules applied to bodies; ``fields_masked`` flags changed rows. Replacements with a type are checked here.
 
-    Only rows of a kind some rule names reach the Arrow-batched rewrite; replacements are checked here.
+    Bodies of a kind that some rule names become VARIANT once, and text again where a place was hit. Rules with ``**`` take the
+    Arrow-batched form, and so do the rules beside them, as each sees what those before it did.
     """
     compiled = compile_rules(rules)
     for r, _, _ in compiled:
         if r.value_type:
             convert(r.replacement, r.value_type)
-
-    @F.pandas_udf("string")
-    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: mask_fields(t, compiled))
-
     kinds = {r.kind for r, _, _ in compiled}
     named = F.get_json_object(body, "$.kind")
     concerned = F.lit(bool(compiled)) if kinds & {"", "*"} or not kinds else named.isin(
         [k for kind in kinds for k in (kind, kind + "List")])
-    new = rewrite(F.when(concerned, F.col(body)))
-    out = records.withColumn("_new", new)
-    return out.withColumn("fields_masked", F.col("_new").isNotNull()).withColumn(body, F.coalesce("_new", body)).drop("_new")
+    if any(None in path for _, path, _ in compiled):
+        out = records.withColumn("_new", _rewritten(compiled)(F.when(concerned, F.col(body))))
+        return out.withColumn("fields_masked", F.col("_new").isNotNull()).withColumn(body, F.coalesce("_new", body)).drop("_new")
+    start = record(v=F.when(concerned, F.try_parse_json(body)), hit=F.lit(False))
+    rows = records.select("*", F.explode(F.array(start)).alias("_r"))  # a generator, so that no step is worked out twice
+    for rule, path, types in compiled:
+        step = rule_applied(F.col("_r.v"), rule, path, types)
+        after = let(step, lambda s: record(v=s["v"], hit=s["hit"] | F.col("_r.hit")))
+        rows = rows.select(*records.columns, F.explode(F.array(after)).alias("_r"))
+    hit = F.col("_r.hit")
+    return rows.withColumn("fields_masked", hit).withColumn(body, F.when(hit, F.to_json("_r.v")).otherwise(F.col(body))).drop("_r")
 
 
 def redact(records: DataFrame, secrets: bool = True, allowed: list[str] | None = None, rules: list[Rule] | None = None) -> DataFrame:

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-from functools import cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kubestrata.functions import jsonpath
 from kubestrata.functions.paths import log_path_cols
 from kubestrata.functions.scalars import blank, first_non_empty, rfc3339
+from kubestrata.functions.variants import string_leaves
+from kubestrata.operators.textindex import TextIndex, body_digest
 from kubestrata.operators.timetravel import latest_at
 from kubestrata.schema import BAD_EVENT_REASONS, EVENT_DDL
 
@@ -42,44 +38,9 @@ def query(objects: DataFrame, expression: str, resource: str | None = None, name
 
 # ------------------------------------------------------------------ leaves
 
-_SIMPLE = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
-
-
-def _strings(value, path: str, out: list) -> None:
-    if isinstance(value, str):
-        out.append((path, value))
-    elif isinstance(value, dict):
-        for k in sorted(value, key=str.encode):
-            step = (f"{path}.{k}" if path else k) if _SIMPLE.match(k) else f"{path}[{json.dumps(k, ensure_ascii=False)}]"
-            _strings(value[k], step, out)
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            _strings(v, f"{path}[{i}]", out)
-
-
-@cache
-def _leaf_list():
-    """Arrow-batched: recursion over arbitrary JSON has no native form."""
-    def one(text):
-        out: list = []
-        try:
-            _strings(json.loads(text), "", out)
-        except (ValueError, TypeError):
-            return []
-        return [{"field": f, "text": t} for f, t in out]
-
-    @F.pandas_udf("array<struct<field: string, text: string>>")
-    def leaf_list(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(one)
-
-    return leaf_list
-
-
-def leaves(objects: DataFrame, column: str = "obj") -> DataFrame:
-    """One row per string leaf: ``field`` (keys sorted, odd keys quoted, [i] for arrays) and ``text``."""
-    keep = [c for c in objects.columns if c != column]
-    return objects.select(*keep, F.explode(_leaf_list()(F.col(column))).alias("_l")).select(*keep, "_l.field", "_l.text")
+def leaves(objects: DataFrame, column: str = "obj", levels: int | None = None) -> DataFrame:
+    """One row per string leaf: ``field`` (odd keys quoted, [i] for arrays) and ``text``; ``levels`` as in ``string_leaves``."""
+    return string_leaves(objects, column, levels)
 
 
 # ----------------------------------------------------------------- matching
@@ -133,20 +94,24 @@ def search_strings(df: DataFrame, column: str, pattern: str, regex: bool = False
     )
 
 
-_ESCAPED = re.compile(r'["\\\x00-\x1f<>&  \x7f-\U0010ffff/]')
-
-
 def search_text(objects: DataFrame, pattern: str, regex: bool = False, resource: str | None = None,
-                namespace: str | None = None) -> DataFrame:
+                namespace: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """Matches in every string leaf: match columns, ``field`` and ``snippet``.
 
-    Every object in scope is decoded: JSON may spell any character as an escape, so the raw text rules none out.
+    Without an index every object in scope is decoded: JSON may spell any character as an escape, so the raw text rules
+    none out. With one, only texts that may match are read, and only bodies that it does not know are decoded.
     """
     if not pattern:
         raise ValueError("search pattern must not be empty")
     rows = _scoped(objects, resource, namespace)
-    found = search_strings(leaves(rows.select(*MATCH_COLUMNS, "obj")), "text", pattern, regex)
-    return found.select(*MATCH_COLUMNS, "field", "snippet", "byte_start")
+    if index is None:
+        found = search_strings(leaves(rows.select(*MATCH_COLUMNS, "obj")), "text", pattern, regex)
+        return found.select(*MATCH_COLUMNS, "field", "snippet", "byte_start")
+    known = search_strings(index.to_match(pattern, regex), "text", pattern, regex)
+    holders = rows.select(*MATCH_COLUMNS, body_digest("obj").alias("digest"))
+    old = holders.join(known, "digest").select(*MATCH_COLUMNS, "field", "snippet", "byte_start")
+    new = rows.withColumn("digest", body_digest("obj")).join(index.bodies(), "digest", "left_anti").drop("digest")
+    return old.unionByName(search_text(new, pattern, regex))
 
 
 def log_lines(records: DataFrame, at=None) -> DataFrame:

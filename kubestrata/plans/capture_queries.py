@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kubestrata.operators import change, dash, graph, overlay, search, select, timetravel, views
+from kubestrata.operators.textindex import TextIndex
 from kubestrata.plans import adapters as ad
 from kubestrata.plans.registry import EV, POD, WORK, query, with_
+from kubestrata.session import new_folder
 
 AT = "2024-01-15 00:00:00"
 
@@ -114,6 +116,25 @@ def regex_leaf_search(spark, sf):
     return search.search_text(ad.part_objects(spark, sf), "^Brand#1[0-9]$", regex=True).select("name", "field", "byte_start", "snippet")
 
 
+@query("""SELECT 'doc-' || doc_id AS name, 'spec.text' AS field, CAST(octet_length(encode(substr(text, 1, strpos(text, 'token') - 1))) AS BIGINT) AS byte_start
+FROM documents WHERE contains(text, 'token')""")
+def indexed_text_search(spark, sf):
+    """Substring search over every string leaf by the trigram index: only texts that hold the word are read."""
+    docs = ad.documents_as_objects(spark, sf)
+    index = TextIndex(spark, new_folder(spark, "text-index")).add(docs)
+    return search.search_text(docs, "token", index=index).select("name", "field", "byte_start")
+
+
+@query(r"""SELECT 'part-' || p_partkey AS name, field, CAST(octet_length(encode(substr(t, 1, strpos(t, regexp_extract(t, p, 0)) - 1))) AS BIGINT) AS byte_start, t AS snippet
+FROM (SELECT p_partkey, 'metadata.labels.type' AS field, p_type AS t FROM part UNION ALL SELECT p_partkey, 'metadata.labels.brand', p_brand FROM part
+      UNION ALL SELECT p_partkey, 'spec.type', lower(p_type) FROM part), (SELECT '(MEDIUM|PROMO)|B[a-z]+#[12]5|^standard$' AS p) WHERE regexp_matches(t, p)""")
+def indexed_regex_search(spark, sf):
+    """Regular expression over every string leaf by the trigrams that it requires."""
+    parts = ad.part_objects(spark, sf)
+    index = TextIndex(spark, new_folder(spark, "text-index")).add(parts)
+    return search.search_text(parts, "(MEDIUM|PROMO)|B[a-z]+#[12]5|^standard$", regex=True, index=index).select("name", "field", "byte_start", "snippet")
+
+
 @query("""SELECT conv_id, turn, line_no, byte_start FROM (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line_no,
   FROM conversations), LATERAL (SELECT CAST(octet_length(encode(substr(line, 1, strpos(line, 'en') - 1))) AS BIGINT) AS byte_start) WHERE role = 'user' AND contains(line, 'en')""")
 def log_search_whole(spark, sf):

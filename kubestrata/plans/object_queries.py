@@ -583,7 +583,8 @@ def redact_fields(spark, sf):
     rules = [redact.Rule("spec.k", "0", namespace="ns3"), redact.Rule("value", "true", namespace="ns4", value_type="bool")]
     r = redact.redact_fields(ad.event_records(spark, sf), rules)
     g = lambda p: F.get_json_object("body", p)
-    return r.select("seq", g("$.spec.k").cast("bigint").alias("k"), g("$.value").alias("value"), "fields_masked")
+    value = F.coalesce(g("$.value").try_cast("double").cast("string"), g("$.value"))  # 58 and 58.0 are one JSON number
+    return r.select("seq", g("$.spec.k").cast("bigint").alias("k"), value.alias("value"), "fields_masked")
 
 
 @query("SELECT 'part-' || p_partkey AS name, CAST(0 AS BIGINT) AS qty_sum, lower(p_type) AS type FROM part")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last one counts, as in other JSON readers
     return spark
 
 
@@ -32,6 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder, for a table that a caller names and keeps."""
+    return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
