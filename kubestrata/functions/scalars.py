@@ -190,7 +190,9 @@ def canon_json(body) -> Column:
     body = _c(body)
     # numbers with an exponent come back as doubles; whole ones lose their fraction, outside strings only
     whole = r'("(?:[^"\\]++|\\.)*+")|(-?[0-9]+)\.0+(?=[,}\]]|$)'
-    return F.coalesce(F.regexp_replace(F.to_json(F.try_parse_json(body)), whole, "$1$2"), body)
+    plain = F.to_json(F.try_parse_json(body))
+    doubtful = body.rlike(r"[0-9](?:\.0|[eE])")  # only such a text can come back with a fraction of zeros
+    return F.coalesce(F.when(doubtful, F.regexp_replace(plain, whole, "$1$2")).otherwise(plain), body)
 
 
 def json_same(a, b) -> Column:

@@ -53,14 +53,13 @@ def diff_captures(before: DataFrame, after: DataFrame, resource: str | None = No
                   before_at=None, after_at=None) -> DataFrame:
     """Paths whose latest 200 body differs between two captures (compared path by path), one in each record table.
 
-    A table with several captures has no single latest body for a path: that is an error when a row of it is compared.
+    A table with several captures has no single latest body for a path: that is an error, found from capture_id alone.
     """
-    def one(df: DataFrame) -> DataFrame:
-        many = F.count_distinct("capture_id") > 1
-        check = df.agg(F.when(many, F.raise_error(F.lit("diff_captures takes one capture on either side"))).cast("boolean").alias("_many"))
-        return df.crossJoin(F.broadcast(check)).filter(F.col("_many").isNull()).drop("_many")  # one row on the right
-
-    changed = diff_tables(one(_snapshot(before, before_at)), one(_snapshot(after, after_at)), ["path"])
+    for df in (before, after):
+        least, most = df.filter(~F.col("path").contains("?as=Table")).agg(F.min("capture_id"), F.max("capture_id")).first()
+        if least != most:
+            raise ValueError("diff_captures takes one capture on either side")
+    changed = diff_tables(_snapshot(before, before_at), _snapshot(after, after_at), ["path"])
     return _path_filter(changed, resource, namespace)
 
 

@@ -343,7 +343,7 @@ def container_cards(objects: DataFrame, logs: DataFrame | None = None) -> DataFr
     ``logs`` (capture_id, namespace, pod, container, previous, tail) adds the log tail and whether an earlier
     log exists.
     """
-    p = parse_pods(objects, POD_CARDS_DDL)
+    p = parse_pods(objects, POD_CARDS_DDL, containers=True)
     specs = F.concat(*[F.coalesce(F.transform(f"pod.spec.{f}", _card_spec), F.array()) for f in ("initContainers", "containers")])
     # specs keyed by container name inside the row; for repeated names the last one counts
     by_name = F.map_from_entries(F.transform(specs, lambda x: record(k=x["name"], v=x)))

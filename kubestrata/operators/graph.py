@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kubestrata.functions.scalars import blank, let
+from kubestrata.functions.scalars import blank
 from kubestrata.schema import POD_MOUNTS_DDL, VOLUME_DDL
 
 _OWNERS = "metadata struct<name: string, ownerReferences: array<struct<kind: string, name: string, apiVersion: string>>>"
@@ -19,42 +19,41 @@ def owner_edges(objects: DataFrame) -> DataFrame:
                        blank("o.name").alias("owner_name"), blank("o.apiVersion").alias("owner_api_version"))
 
 
-def _names(arr: Column, pick) -> Column:
-    return F.coalesce(F.transform(arr, pick), F.array().cast("array<string>"))
-
-
-def _deep(arr: Column, inner, pick) -> Column:
-    return F.flatten(F.coalesce(F.transform(arr, lambda x: _names(inner(x), pick)), F.array().cast("array<array<string>>")))
+def _inner(arr: Column, member: str) -> Column:
+    """The elements of a member array of all elements, one after the other."""
+    return F.flatten(F.array_compact(arr[member]))
 
 
 def mounts_of(pod: Column) -> Column:
-    """array<struct<kind, target>> a parsed pod refers to, distinct: volumes, projections, env and envFrom."""
+    """array<struct<kind, targets>>: the names a parsed pod refers to, distinct: volumes, projections, env and envFrom.
+
+    Member by member over whole arrays, which is compiled; only empty and missing names are filtered one by one.
+    """
     spec = pod["spec"]
-    volumes = spec["volumes"]
-    sources = lambda v: v["projected"]["sources"]
-    containers = [spec["containers"], spec["initContainers"]]
+    volumes, sources = spec["volumes"], _inner(spec["volumes"]["projected"], "sources")
+    env_from, env = ([_inner(spec[c], f) for c in ("containers", "initContainers")] for f in ("envFrom", "env"))
+    none = F.array().cast("array<string>")
 
     def tagged(kind: str, *lists: Column) -> Column:
-        names = F.filter(F.concat(*lists), lambda n: n.isNotNull() & (n != ""))
-        return F.transform(F.array_distinct(names), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("target")))
-
-    return F.concat(
-        tagged("configmap", _names(volumes, lambda v: v["configMap"]["name"]),
-               _deep(volumes, sources, lambda s: s["configMap"]["name"]),
-               *[_deep(c, lambda x: x["envFrom"], lambda e: e["configMapRef"]["name"]) for c in containers],
-               *[_deep(c, lambda x: x["env"], lambda e: e["valueFrom"]["configMapKeyRef"]["name"]) for c in containers]),
-        tagged("secret", _names(volumes, lambda v: v["secret"]["secretName"]),
-               _deep(volumes, sources, lambda s: s["secret"]["name"]),
-               *[_deep(c, lambda x: x["envFrom"], lambda e: e["secretRef"]["name"]) for c in containers],
-               *[_deep(c, lambda x: x["env"], lambda e: e["valueFrom"]["secretKeyRef"]["name"]) for c in containers]),
-        tagged("persistentvolumeclaim", _names(volumes, lambda v: v["persistentVolumeClaim"]["claimName"])),
+        names = F.filter(F.array_distinct(F.concat(*[F.coalesce(x, none) for x in lists])), lambda n: n != "")
+        return F.struct(F.lit(kind).alias("kind"), names.alias("targets"))
+
+    return F.array(
+        tagged("configmap", volumes["configMap"]["name"], sources["configMap"]["name"], *[e["configMapRef"]["name"] for e in env_from],
+               *[e["valueFrom"]["configMapKeyRef"]["name"] for e in env]),
+        tagged("secret", volumes["secret"]["secretName"], sources["secret"]["name"], *[e["secretRef"]["name"] for e in env_from],
+               *[e["valueFrom"]["secretKeyRef"]["name"] for e in env]),
+        tagged("persistentvolumeclaim", volumes["persistentVolumeClaim"]["claimName"]),
     )
 
 
 def mount_edges(pods: DataFrame) -> DataFrame:
     """pod -> configmap / secret / claim, distinct per pod row; no shuffle."""
-    rows = pods.select("capture_id", "namespace", "name", F.explode(let(F.from_json("obj", POD_MOUNTS_DDL), mounts_of)).alias("m"))
-    return rows.select("capture_id", "namespace", "name", "m.kind", "m.target")
+    keys = ["capture_id", "namespace", "name"]
+    # one-row generator: the parse is not repeated for each of the three kinds
+    parsed = pods.select(*keys, F.explode(F.array(F.from_json("obj", POD_MOUNTS_DDL))).alias("_p"))
+    rows = parsed.select(*keys, F.inline(mounts_of(F.col("_p"))))
+    return rows.select(*keys, "kind", F.explode("targets").alias("target"))
 
 
 def used_by(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from kubestrata.functions.scalars import (
 )
 from kubestrata.schema import (
     BAD_ISSUES, BENIGN_REASONS, DAEMON_SUGGESTION, DEPRECATED_APIS, ISSUE_PRIORITY, NODE_DDL, OBJECT_RULES,
-    OTHER_REASON_SUGGESTION, POD_HEALTH_DDL, POD_RULES_DDL, REASON_RULES, REPLICA_SUGGESTION, VOLUME_DDL, WORKLOAD_DDL,
+    OTHER_REASON_SUGGESTION, POD_HEALTH_DDL, POD_RULES_DDL, POD_STATUS_DDL, REASON_RULES, REPLICA_SUGGESTION, VOLUME_DDL, WORKLOAD_DDL,
 )
 
 SEVERITIES = ["info", "warning", "critical"]
@@ -46,22 +46,43 @@ def _container(is_init: bool):
     return build
 
 
-def health_of(status: Column) -> Column:
-    """struct<phase, issues, ready, total, restarts, containers> of a parsed pod status."""
-    containers = F.concat(*[
-        F.coalesce(F.transform(status[name], _container(init)), F.array())
-        for name, init in (("initContainerStatuses", True), ("containerStatuses", False))
-    ])
+def _issue(is_init: bool):
+    """A container's issue alone; "" for none."""
+    def build(c: Column) -> Column:
+        st = c["state"]
+        ended = blank(st["terminated"]["reason"])
+        if is_init:  # an init container that ended well is done
+            ended = F.when(zero(st["terminated"]["exitCode"]) == 0, "").otherwise(ended)
+        return F.when(st["running"].isNotNull(), "").when(st["waiting"].isNotNull(), blank(st["waiting"]["reason"])).otherwise(ended)
+
+    return build
+
+
+_STATUS_LISTS = (("initContainerStatuses", True), ("containerStatuses", False))
+
+
+def containers_of(status: Column) -> Column:
+    """array of container detail of a parsed pod status, init containers first."""
+    return F.concat(*[F.coalesce(F.transform(status[name], _container(init)), F.array()) for name, init in _STATUS_LISTS])
+
+
+def summary_of(status: Column) -> dict[str, Column]:
+    """phase, issues, ready, total and restarts of a parsed pod status, each from the members it needs."""
+    none = F.array().cast("array<string>")
     phase = blank(status["phase"])
-    from_phase = F.when(phase.isin("Failed", "Unknown"), F.array(phase)).otherwise(F.array().cast("array<string>"))
+    from_phase = F.when(phase.isin("Failed", "Unknown"), F.array(phase)).otherwise(none)
+    issues = F.concat(from_phase, *[F.coalesce(F.transform(status[name], _issue(init)), none) for name, init in _STATUS_LISTS])
+    size = lambda a: F.coalesce(F.size(a), F.lit(0))
+    total = lambda f: f(status["initContainerStatuses"]) + f(status["containerStatuses"])
+    ready = lambda cs: F.greatest(size(F.filter(cs["ready"], lambda r: r)), F.lit(0))
+    restarts = lambda cs: F.coalesce(F.aggregate(cs["restartCount"], F.lit(0), lambda x, n: x + F.coalesce(n, F.lit(0))), F.lit(0))
+    return {"phase": phase, "issues": F.array_distinct(F.array_remove(issues, "")), "ready": total(ready),
+            "total": total(lambda cs: F.greatest(size(cs), F.lit(0))), "restarts": total(restarts)}
 
-    def summed(cs: Column) -> Column:
-        issues = F.filter(F.concat(from_phase, F.transform(cs, lambda c: c["issue"])), lambda x: x != "")
-        return record(
-            phase=phase, issues=F.array_distinct(issues), ready=F.size(F.filter(cs, lambda c: c["ready"])), total=F.size(cs),
-            restarts=F.aggregate(cs, F.lit(0), lambda a, c: a + c["restart_count"]), containers=cs)
 
-    return let(containers, summed)
+def health_of(status: Column) -> Column:
+    """struct<phase, issues, ready, total, restarts, containers> of a parsed pod status."""
+    return record(**summary_of(status), containers=containers_of(status))
 
 
 def classify(obj) -> Column:
@@ -70,18 +91,21 @@ def classify(obj) -> Column:
     return let(F.from_json(obj, POD_HEALTH_DDL), lambda p: health_of(p["status"]))
 
 
-def parse_pods(objects: DataFrame, ddl: str = POD_HEALTH_DDL) -> DataFrame:
-    """Pod objects with the parsed payload ``pod`` (as far as ``ddl`` says) and the evaluated ``health``."""
+def parse_pods(objects: DataFrame, ddl: str = POD_HEALTH_DDL, containers: bool = False) -> DataFrame:
+    """Pod objects with the parsed payload ``pod`` (as far as ``ddl`` says) and the evaluated ``health``: its summary, and the
+    detail of its ``containers`` too if asked for."""
     pods = objects.filter(F.col("resource") == "pods") if "resource" in objects.columns else objects
     # one-row generators: later filters and projections cannot pull the parse in and repeat it
     parsed = pods.select("*", F.explode(F.array(F.from_json("obj", ddl))).alias("pod"))
-    return parsed.select("*", F.explode(F.array(health_of(F.col("pod.status")))).alias("health"))
+    status = F.col("pod.status")
+    health = health_of(status) if containers else record(**summary_of(status))
+    return parsed.select("*", F.explode(F.array(health)).alias("health"))
 
 
-def pod_health(objects: DataFrame) -> DataFrame:
-    """One row per pod: phase, issues, ready, total, restarts and container detail."""
+def pod_health(objects: DataFrame, containers: bool = True) -> DataFrame:
+    """One row per pod: phase, issues, ready, total, restarts and, unless left out, container detail."""
     keep = [c for c in ("capture_id", "path", "namespace", "position", "name") if c in objects.columns]
-    return parse_pods(objects).select(*keep, "health.*")
+    return parse_pods(objects, POD_STATUS_DDL, containers).select(*keep, "health.*")
 
 
 def owner_of(meta: Column) -> Column:
@@ -260,7 +284,7 @@ def object_findings(objects: DataFrame) -> DataFrame:
     res, path = F.col("resource"), F.col("path")
 
     def pod_rules(pod: Column) -> Column:
-        return let(health_of(pod["status"]), lambda h: F.concat(*[
+        return let(record(**summary_of(pod["status"])), lambda h: F.concat(*[
             F.coalesce(x, F.array()) for x in (_pod_health(pod, h), _unschedulable(pod), _missing_resources(pod))]))
 
     findings = (

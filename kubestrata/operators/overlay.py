@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GVR = ["group", "version", "resource"]
@@ -37,12 +37,11 @@ def compact(log: DataFrame, key: list[str] = KEY) -> DataFrame:
     write = F.when(~F.col("deleted"), F.col("rv"))
     facts = log.select(*key, "rv", "deleted", run)
     last = facts.groupBy(*key, "_run").agg(deleted, F.max("rv").alias("rv"), F.min(write).alias("_first"), F.collect_list(write).alias("_writes"))
-    runs = last.select(*key, "_run", "rv", "_gone", "_first",
-                       F.array_min(F.filter("_writes", lambda w: w > F.coalesce("_gone", F.lit(-1)))).alias("_after"))
-    heads = runs.groupBy(*key).agg(F.max("rv").alias("rv"), F.max("_gone").alias("_gone"), F.max(F.when(F.col("_gone").isNotNull(), F.col("_run"))).alias("_last"))
-    births = runs.join(heads.select(*key, "_last"), key).filter(F.col("_last").isNull() | (F.col("_run") >= F.col("_last"))).groupBy(*key).agg(
-        F.min(F.when(F.col("_run") == F.col("_last"), F.col("_after")).otherwise(F.col("_first"))).alias("created_rv"))
-    return log.join(heads.select(*key, "rv"), [*key, "rv"]).join(births, key, "left").select(
+    after = F.array_min(F.filter("_writes", lambda w: w > F.coalesce("_gone", F.lit(-1))))
+    later = Window.partitionBy(*key).orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, -1)  # one row per run
+    runs = last.select(*key, "rv", F.when(F.max("_gone").over(later).isNull(), F.when(F.col("_gone").isNull(), F.col("_first")).otherwise(after)).alias("_birth"))
+    heads = runs.groupBy(*key).agg(F.max("rv").alias("rv"), F.min("_birth").alias("created_rv"))
+    return log.join(heads, [*key, "rv"]).select(
         *key, "rv", F.when(F.col("deleted"), F.lit(0)).otherwise(F.coalesce("created_rv", F.lit(0))).cast("bigint").alias("created_rv"),
         "deleted", "obj")
 

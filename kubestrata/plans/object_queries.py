@@ -184,7 +184,7 @@ def events_for(spark, sf):
 @query(with_(POD) + "SELECT ns AS namespace, name, phase, issues, ready, total, restarts FROM podi")
 def pod_health(spark, sf):
     """Phase, issues, readiness and restarts of every pod."""
-    h = health.pod_health(ad.pods(spark, sf))
+    h = health.pod_health(ad.pods(spark, sf), containers=False)
     return h.select("namespace", "name", "phase", F.array_join("issues", ",").alias("issues"), "ready", "total", "restarts")
 
 
@@ -303,7 +303,7 @@ SELECT ns AS namespace, reason, CASE WHEN n > 1 THEN prefix ELSE one END AS titl
 FROM g""")
 def issue_grouping(spark, sf):
     """Unhealthy pods by name stem and dominant reason."""
-    h = health.pod_health(ad.pods(spark, sf))
+    h = health.pod_health(ad.pods(spark, sf), containers=False)
     return health.issues(h, n=None).select("namespace", "reason", "title", "count", "restarts", "severity", "subtitle")
 
 
@@ -347,7 +347,7 @@ def overview_kpis(spark, sf):
     """Headline numbers of the cluster."""
     pods = ad.pods(spark, sf)
     counts = _counts(union(ad.workloads(spark, sf), pods))
-    return dash.overview_kpis(counts, health.pod_health(pods), ad.namespaces(spark, sf), ad.event_log(spark, sf)).drop("capture_id")
+    return dash.overview_kpis(counts, health.pod_health(pods, containers=False), ad.namespaces(spark, sf), ad.event_log(spark, sf)).drop("capture_id")
 
 
 @query(with_(POD, WORK) + """
@@ -360,14 +360,14 @@ def namespace_summary(spark, sf):
     pods = ad.pods(spark, sf)
     known = ad.namespaces(spark, sf).select("capture_id", F.col("name").alias("namespace"))
     known = known.unionByName(known.withColumn("namespace", F.regexp_replace("namespace", "^ns", "empty")))
-    return dash.namespace_summary(_counts(union(ad.workloads(spark, sf), pods)), health.pod_health(pods), known).drop("capture_id")
+    return dash.namespace_summary(_counts(union(ad.workloads(spark, sf), pods)), health.pod_health(pods, containers=False), known).drop("capture_id")
 
 
 @query("SELECT 'ns' || (l_suppkey % 25) AS namespace, CAST(count(*) AS BIGINT) AS resources FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def top_namespaces(spark, sf):
     """The 8 largest namespaces."""
     pods = ad.pods(spark, sf)
-    return dash.top_namespaces(dash.namespace_summary(_counts(pods), health.pod_health(pods))).select("namespace", "resources")
+    return dash.top_namespaces(dash.namespace_summary(_counts(pods), health.pod_health(pods, containers=False))).select("namespace", "resources")
 
 
 _TILE = ["pods", "services", "widgets", "gadgets", "secrets", "leases", "jobs", "gears", "bolts", "nuts", "events"]

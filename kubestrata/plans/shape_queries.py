@@ -110,9 +110,9 @@ def resource_info(spark, sf):
 
 
 def _directives(spark, sf):
-    """Regions as expansion directives: the first is for cluster-scoped kinds only."""
-    r = ad.table(spark, sf, "region").filter("r_regionkey < 2")
-    return r.select(F.col("r_regionkey").alias("position"), F.when(F.col("r_regionkey") == 0, "cluster").otherwise("").alias("scope"),
+    """Regions as expansion directives, each for cluster-scoped kinds, any kind or namespaced kinds."""
+    r, k = ad.table(spark, sf, "region"), F.col("r_regionkey")
+    return r.select(k.alias("position"), F.when(k % 3 == 0, "cluster").when(k % 3 == 1, "").otherwise("namespaced").alias("scope"),
                     ad.txt(F.col("r_regionkey") * 10 + 5, "s").alias("interval"), F.array(F.lit("ns1"), F.lit("*")).alias("namespaces"))
 
 
@@ -121,7 +121,10 @@ def _targets(spark, sf):
     return shape.expand_targets(cat, cat.filter("resource = 'pods'").select("group", "version", "resource"), _directives(spark, sf), ["g4.io"])
 
 
-_TARGETS = _CAT + """, target AS (SELECT "group", version, resource, namespaced, CASE WHEN namespaced THEN '15s' ELSE '5s' END AS interval FROM cat WHERE resource <> 'pods' AND "group" <> 'g4.io')"""
+_TARGETS = _CAT + """, directive AS (SELECT r_regionkey AS position, CASE r_regionkey % 3 WHEN 0 THEN 'cluster' WHEN 1 THEN '' ELSE 'namespaced' END AS scope,
+  (r_regionkey * 10 + 5) || 's' AS interval FROM region), target AS (
+  SELECT "group", version, resource, namespaced, CASE WHEN namespaced THEN (SELECT arg_min(interval, position) FROM directive WHERE scope IN ('', 'namespaced'))
+    ELSE (SELECT arg_min(interval, position) FROM directive WHERE scope IN ('', 'cluster')) END AS interval FROM cat WHERE resource <> 'pods' AND "group" <> 'g4.io')"""
 
 
 @query(with_(_TARGETS) + """SELECT "group", version, resource, interval, CASE WHEN namespaced THEN 'ns1,*' END AS namespaces FROM target""")
@@ -267,10 +270,13 @@ def object_diffs(spark, sf):
     return d.select("object_key", "before_missing", "after_missing").distinct()
 
 
-@query("""SELECT k AS orderkey, CAST(1 + CAST(k % 7 = 0 AND k % 11 <> 0 AS INT) AS INT) > 0 AS changed FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 77 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0)""")
+@query("""SELECT o_orderkey AS orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'null' ELSE 'price' END AS added, o_orderkey % 11 = 0 AS gone, false AS new
+FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 UNION ALL SELECT o_orderkey + 10000000, 'price', false, true FROM orders WHERE o_orderkey % 13 = 0""")
 def diff_texts(spark, sf):
-    """Line diffs of the changed orders that exist in the first capture."""
-    d = change.diff_captures(ad.order_records(spark, sf), ad.order_records(spark, sf, True)).filter("before IS NOT NULL")
-    text = change.diff_text(d)
+    """Line diffs of all orders that changed, went or came between the captures: what the lines added hold."""
+    text = change.diff_text(change.diff_captures(ad.order_records(spark, sf), ad.order_records(spark, sf, True)))
     key = F.regexp_extract("path", "/o([0-9]+)$", 1).cast("bigint")
-    return text.select(key.alias("orderkey"), F.col("diff").contains("@@").alias("changed"))
+    lines = lambda sign: F.filter(F.split("diff", "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3))
+    price = F.exists(lines("+"), lambda x: x.contains('"price"'))
+    whole = lambda sign: F.exists(lines(sign), lambda x: x == f"{sign}null")
+    return text.select(key.alias("orderkey"), F.when(whole("+"), "null").when(price, "price").alias("added"), whole("+").alias("gone"), whole("-").alias("new"))

@@ -419,18 +419,17 @@ def merge_patch_fold(spark, sf):
 
 @query(with_(DAILY) + """
 , polls AS (SELECT DISTINCT seq FROM daily),
-seen AS (SELECT user_id % 10 AS ns, seq, count(*) AS n FROM daily WHERE value > 120 GROUP BY ALL),
+seen AS (SELECT user_id AS ns, seq, count(*) AS n FROM daily GROUP BY ALL),
 first AS (SELECT ns, min(seq) AS first FROM seen GROUP BY ns)
 SELECT 'ns' || ns AS namespace, polls.seq AS poll FROM first JOIN polls ON polls.seq > first
 WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.ns = first.ns AND s.seq = polls.seq)""")
 def emptied_namespaces(spark, sf):
-    """Namespaces seen in an earlier poll of a cluster-wide list and missing now."""
+    """Namespaces, one for each user, seen in an earlier poll of a cluster-wide list and missing now."""
     items = ad.daily_items(spark, sf)
     polls = items.select("capture_id", F.lit("/api/v1/sessions").alias("path"), F.col("seq")).distinct()
     numbered = ranked(polls, ["capture_id", "path"], ["seq"], "n")
-    big = items.filter(F.get_json_object("obj", "$.value").cast("double") > 120).select(
-        "capture_id", F.lit("/api/v1/sessions").alias("path"), "seq", F.split_part("path", F.lit("/"), F.lit(5)).alias("namespace"))
-    present = big.join(numbered, ["capture_id", "path", "seq"]).select("capture_id", "path", "namespace", "n")
+    seen = items.select("capture_id", F.lit("/api/v1/sessions").alias("path"), "seq", F.concat(F.lit("ns"), F.substring("name", 2, 20)).alias("namespace"))
+    present = seen.join(numbered, ["capture_id", "path", "seq"]).select("capture_id", "path", "namespace", "n")
     last = numbered.groupBy("capture_id", "path").agg(F.max("n").alias("last_n"))
     gone = shape.emptied(present, last, ["namespace"])
     return gone.join(numbered, ["capture_id", "path", "n"]).select("namespace", F.col("seq").alias("poll"))

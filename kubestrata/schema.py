@@ -79,6 +79,7 @@ POD_HEALTH_DDL = (
     f"{_OWNED}, creationTimestamp: STRING, labels: MAP<STRING, STRING>>, spec STRUCT<nodeName: STRING>, "
     f"status STRUCT<phase: STRING, podIP: STRING, qosClass: STRING, {_STATUSES}>"
 )
+POD_STATUS_DDL = f"status STRUCT<phase: STRING, {_STATUSES}>"
 POD_RULES_DDL = (
     f"{_OWNED}>, spec STRUCT<containers: ARRAY<STRUCT<resources: STRUCT<requests: MAP<STRING, STRING>, "
     f"limits: MAP<STRING, STRING>>>>>, status STRUCT<phase: STRING, conditions: ARRAY<{_CONDITION}>, {_STATUSES}>"
