@@ -110,3 +110,17 @@ def filled(df: DataFrame, keys: list[str], order: list[str], value: str) -> Data
     inside = Window.partitionBy("_block", *keys).orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
     out = _with_block_facts(blocks.withColumn(value, F.last(value, ignorenulls=True).over(inside)), carry, keys)
     return out.withColumn(value, F.coalesce(value, "_last")).select(*df.columns)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str, chunk: Column | None = None) -> DataFrame:
+    """Sum of ``value`` over a key's rows up to each one, in two passes: inside chunks, and over the table of chunk sums.
+
+    ``order`` must be a unique number within a key.
+    """
+    rows = df.withColumn("_chunk", chunk_of(order) if chunk is None else chunk)
+    sums = rows.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("_inside", F.sum(value).over(inside))
+    return summed.join(offsets, [*keys, "_chunk"]).withColumn(out, F.col("_before") + F.col("_inside")).select(*df.columns, out)

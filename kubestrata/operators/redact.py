@@ -201,10 +201,9 @@ def _in_scope(rule: Rule, v: Column, strict_namespace: bool) -> Column:
     return ok
 
 
-def rule_applied(v: Column, rule: Rule, path: list, types: dict) -> Column:
-    """struct<v, hit> of one body under one rule. Lists are handled per item, and only there does a missing namespace fail a
+def rule_applied(v: Column, kind: Column, rule: Rule, path: list, types: dict) -> Column:
+    """struct<v, hit> of one body of a kind under one rule. Lists are handled per item, and only there does a missing namespace fail a
     namespace rule."""
-    kind = F.coalesce(_text(v, "$.kind"), F.lit(""))
     single = F.regexp_replace(kind, "List$", "")
 
     def leaf(of_kind: Column):
@@ -220,7 +219,7 @@ def rule_applied(v: Column, rule: Rule, path: list, types: dict) -> Column:
     in_list = touched(v, ["items", ...], item)
     alone = F.when(_in_scope(rule, v, False), touched(v, path, leaf(kind))).otherwise(kept)
     named = F.lit(True) if rule.kind in ("", "*") else (kind == rule.kind) | (single == rule.kind)
-    return F.when(named & _object(v).isNotNull(), F.when(kind.endswith("List"), in_list).otherwise(alone)).otherwise(kept)
+    return F.when(named & kind.isNotNull(), F.when(kind.endswith("List"), in_list).otherwise(alone)).otherwise(kept)
 
 
 def _json_type(value) -> str:
@@ -332,11 +331,13 @@ def redact_fields(records: DataFrame, rules: list[Rule], body: str = "body") ->
     if any(None in path for _, path, _ in compiled):
         out = records.withColumn("_new", _rewritten(compiled)(F.when(concerned, F.col(body))))
         return out.withColumn("fields_masked", F.col("_new").isNotNull()).withColumn(body, F.coalesce("_new", body)).drop("_new")
-    start = record(v=F.when(concerned, F.try_parse_json(body)), hit=F.lit(False))
-    rows = records.select("*", F.explode(F.array(start)).alias("_r"))  # a generator, so that no step is worked out twice
+    parsed = records.select("*", F.explode(F.array(F.when(concerned, F.try_parse_json(body)))).alias("_v"))
+    # generators, so that no step is worked out twice; the kind is the body's before any rule, and null for no object
+    kind = F.when(_object(F.col("_v")).isNotNull(), F.coalesce(_text(F.col("_v"), "$.kind"), F.lit("")))
+    rows = parsed.select(*records.columns, F.explode(F.array(record(v=F.col("_v"), hit=F.lit(False), kind=kind))).alias("_r"))
     for rule, path, types in compiled:
-        step = rule_applied(F.col("_r.v"), rule, path, types)
-        after = let(step, lambda s: record(v=s["v"], hit=s["hit"] | F.col("_r.hit")))
+        step = rule_applied(F.col("_r.v"), F.col("_r.kind"), rule, path, types)
+        after = let(step, lambda s: record(v=s["v"], hit=s["hit"] | F.col("_r.hit"), kind=F.col("_r.kind")))
         rows = rows.select(*records.columns, F.explode(F.array(after)).alias("_r"))
     hit = F.col("_r.hit")
     return rows.withColumn("fields_masked", hit).withColumn(body, F.when(hit, F.to_json("_r.v")).otherwise(F.col(body))).drop("_r")

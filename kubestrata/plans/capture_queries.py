@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kubestrata.operators import change, dash, graph, overlay, search, select, timetravel, views
+from kubestrata.operators import change, dash, graph, keptstate, overlay, search, select, sweep, timetravel, views
 from kubestrata.operators.textindex import TextIndex
 from kubestrata.plans import adapters as ad
 from kubestrata.plans.registry import EV, POD, WORK, query, with_
@@ -201,3 +201,24 @@ def table_row_single(spark, sf):
 def view_choice(spark, sf):
     """A kind with a built-in view gets it when nothing else was captured for it."""
     return views.view(ad.volumes(spark, sf), "", "v1", "persistentvolumes", AT).select(F.col("Name").alias("name"))
+
+
+@query(with_(EV + """, t AS (SELECT DISTINCT ts AS stop FROM ev), n AS (SELECT stop, row_number() OVER (ORDER BY stop) - 1 AS n FROM t),
+axis AS (SELECT stop FROM n WHERE (SELECT count(*) FROM t) <= 24 OR n IN (SELECT least(CAST(floor(i * ((c - 1) / 23.0::DOUBLE)) AS BIGINT), c - 1)
+  FROM (SELECT unnest(range(24)) AS i, (SELECT count(*) FROM t) AS c)))""") + """
+SELECT stop AS captured_at, ns AS namespace, 'widgets' AS resource, CAST(count(*) AS BIGINT) AS objects FROM (
+  SELECT stop, ns, user_id, arg_max(typ, seq) AS last FROM axis JOIN ev ON ev.ts <= axis.stop GROUP BY ALL) WHERE last <> 'DELETED' GROUP BY ALL""")
+def counts_over_axis(spark, sf):
+    """Objects per namespace and resource at 24 instants of the time axis, by one sweep over their lives."""
+    ev = ad.event_records(spark, sf)
+    return sweep.counts_over_axis(ev, timetravel.time_axis(ev, 24)).select("captured_at", "namespace", "resource", "objects")
+
+
+@query(with_(EV) + f"""
+SELECT path, ns || '/' || name AS object_key, value FROM (SELECT path, ns, name, arg_max(typ, seq) AS last, arg_max(value, seq) AS value FROM ev WHERE ts <= TIMESTAMP '{AT}' GROUP BY ALL)
+WHERE last <> 'DELETED'""")
+def state_from_kept(spark, sf):
+    """State at an instant from a kept state of five days before and the events since."""
+    ev, folder = ad.event_records(spark, sf), new_folder(spark, "kept-states")
+    keptstate.keep_states(ev, folder, ["2024-01-05 00:00:00", "2024-01-10 00:00:00"])
+    return keptstate.state_from_kept(ev, folder, AT).select("path", F.concat_ws("/", "obj_namespace", "name").alias("object_key"), _value().alias("value"))
