@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kubestrata.functions import jsonpath
+from kubestrata.functions.ordered import salted_join
 from kubestrata.functions.scalars import (
     access_modes, age_short, at_literal, blank, first_non_empty, map_text, or_none, rfc3339, zero,
 )
@@ -21,11 +23,13 @@ from kubestrata.schema import (
 
 @dataclass
 class Col:
-    """One column of a view; ``wide`` ones only show on request. ``cell`` None means computed age."""
+    """One column of a view; ``wide`` ones only show on request. ``cell`` None means computed age; where ``when`` is given and
+    does not hold, the cell is null."""
 
     name: str
     cell: Callable[[], Column] | None
     wide: bool = False
+    when: Callable[[], Column] | None = None
 
 
 def _s(path: str) -> Callable[[], Column]:
@@ -273,7 +277,8 @@ def _render(objects: DataFrame, ddl: str, cols: list[Col], at, wide: bool, metad
     parsed = objects.select(*[c for c in objects.columns], F.from_json("obj", ddl).alias("o"))
     base = [F.col(c) for c in _ROW if c in keep]
     meta = [F.get_json_object("obj", "$.metadata").alias("metadata")] if metadata else []
-    return parsed.select(*base, *meta, *[(age if c.cell is None else c.cell()).alias(c.name) for c in shown])
+    cells = [age if c.cell is None else c.cell() for c in shown]
+    return parsed.select(*base, *meta, *[(v if c.when is None else F.when(c.when(), v)).alias(c.name) for c, v in zip(shown, cells, strict=True)])
 
 
 def view_builtin(objects: DataFrame, group: str, resource: str, at=None, wide: bool = False, metadata: bool = False) -> DataFrame:
@@ -289,64 +294,108 @@ def view_generic(objects: DataFrame, at=None, namespaced: bool | None = None) ->
     return _render(objects, CONFIG_DDL, [_NAME, *ns, AGE], at, False)
 
 
-def view_custom(objects: DataFrame, columns: list[dict], at=None, wide: bool = False) -> DataFrame:
-    """Columns from a custom resource definition's printer JSONPaths for one version."""
-    cols = [_NAME]
-    for c in columns:
-        def cell(expr=c.get("jsonPath") or ""):
-            if not expr:
-                return F.lit("")
-            try:
-                return blank(jsonpath.as_text(jsonpath.evaluate("obj", expr)))
-            except ValueError:
-                return F.lit("")
+def _with_columns(objects: DataFrame, columns: DataFrame, of, wide: bool) -> tuple[DataFrame, list[Col]]:
+    """Objects with their own capture's ``_columns``, and the columns of all captures in order: a cell is null where the
+    object's capture does not define its column. ``of(name, expression)`` is a cell.
+
+    The different columns come to the driver, as they are the header of the result; which capture has which stays in the plan.
+    """
+    expr = lambda c: F.coalesce(c["jsonPath"], F.lit(""))
+    hidden = lambda c: F.coalesce(c["priority"], F.lit(0)) > 0
+    each = columns.select(F.posexplode("columns").alias("i", "c"))
+    seen = each.groupBy(F.col("c.name").alias("name"), expr(F.col("c")).alias("expr")).agg(
+        F.min("i").alias("i"), F.bool_and(hidden(F.col("c"))).alias("wide")).orderBy("i", "name", "expr").collect()
+    out = []
+    for name in dict.fromkeys(r["name"] for r in seen):
+        own = [r for r in seen if r["name"] == name]
+        has = lambda e, name=name: F.coalesce(F.exists("_columns", lambda c: (c["name"] == name) & (expr(c) == e) & (F.lit(wide) | ~hidden(c))), F.lit(False))
+        cells = {r["expr"]: of(name, r["expr"]) for r in own}
+        one = next(iter(cells.values()))
+        cell = one if len(cells) == 1 else lambda cells=cells, has=has: F.coalesce(*[F.when(has(e), c()) for e, c in cells.items()])
+        out.append(Col(name, cell, all(r["wide"] for r in own), lambda own=own, has=has: reduce(Column.__or__, [has(r["expr"]) for r in own])))
+    return salted_join(objects, columns.select("capture_id", F.col("columns").alias("_columns")), ["capture_id"], ["name"], "left"), out
+
+
+def _custom_cell(expression: str) -> Callable[[], Column]:
+    def cell() -> Column:
+        if not expression:
+            return F.lit("")
+        try:
+            return blank(jsonpath.as_text(jsonpath.evaluate("obj", expression)))
+        except ValueError:
+            return F.lit("")
+
+    return cell
 
-        cols.append(Col(c["name"], cell, bool(c.get("priority"))))
-    return _render(objects, CONFIG_DDL, [*cols, AGE], at, wide)
 
+def view_custom(objects: DataFrame, columns: list[dict] | DataFrame, at=None, wide: bool = False) -> DataFrame:
+    """Columns from a custom resource definition's printer JSONPaths for one version: one list for all objects, or
+    each capture's own (``custom_columns``)."""
+    if isinstance(columns, DataFrame):
+        objects, cols = _with_columns(objects, columns, lambda _name, e: _custom_cell(e), wide)
+    else:
+        cols = [Col(c["name"], _custom_cell(c.get("jsonPath") or ""), bool(c.get("priority"))) for c in columns]
+    return _render(objects, CONFIG_DDL, [_NAME, *cols, AGE], at, wide)
 
-def custom_columns(crds: DataFrame, group: str, version: str, resource: str) -> list[dict]:
-    """Printer columns of one custom resource version: a few rows read on the driver."""
+
+def custom_columns(crds: DataFrame, group: str, version: str, resource: str) -> DataFrame:
+    """capture_id, columns: the printer columns of one custom resource version in each capture that defines some; of several
+    definitions in a capture the first by path and position."""
     spec = F.from_json("obj", CRD_DDL)["spec"]
     rows = (
-        crds.select(spec.alias("s")).filter((F.col("s.group") == group) & (F.col("s.names.plural") == resource))
-        .select(F.explode("s.versions").alias("v")).filter(F.col("v.name") == version).limit(1)
-        .select(F.posexplode("v.additionalPrinterColumns").alias("i", "c")).orderBy("i").select("c.*").collect()
+        crds.select("capture_id", "path", "position", spec.alias("s")).filter((F.col("s.group") == group) & (F.col("s.names.plural") == resource))
+        .select("capture_id", "path", "position", F.explode("s.versions").alias("v")).filter(F.col("v.name") == version)
     )
-    return [r.asDict() for r in rows]
+    first = rows.groupBy("capture_id").agg(F.min_by("v.additionalPrinterColumns", F.struct("path", "position")).alias("columns"))
+    return first.filter(F.size("columns") > 0)
 
 
-def captured_columns(records: DataFrame, list_path: str, cluster_path: str, at=None) -> list[dict]:
-    """Column definitions captured for a list: its own Table, then its TableSchema, then the cluster path's."""
+def captured_columns_each(records: DataFrame, list_path: str, cluster_path: str, at=None) -> DataFrame:
+    """capture_id, columns: definitions captured for a list: its own Table, then its TableSchema, then the cluster path's."""
     candidates = [p + s for p in dict.fromkeys([list_path, cluster_path]) for s in ("?as=Table", "?as=TableSchema")]
     defs = F.from_json(F.get_json_object("body", "$.columnDefinitions"),
-                       "array<struct<name: string, type: string, priority: int, description: string>>")
+                       "array<struct<name: string, type: string, priority: int, description: string, jsonPath: string>>")
     rows = latest_at(records.filter(F.col("path").isin(candidates)), at).filter("response_code = 200").select(
-        "path", defs.alias("d")).filter(F.size("d") > 0).collect()
-    best = min(rows, key=lambda r: candidates.index(r["path"]), default=None)
-    return [] if best is None else [d.asDict() for d in best["d"]]
+        "capture_id", "path", defs.alias("d")).filter(F.size("d") > 0)
+    rank = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col("path"))
+    return rows.groupBy("capture_id").agg(F.min_by("d", rank).alias("columns"))
 
 
-def view_captured(objects: DataFrame, columns: list[dict], group: str, resource: str, at=None, wide: bool = False) -> DataFrame:
-    """Captured column list: cells this library knows are computed, the others are null."""
+def captured_columns(records: DataFrame, list_path: str, cluster_path: str, at=None) -> list[dict]:
+    """The captured definitions where all captures have the same ones; an error where they differ."""
+    found = captured_columns_each(records, list_path, cluster_path, at).select("columns").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("captures differ in their columns: use captured_columns_each")
+    return [d.asDict() for r in found for d in r["columns"]]
+
+
+def view_captured(objects: DataFrame, columns: list[dict] | DataFrame, group: str, resource: str, at=None, wide: bool = False) -> DataFrame:
+    """Captured columns, one list or each capture's own: cells this library knows are computed, the others are null."""
     ddl, known = PRINTERS.get((group, resource), (CONFIG_DDL, []))
     cells = {c.name.lower(): c.cell for c in known if c.cell is not None}
-    cols = []
-    for c in columns:
-        low = c["name"].lower()
-        cell = {"name": _s("metadata.name"), "namespace": _s("metadata.namespace"), "age": None}.get(
-            low, cells.get(low, lambda: F.lit(None).cast("string")))
-        cols.append(Col(c["name"], cell, bool(c.get("priority"))))
+
+    def cell(name: str) -> Callable[[], Column] | None:
+        return {"name": _s("metadata.name"), "namespace": _s("metadata.namespace"), "age": None}.get(
+            name.lower(), cells.get(name.lower(), lambda: F.lit(None).cast("string")))
+
+    if isinstance(columns, DataFrame):
+        objects, cols = _with_columns(objects, columns, lambda name, _e: cell(name), wide)
+    else:
+        cols = [Col(c["name"], cell(c["name"]), bool(c.get("priority"))) for c in columns]
     return _render(objects, ddl, cols, at, wide)
 
 
 def view(objects: DataFrame, group: str, version: str, resource: str, at=None, wide: bool = False,
          crds: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
-    """The view a list of one kind gets: custom columns, else captured ones, else built in, else generic."""
+    """The view a list of one kind gets: custom columns, else captured ones, else built in, else generic.
+
+    With several captures the first of these that any of them has is taken, with each capture's own columns; a capture
+    without any shows null in them.
+    """
     base = f"/apis/{group}/{version}" if group else f"/api/{version}"
-    if group and crds is not None and (cols := custom_columns(crds, group, version, resource)):
+    if group and crds is not None and not (cols := custom_columns(crds, group, version, resource)).isEmpty():
         return view_custom(objects, cols, at, wide)
-    if tables is not None and (cols := captured_columns(tables, f"{base}/{resource}", f"{base}/{resource}", at)):
+    if tables is not None and not (cols := captured_columns_each(tables, f"{base}/{resource}", f"{base}/{resource}", at)).isEmpty():
         return view_captured(objects, cols, group, resource, at, wide)
     if (group, resource) in PRINTERS:
         return view_builtin(objects, group, resource, at, wide)

@@ -307,7 +307,10 @@ def crds(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     name = txt("things", k, ".g", F.col("n_regionkey"), ".example.com")
-    version = lambda v, served: F.struct(F.lit(v).alias("name"), served.alias("served"))
+    column = lambda n, path, wide=0: F.struct(F.lit(n).alias("name"), F.lit(path).alias("jsonPath"), F.lit(wide).alias("priority"))
+    printed = F.when(k % 2 == 0, F.array(column("Size", ".spec.size"), column("Type", ".spec.type", 1))).otherwise(
+        F.array(column("Size", ".spec.items[1].qty"), column("Brand", ".metadata.labels.brand")))
+    version = lambda v, served: F.struct(F.lit(v).alias("name"), served.alias("served"), printed.alias("additionalPrinterColumns"))
     obj = F.to_json(F.struct(F.struct(name.alias("name")).alias("metadata"), F.struct(
         txt("g", F.col("n_regionkey"), ".example.com").alias("group"), F.when(k % 7 == 3, "Odd").when(k % 2 == 0, "Namespaced").otherwise("Cluster").alias("scope"),
         F.struct(F.when(k % 9 != 4, txt("Thing", k)).alias("kind"), txt("things", k).alias("plural"), txt("thing", k).alias("singular"), F.array(txt("t", k)).alias("shortNames")).alias("names"),

@@ -178,6 +178,35 @@ def view_custom(spark, sf):
     return _plain(views.view_custom(ad.part_objects(spark, sf), cols, NOW, wide=True))
 
 
+def _two_captures(df, key):
+    return df.withColumn("capture_id", F.concat(F.lit("c"), (key % 2).cast("string")))
+
+
+@query("""
+SELECT 'c' || (p_partkey % 2) AS capture, 'part-' || p_partkey AS name, CASE p_partkey % 2 WHEN 0 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size % 7 AS VARCHAR) END AS size,
+  CASE p_partkey % 2 WHEN 0 THEN lower(p_type) END AS type, CASE p_partkey % 2 WHEN 1 THEN p_brand END AS brand, '<unknown>' AS age FROM part""")
+def view_choice_custom(spark, sf):
+    """The view of a custom resource that two captures define with different columns."""
+    same = lambda c: F.regexp_replace(F.regexp_replace(c, '"things[0-9]+"', '"parts"'), '"g[0-9]\\.example\\.com"', '"shop.example.com"')
+    crds = _two_captures(ad.crds(spark, sf), F.col("position")).withColumn("obj", same("obj"))
+    parts = _two_captures(ad.part_objects(spark, sf), F.col("position"))
+    out = views.view(parts, "shop.example.com", "v1", "parts", NOW, True, crds)
+    return _plain(out.withColumn("capture", F.col("capture_id")))
+
+
+@query("""
+SELECT 'c' || (p_partkey % 2) AS capture, 'part-' || p_partkey AS name, NULL::VARCHAR AS mystery3, NULL::VARCHAR AS mystery4, '' AS namespace FROM part""")
+def view_choice_captured(spark, sf):
+    """The view of a kind whose columns two captures captured, each its own."""
+    r, k = ad.table(spark, sf, "region"), F.col("r_regionkey")
+    body = ad.txt('{"columnDefinitions":[{"name":"Name"},{"name":"Mystery', k, '"},{"name":"Namespace"}]}')
+    tables = _two_captures(r.select(F.lit("/apis/shop.example.com/v1/parts?as=Table").alias("path"), k.alias("seq"), F.lit("2024-01-01").cast("timestamp_ntz").alias("captured_at"),
+                                    F.lit(None).cast("string").alias("event_type"), F.lit(200).alias("response_code"), body.alias("body")), F.col("seq"))
+    parts = _two_captures(ad.part_objects(spark, sf), F.col("position"))
+    out = views.view(parts, "shop.example.com", "v1", "parts", NOW, True, None, tables)
+    return _plain(out.withColumn("capture", F.col("capture_id")))
+
+
 @query(with_(WORK) + "SELECT name, have || '/' || COALESCE(replicas, 0) AS ready, NULL::VARCHAR AS mystery, ns AS namespace, '18h' AS age FROM work")
 def view_captured(spark, sf):
     """A listing whose columns were captured: known cells computed, others null."""
