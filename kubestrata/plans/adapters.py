@@ -109,8 +109,7 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pod per lineitem, built inside the row: main container, a sidecar for every third line number and
     an init container for every fourth.
 
-    The raw columns, some 60 bytes a row, are dealt out by key before a row becomes a pod of a kilobyte, at every size:
-    a file of one row group would otherwise be one task.
+    The raw columns are dealt out by key before a row becomes a pod many times their size, at every size: a file of one row group would otherwise be one task.
     """
     raw = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
