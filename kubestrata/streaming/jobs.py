@@ -7,7 +7,7 @@ a time to live is given. Late rows: see ``split_late``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kubestrata.functions.scalars import at_literal
 from kubestrata.operators.timetravel import with_identity
-from kubestrata.sources.records import with_seq
+from kubestrata.streaming.landing import land_batch  # noqa: F401 - the sink belongs to these jobs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,26 +27,7 @@ def use_rocksdb(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# ------------------------------------------------------------- landing sink
-
-def land_batch(target: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: appends a micro-batch with seq continued per path.
-
-    Each batch owns one folder (overwritten on a retry, so delivery is exactly once). The starting offsets
-    are the per-path maxima of earlier batches, read from the seq column alone.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        numbered = with_seq(batch.drop("event_time"))
-        if batch_id > 0:
-            done = spark.read.option("basePath", target).parquet(target).filter(F.col("batch") < batch_id)
-            top = done.groupBy("capture_id", "path").agg((F.max("seq") + 1).alias("_base"))
-            numbered = numbered.join(top, ["capture_id", "path"], "left").withColumn(
-                "seq", F.col("seq") + F.coalesce("_base", F.lit(0))).drop("_base")
-        numbered.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    return write
-
+# ---------------------------------------------------------------- late rows
 
 def split_late(batch: DataFrame, newest_seen, delay: str = "10 minutes") -> tuple[DataFrame, DataFrame]:
     """(on time, late) rows of a micro-batch against the newest event time of earlier batches."""
