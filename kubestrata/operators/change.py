@@ -34,13 +34,13 @@ def diff_tables(before: DataFrame, after: DataFrame, keys: list[str], body: str
     return b.join(a, keys, "full_outer").filter(differs).drop("_a", "_b")
 
 
-def _snapshot(records: DataFrame, at=None) -> DataFrame:
+def snapshot(records: DataFrame, at=None) -> DataFrame:
     usable = records.filter(~F.col("path").contains("?as=Table"))
     return latest_at(usable.select(*KEYS, "seq", "captured_at", "event_type", "response_code", "body"), at).filter(
         "response_code = 200")
 
 
-def _path_filter(df: DataFrame, resource: str | None, namespace: str | None) -> DataFrame:
+def path_filter(df: DataFrame, resource: str | None, namespace: str | None) -> DataFrame:
     out = with_path_cols(df)
     if resource:
         out = out.filter(F.col("resource") == resource)
@@ -59,16 +59,16 @@ def diff_captures(before: DataFrame, after: DataFrame, resource: str | None = No
         least, most = df.filter(~F.col("path").contains("?as=Table")).agg(F.min("capture_id"), F.max("capture_id")).first()
         if least != most:
             raise ValueError("diff_captures takes one capture on either side")
-    changed = diff_tables(_snapshot(before, before_at), _snapshot(after, after_at), ["path"])
-    return _path_filter(changed, resource, namespace)
+    changed = diff_tables(snapshot(before, before_at), snapshot(after, after_at), ["path"])
+    return path_filter(changed, resource, namespace)
 
 
 def diff_times(records: DataFrame, t1, t2, resource: str | None = None, namespace: str | None = None) -> DataFrame:
     """The same capture at two instants; snapshots are compared, not reconstructed state."""
     if t1 is None or t2 is None:
         raise ValueError("both times are required")
-    changed = diff_tables(_snapshot(records, t1), _snapshot(records, t2), KEYS)
-    return _path_filter(changed, resource, namespace)
+    changed = diff_tables(snapshot(records, t1), snapshot(records, t2), KEYS)
+    return path_filter(changed, resource, namespace)
 
 
 def pretty(text: str | None) -> str:

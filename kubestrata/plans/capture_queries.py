@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kubestrata.operators import change, dash, graph, keptstate, overlay, search, select, sweep, timetravel, views
+from kubestrata.operators import change, dash, digesttree, graph, keptstate, overlay, search, select, sweep, timetravel, views
 from kubestrata.operators.textindex import TextIndex
 from kubestrata.plans import adapters as ad
 from kubestrata.plans.registry import EV, POD, WORK, query, with_
@@ -222,3 +222,18 @@ def state_from_kept(spark, sf):
     ev, folder = ad.event_records(spark, sf), new_folder(spark, "kept-states")
     keptstate.keep_states(ev, folder, ["2024-01-05 00:00:00", "2024-01-10 00:00:00"])
     return keptstate.state_from_kept(ev, folder, AT).select("path", F.concat_ws("/", "obj_namespace", "name").alias("object_key"), _value().alias("value"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders),
+a AS (SELECT k, CASE WHEN k % 7 = 0 THEN p + 100 ELSE p END AS p FROM b WHERE k % 11 <> 0
+      UNION ALL SELECT k + 10000000, p FROM b WHERE k % 13 = 0)
+SELECT '/api/v1/namespaces/ns' || (COALESCE(b.k, a.k) % 25) || '/orders/o' || COALESCE(b.k, a.k) AS path, b.p AS price_before, a.p AS price_after
+FROM b FULL OUTER JOIN a ON a.k = b.k WHERE b.p IS DISTINCT FROM a.p""")
+def diff_digest_tree(spark, sf):
+    """Two captures kept with digest trees; only branches that differ are opened."""
+    before, after = new_folder(spark, "digests-before"), new_folder(spark, "digests-after")
+    digesttree.keep_snapshot(ad.order_records(spark, sf), before)
+    digesttree.keep_snapshot(ad.order_records(spark, sf, True), after)
+    price = lambda c: F.get_json_object(c, "$.price").cast("double")
+    return digesttree.diff_kept(spark, before, after).select("path", price("before").alias("price_before"), price("after").alias("price_after"))
