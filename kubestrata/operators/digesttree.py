@@ -23,7 +23,7 @@ from kubestrata.operators.change import path_filter, snapshot
 
 BRANCH = ["resource", "namespace", "bucket"]
 BUCKETS = 64
-PARTS = 256
+PARTS = 64
 PATH_DDL = ("capture_id string, path string, resource string, namespace string, bucket int, digest string, body string, part int")
 NODE_DDL = "capture_id string, resource string, namespace string, bucket int, part int, parts int, n bigint, high decimal(38,0), low decimal(38,0)"
 
@@ -31,7 +31,7 @@ NODE_DDL = "capture_id string, resource string, namespace string, bucket int, pa
 def keep_snapshot(records: DataFrame, folder: str, at=None, parts: int = PARTS) -> None:
     """Keep the snapshot at ``at`` (unset: the last one) in ``folder``.
 
-    A null or empty body counts as no content: it is kept, and equals an absent path.
+    ``parts``: about as many as there will be files. A null or empty body counts as no content: it is kept, and equals an absent path.
     """
     spark = records.sparkSession
     canon = canon_json("body")
