@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kubestrata.functions.ordered import ranked, shifted
+from kubestrata.functions.ordered import ranked, salted_join, shifted
 from kubestrata.functions.paths import list_path, with_path_cols
 from kubestrata.functions.scalars import at_literal, canon_json, in_window
 from kubestrata.operators.health import classify
@@ -279,7 +279,8 @@ def timeline(events: DataFrame, polled: DataFrame | None = None, cluster: bool =
         parent = F.when(F.col("_namespace") != "", list_path(*gvr)).otherwise(F.col("path"))
         ev = ev.withColumn("target", parent).drop(*gvr, "_namespace")
         exact = ev.filter("target = path").select("capture_id", "target").distinct().withColumn("_own", F.lit(True))
-        ev = ev.join(exact, ["capture_id", "target"], "left").filter(
+        # salted: the list above all namespaces may be the target of every row
+        ev = salted_join(ev, exact, ["capture_id", "target"], ["path", "seq"], "left").filter(
             F.col("_own").isNull() | (F.col("target") == F.col("path"))).drop("_own")
     else:
         ev = ev.withColumn("target", F.col("path"))
