@@ -44,7 +44,7 @@ BLOCK_CLASSES, BLOCK_GRAMS = 256, 1 << 20
 #: Columns of one matrix product.
 COLUMNS = 4096
 SALTS = 16
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_MINIMA) -> tuple[int, int]:

@@ -33,7 +33,7 @@ FEATURES = [
 THRESHOLD = 0.3
 #: Weight of the pooled covariance and of the identity in a class covariance.
 TO_POOLED, TO_IDENTITY = 0.5, 0.1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _class(characters: str) -> np.ndarray:
