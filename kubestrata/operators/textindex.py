@@ -1,9 +1,10 @@
 """A positional trigram index over the string leaves of objects, and searches that read only what may match.
 
 Bodies are known by their digest, so a body is decoded and indexed once however many captures, paths and times hold it, and the
-index serves any instant. Three tables lie below a folder: ``bodies`` (digest), ``leaves`` (digest, leaf, field, text) and ``grams``
-(gram, digest, leaf, place): every three characters of a text with their place. ``grams`` is range-partitioned and sorted, so a
-search opens the files and row groups of its trigrams alone; a very common trigram is many files.
+index serves any instant. Three tables lie below a folder: ``bodies`` (digest), ``leaves`` (digest, leaf, field, text) and ``postings``
+(gram, digest, leaf, places): every three characters of a text with their places there. Postings are made where the texts lie and
+are not shuffled: each file is a segment, sorted by trigram, of which a search reads the row groups of its trigrams alone, and a very
+common trigram is in all of them.
 
 A literal, and what a regular expression must contain, becomes an and/or of literals. A literal is in a leaf where all its
 trigrams lie at their distances from one start. Leaves so found are candidates: their texts are matched exactly. A pattern that requires
@@ -14,9 +15,13 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +29,41 @@ from pyspark.sql import functions as F
 from kubestrata.functions.variants import string_leaves
 
 GRAM = 3
+SLICE_CHARS = 1 << 20
 
 
 def body_digest(obj) -> Column:
     return F.unhex(F.md5(obj))
 
 
-def grams(text) -> tuple[Column, Column]:
-    """(the characters, to be named ``_c``; array<struct<gram, place>> of ``_c``); linear in the text."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    places = F.sequence(F.lit(0), F.size("_c") - GRAM)
-    at = F.transform(places, lambda i: F.struct(F.concat(*[F.get(F.col("_c"), i + k) for k in range(GRAM)]).alias("gram"), i.alias("place")))
-    return chars, F.when(F.size("_c") >= GRAM, at)
+def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, digest, leaf, places) of rows (digest, leaf, text), sorted by gram within at most ``SLICE_CHARS`` of text or one text."""
+    for batch in batches:
+        size = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // SLICE_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            chars = np.frombuffer("".join(batch.column("text").slice(a, b - a).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+            if len(chars) < GRAM:
+                continue
+            end = np.cumsum(size[a:b])
+            owner = np.repeat(np.arange(b - a), size[a:b])[: 1 - GRAM]
+            first = np.arange(len(owner))
+            inside = first + GRAM <= end[owner]
+            code = (chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])[inside]  # a character has 21 bits: codes sort as texts do
+            owner, place = owner[inside], (first - (end - size[a:b])[owner])[inside]
+            if not len(code):
+                continue
+            order = np.argsort(code, kind="stable")
+            code, owner, place = code[order], owner[order], place[order].astype(np.int32)
+            new = np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])
+            at = np.flatnonzero(new)
+            known, which = np.unique(code[at], return_inverse=True)
+            names = pa.array([chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in known.tolist()], pa.string())
+            rows = pa.array(owner[at] + a)
+            lists = pa.ListArray.from_arrays(np.append(at, len(code)).astype(np.int32), place)
+            yield pa.RecordBatch.from_pydict({"gram": names.take(pa.array(which)), "digest": batch.column("digest").take(rows),
+                                              "leaf": batch.column("leaf").take(rows), "places": lists})
 
 
 # --------------------------------------------------------------- what a pattern requires
@@ -132,9 +160,9 @@ class TextIndex:
         reader = self.spark.read.schema(f"{ddl}, batch string")
         try:
             done = [r["batch"] for r in self.spark.read.schema("digest binary, batch string").parquet(f"{self.path}/bodies").select("batch").distinct().collect()]
-            return reader.parquet(f"{self.path}/{name}").filter(F.col("batch").isin(done)).drop("batch")  # whole batches only
         except AnalysisException:  # nothing was added yet
             return self.spark.createDataFrame([], ddl)
+        return reader.parquet(f"{self.path}/{name}").filter(F.col("batch").isin(done)).drop("batch")  # whole batches only
 
     def bodies(self) -> DataFrame:
         return self._table("bodies", "digest binary")
@@ -143,7 +171,10 @@ class TextIndex:
         return self._table("leaves", "digest binary, leaf long, field string, text string")
 
     def grams(self) -> DataFrame:
-        return self._table("grams", "gram string, digest binary, leaf long, place int")
+        return self._postings().select("gram", "digest", "leaf", F.explode("places").alias("place"))
+
+    def _postings(self) -> DataFrame:
+        return self._table("postings", "gram string, digest binary, leaf long, places array<int>")
 
     def add(self, objects: DataFrame) -> TextIndex:
         """Index the bodies of ``objects`` (column ``obj``) that are not there yet. One writer at a time."""
@@ -151,12 +182,10 @@ class TextIndex:
         batch = f"batch={uuid.uuid4().hex}"
         found = string_leaves(new, "obj").select("digest", F.xxhash64("field").alias("leaf"), "field", "text")
         fresh = f"{self.path}/leaves/{batch}"
-        found.repartitionByRange("digest").sortWithinPartitions("digest").write.mode("overwrite").parquet(fresh)
+        found.write.mode("overwrite").parquet(fresh)
         leaves = self.spark.read.schema(found.schema).parquet(fresh)
-        chars, at = grams("text")
-        rows = leaves.select("digest", "leaf", chars.alias("_c")).select("digest", "leaf", F.explode(at).alias("g"))
-        rows.select("g.gram", "digest", "leaf", "g.place").repartitionByRange("gram", "digest").sortWithinPartitions(
-            "gram", "digest", "leaf", "place").write.mode("overwrite").parquet(f"{self.path}/grams/{batch}")
+        made = leaves.select("digest", "leaf", "text").mapInArrow(postings, "gram string, digest binary, leaf long, places array<int>")
+        made.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.path}/postings/{batch}")
         # last, as its rows say that a body is indexed
         objects.select(body_digest("obj").alias("digest")).distinct().join(self.bodies(), "digest", "left_anti").write.mode(
             "overwrite").parquet(f"{self.path}/bodies/{batch}")
