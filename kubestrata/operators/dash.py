@@ -15,8 +15,10 @@ from kubestrata.operators.health import parse_pods
 from kubestrata.operators.select import get_object
 from kubestrata.operators.timetravel import explode_items, latest_at, namespace_counts
 from kubestrata.schema import (
-    BAD_WAITING_REASONS, CONFIG_DDL, POD_CARDS_DDL, POD_META_DDL, POD_MOUNTS_DDL, PREFERRED_TILES, VIRTUAL_MACHINES, WORKLOAD_DDL, WORKLOADS,
+    BAD_WAITING_REASONS, CONFIG_DDL, POD_CARDS_DDL, POD_HEADLINE_DDL, POD_META_DDL, POD_MOUNTS_DDL, POD_ROWS_DDL,
+    PREFERRED_TILES, VIRTUAL_MACHINES, WORKLOAD_DDL, WORKLOADS,
 )
+from kubestrata.session import written
 
 KEYS = ["capture_id", "path"]
 GVR = ["group", "version", "resource"]
@@ -210,7 +212,7 @@ def severity_order(severity) -> Column:
 
 def pod_rows(objects: DataFrame, at) -> DataFrame:
     """Pods of namespaced lists: phase, status, severity, ready n/m, restarts, age, labels; worst first."""
-    p = parse_pods(objects).filter("namespace <> '' AND name <> ''")
+    p = parse_pods(objects, POD_ROWS_DDL).filter("namespace <> '' AND name <> ''")
     h = lambda f: F.col(f"health.{f}")
     ill = F.size("health.issues") > 0
     partly = (h("phase") == "Running") & (h("ready") < h("total"))
@@ -218,10 +220,11 @@ def pod_rows(objects: DataFrame, at) -> DataFrame:
     status = F.when(ill, F.get(h("issues"), F.lit(0))).when(partly, "NotReady").otherwise(h("phase"))
     ratio = F.concat(h("ready").cast("string"), F.lit("/"), h("total").cast("string"))
     age = age_text(rfc3339(F.col("pod.metadata.creationTimestamp")), at_literal(at))
-    return p.select("capture_id", "namespace", "name", h("phase").alias("phase"), status.alias("status"),
+    rows = p.select("capture_id", "namespace", "name", h("phase").alias("phase"), status.alias("status"),
                     severity.alias("severity"), ratio.alias("ready"), h("restarts").alias("restarts"), age.alias("age"),
-                    ill.alias("unhealthy"), F.col("pod.metadata.labels").alias("labels")).orderBy(
-        severity_order("severity"), "namespace", "name")
+                    ill.alias("unhealthy"), F.col("pod.metadata.labels").alias("labels"))
+    # a sort reads its rows twice, for the borders of its ranges first: pods are decoded once
+    return written(rows, "pod-rows").orderBy(severity_order("severity"), "namespace", "name")
 
 
 _WORKLOAD_KINDS = {"deployments": "Deployment", "statefulsets": "StatefulSet", "daemonsets": "DaemonSet",
@@ -301,7 +304,7 @@ def object_detail(objects: DataFrame, path: str, name: str) -> DataFrame:
 
 def pod_headline(objects: DataFrame, at) -> DataFrame:
     """Severity, reason, subtitle and key facts per pod."""
-    p = parse_pods(objects)
+    p = parse_pods(objects, POD_HEADLINE_DDL)
     h = lambda f: F.col(f"health.{f}")
     ill, partly = F.size("health.issues") > 0, h("ready") < h("total")
     reason = F.when(ill, F.get(h("issues"), F.lit(0))).when(partly, "Some containers not ready").otherwise("")

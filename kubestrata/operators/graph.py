@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kubestrata.functions.scalars import blank
-from kubestrata.schema import POD_MOUNTS_DDL, VOLUME_DDL
+from kubestrata.schema import POD_REFS_DDL, VOLUME_DDL
 
 _OWNERS = "metadata struct<name: string, ownerReferences: array<struct<kind: string, name: string, apiVersion: string>>>"
 
@@ -51,7 +51,7 @@ def mount_edges(pods: DataFrame) -> DataFrame:
     """pod -> configmap / secret / claim, distinct per pod row; no shuffle."""
     keys = ["capture_id", "namespace", "name"]
     # one-row generator: the parse is not repeated for each of the three kinds
-    parsed = pods.select(*keys, F.explode(F.array(F.from_json("obj", POD_MOUNTS_DDL))).alias("_p"))
+    parsed = pods.select(*keys, F.explode(F.array(F.from_json("obj", POD_REFS_DDL))).alias("_p"))
     rows = parsed.select(*keys, F.inline(mounts_of(F.col("_p"))))
     return rows.select(*keys, "kind", F.explode("targets").alias("target"))
 
