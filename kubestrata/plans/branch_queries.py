@@ -8,7 +8,7 @@ from kubestrata.operators import shape, timetravel
 from kubestrata.plans import adapters as ad
 from kubestrata.plans.registry import EV, POD, WORK, query, with_
 from kubestrata.plans.shape_queries import _CAT, _discovery
-from kubestrata.session import new_folder
+from kubestrata.session import new_folder, written
 from kubestrata.sources import records as rec
 from kubestrata.streaming import landing
 
@@ -68,7 +68,7 @@ def manifest_config(spark, sf):
 SELECT ns AS namespace, name AS pod, container, 'no log of ' || container AS reason FROM t ORDER BY ns, name, container LIMIT 20""")
 def log_failures(spark, sf):
     """The report's first twenty failures with their reasons."""
-    targets = shape.log_targets(ad.pods(spark, sf)).drop("pos")
+    targets = written(shape.log_targets(ad.pods(spark, sf)).drop("pos"), "log-targets")  # on both sides
     main = F.col("container") == "main"
     results = targets.distinct().withColumns({"captured": main, "reason": F.when(~main, ad.txt("no log of ", F.col("container")))})
     return shape.log_coverage(targets, results)[1].select("namespace", "pod", "container", "reason")
