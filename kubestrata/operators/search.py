@@ -12,6 +12,7 @@ from kubestrata.functions.variants import string_leaves
 from kubestrata.operators.textindex import TextIndex, body_digest
 from kubestrata.operators.timetravel import latest_at
 from kubestrata.schema import BAD_EVENT_REASONS, EVENT_DDL
+from kubestrata.session import written
 
 SNIPPET_BYTES = 40
 MATCH_COLUMNS = ["capture_id", "path", "group", "version", "resource", "namespace", "name"]
@@ -110,7 +111,9 @@ def search_text(objects: DataFrame, pattern: str, regex: bool = False, resource:
     known = search_strings(index.to_match(pattern, regex), "text", pattern, regex)
     holders = rows.select(*MATCH_COLUMNS, body_digest("obj").alias("digest"))
     old = holders.join(known, "digest").select(*MATCH_COLUMNS, "field", "snippet", "byte_start")
-    new = rows.withColumn("digest", body_digest("obj")).join(index.bodies(), "digest", "left_anti").drop("digest")
+    # told by digests alone: most often there are none, and bodies need not be shuffled to learn that
+    unknown = written(holders.select("digest").distinct().join(index.bodies(), "digest", "left_anti"), "unknown-bodies")
+    new = rows.withColumn("digest", body_digest("obj")).join(unknown, "digest", "left_semi").drop("digest")
     return old.unionByName(search_text(new, pattern, regex))
 
 

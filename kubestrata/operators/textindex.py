@@ -1,10 +1,11 @@
 """A positional trigram index over the string leaves of objects, and searches that read only what may match.
 
 Bodies are known by their digest, so a body is decoded and indexed once however many captures, paths and times hold it, and the
-index serves any instant. Three tables lie below a folder: ``bodies`` (digest), ``leaves`` (digest, leaf, field, text) and ``postings``
-(gram, digest, leaf, places): every three characters of a text with their places there. Postings are made where the texts lie and
-are not shuffled: each file is a segment, sorted by trigram, of which a search reads the row groups of its trigrams alone, and a very
-common trigram is in all of them.
+index serves any instant. Three tables lie below a folder: ``indexed`` (digest), ``leaves`` (digest, leaf, field, text) and ``segments``:
+every three characters of a text with their places there, cut into segments of some texts each. A segment is a row for each of its
+trigrams, in their order, and before them a row that tells which leaves lie where (see ``segments``). It is made where the texts lie,
+without a shuffle or a sort of rows, and a search reads the pages of its trigrams alone. ``digests`` and ``again`` are left over from
+adding, some 20 bytes a body. An index of the earlier layout (``bodies``, ``postings``) counts as empty.
 
 A literal, and what a regular expression must contain, becomes an and/or of literals. A literal is in a leaf where all its
 trigrams lie at their distances from one start. Leaves so found are candidates: their texts are matched exactly. A pattern that requires
@@ -26,44 +27,70 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kubestrata.functions.variants import string_leaves
+from kubestrata.functions.variants import deepest, string_leaves
 
 GRAM = 3
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
+#: Characters of a segment that are looked up together: a leaf is listed once for each run of so many that it touches.
+REACH = 1 << 12
+WRAP = 0xFFFFFFFF
+SEGMENTS = "gram string, segment binary, base int, places array<int>, digests array<binary>, leaves array<long>"
+#: Places grow along a file, so their differences are packed into few bits; short pages let a search skip other trigrams.
+PACKED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "512"}
 
 
 def body_digest(obj) -> Column:
     return F.unhex(F.md5(obj))
 
 
-def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, digest, leaf, places) of rows (digest, leaf, text), sorted by gram within at most ``SLICE_CHARS`` of text or one text."""
+def _order(code: np.ndarray) -> np.ndarray:
+    """What sorts ``code`` (not negative), equal ones as they lie: 16 bits at a time, which numpy sorts by counting."""
+    order = np.argsort(code.astype(np.uint16), kind="stable")
+    for shift in range(16, int(code.max()).bit_length(), 16):
+        order = order[np.argsort((code[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of rows (digest, leaf, text), of at most ``SLICE_CHARS`` of text and one text.
+
+    The texts of a segment lie behind one another. Its row of gram "" has the digests and leaves of those with a trigram, their
+    first places and, last, the end; the others have the places of one trigram. A place is a member of ``places`` less ``base``,
+    modulo 2^32: each row goes on where the one before ended.
+    """
     for batch in batches:
+        batch = batch.filter(pc.greater_equal(pc.utf8_length(batch.column("text")), GRAM))
         size = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(size) - size) // SLICE_CHARS
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)] if len(size) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            chars = np.frombuffer("".join(batch.column("text").slice(a, b - a).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
-            if len(chars) < GRAM:
-                continue
-            end = np.cumsum(size[a:b])
-            owner = np.repeat(np.arange(b - a), size[a:b])[: 1 - GRAM]
-            first = np.arange(len(owner))
-            inside = first + GRAM <= end[owner]
-            code = (chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])[inside]  # a character has 21 bits: codes sort as texts do
-            owner, place = owner[inside], (first - (end - size[a:b])[owner])[inside]
-            if not len(code):
-                continue
-            order = np.argsort(code, kind="stable")
-            code, owner, place = code[order], owner[order], place[order].astype(np.int32)
-            new = np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])
-            at = np.flatnonzero(new)
-            known, which = np.unique(code[at], return_inverse=True)
-            names = pa.array([chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in known.tolist()], pa.string())
-            rows = pa.array(owner[at] + a)
-            lists = pa.ListArray.from_arrays(np.append(at, len(code)).astype(np.int32), place)
-            yield pa.RecordBatch.from_pydict({"gram": names.take(pa.array(which)), "digest": batch.column("digest").take(rows),
-                                              "leaf": batch.column("leaf").take(rows), "places": lists})
+            chars = np.frombuffer("".join(batch.column("text").slice(a, b - a).to_pylist()).encode("utf-32-le"), np.uint32)
+            known = np.flatnonzero(np.bincount(chars))  # few characters make short codes, which sort as their texts do
+            number = np.zeros(int(known[-1]) + 1, np.int64)
+            number[known] = np.arange(len(known))
+            chars = number[chars]
+            code = (chars[:-2] * len(known) + chars[1:-1]) * len(known) + chars[2:]
+            bounds = np.append(0, np.cumsum(size[a:b]))
+            inside = np.ones(len(code), bool)  # not over the border of two texts
+            inside[bounds[1:-1] - 1] = inside[bounds[1:-1] - 2] = False
+            place = np.flatnonzero(inside)
+            code = code[place]
+            order = _order(code)
+            code, place = code[order], np.concatenate([bounds, place[order]])
+            at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            first = np.concatenate([[0], len(bounds) + at])
+            step = np.diff(place, prepend=0)
+            step[first] = place[first] + 1
+            kept = np.cumsum(step)
+            low = lambda v: pa.array((v & WRAP).astype(np.uint32).view(np.int32))
+            text = lambda c: "".join(chr(known[x]) for x in (c // len(known) ** 2, c // len(known) % len(known), c % len(known)))
+            rows, listed = len(first), np.append(0, np.full(len(first), b - a)).astype(np.int32)
+            lists = lambda name: pa.ListArray.from_arrays(listed, batch.column(name).slice(a, b - a))
+            only = pa.array([True] + [False] * (rows - 1))
+            yield pa.RecordBatch.from_pydict({
+                "gram": pa.array(["", *map(text, code[at].tolist())], pa.string()), "segment": pa.array([uuid.uuid4().bytes] * rows, pa.binary()),
+                "base": low(kept[first] - place[first]), "places": pa.ListArray.from_arrays(np.append(first, len(place)).astype(np.int32), low(kept)),
+                "digests": pc.if_else(only, lists("digest"), None), "leaves": pc.if_else(only, lists("leaf"), None)})
 
 
 # --------------------------------------------------------------- what a pattern requires
@@ -149,6 +176,10 @@ def _holds(need: Need, has) -> Column:
 
 # ------------------------------------------------------------------------ the index
 
+def _place(kept: Column) -> Column:
+    return (kept.cast("long") - F.col("base")).bitwiseAND(F.lit(WRAP))
+
+
 @dataclass
 class TextIndex:
     """The index below ``path``; ``add`` creates it."""
@@ -159,36 +190,64 @@ class TextIndex:
     def _table(self, name: str, ddl: str) -> DataFrame:
         reader = self.spark.read.schema(f"{ddl}, batch string")
         try:
-            done = [r["batch"] for r in self.spark.read.schema("digest binary, batch string").parquet(f"{self.path}/bodies").select("batch").distinct().collect()]
+            done = [r["batch"] for r in self.spark.read.schema("digest binary, batch string").parquet(f"{self.path}/indexed").select("batch").distinct().collect()]
         except AnalysisException:  # nothing was added yet
             return self.spark.createDataFrame([], ddl)
         return reader.parquet(f"{self.path}/{name}").filter(F.col("batch").isin(done)).drop("batch")  # whole batches only
 
     def bodies(self) -> DataFrame:
-        return self._table("bodies", "digest binary")
+        return self._table("indexed", "digest binary")
 
     def leaves(self) -> DataFrame:
         return self._table("leaves", "digest binary, leaf long, field string, text string")
 
+    def _segments(self) -> DataFrame:
+        return self._table("segments", SEGMENTS)
+
+    def _found(self, grams: list[str] | None = None) -> DataFrame:
+        """(gram, segment, place in the segment) of all or of some trigrams."""
+        rows = self._segments().filter(F.col("gram") != "" if grams is None else F.col("gram").isin(grams))
+        return rows.select("gram", "segment", "base", F.explode("places").alias("kept")).select("gram", "segment", _place(F.col("kept")).alias("place"))
+
+    def _located(self, places: DataFrame) -> DataFrame:
+        """``places`` (segment, place, other columns) with digest, leaf and the ``place`` in the leaf."""
+        lists = self._segments().filter("gram = ''").withColumn("at", F.transform("places", _place))
+        first, end = (F.slice("at", F.lit(n), F.size("digests")) for n in (1, 2))
+        leaves = lists.select("segment", F.inline(F.arrays_zip(
+            F.col("digests").alias("digest"), F.col("leaves").alias("leaf"), first.alias("first"), end.alias("end"))))
+        reached = leaves.withColumn("reach", F.explode(F.sequence(F.expr(f"first div {REACH}"), F.expr(f"(end - 1) div {REACH}"))))
+        met = places.withColumn("reach", F.expr(f"place div {REACH}")).join(reached, ["segment", "reach"]).filter("place >= first AND place < end")
+        return met.withColumn("place", (F.col("place") - F.col("first")).cast("int")).drop("segment", "reach", "first", "end")
+
     def grams(self) -> DataFrame:
-        return self._postings().select("gram", "digest", "leaf", F.explode("places").alias("place"))
+        return self._located(self._found()).select("gram", "digest", "leaf", "place")
 
     def _postings(self) -> DataFrame:
-        return self._table("postings", "gram string, digest binary, leaf long, places array<int>")
+        return self.grams().groupBy("gram", "digest", "leaf").agg(F.sort_array(F.collect_list("place")).alias("places"))  # at most a leaf's places
 
     def add(self, objects: DataFrame) -> TextIndex:
-        """Index the bodies of ``objects`` (column ``obj``) that are not there yet. One writer at a time."""
-        new = objects.select(body_digest("obj").alias("digest"), "obj").dropDuplicates(["digest"]).join(self.bodies(), "digest", "left_anti")
+        """Index the bodies of ``objects`` (column ``obj``) that are not there yet. One writer at a time.
+
+        Which bodies come again or are known is settled by their digests, so a body that comes once stays where it lies.
+        """
         batch = f"batch={uuid.uuid4().hex}"
-        found = string_leaves(new, "obj").select("digest", F.xxhash64("field").alias("leaf"), "field", "text")
-        fresh = f"{self.path}/leaves/{batch}"
-        found.write.mode("overwrite").parquet(fresh)
-        leaves = self.spark.read.schema(found.schema).parquet(fresh)
-        made = leaves.select("digest", "leaf", "text").mapInArrow(postings, "gram string, digest binary, leaf long, places array<int>")
-        made.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.path}/postings/{batch}")
+        given = objects.select(body_digest("obj").alias("digest"), "obj")
+
+        def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
+            df.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}/{batch}")
+            return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/{batch}")
+
+        known = F.coalesce("known", F.lit(False)).alias("known")
+        digests = kept(given.groupBy("digest").agg(F.count("*").alias("n")).join(
+            self.bodies().select("digest", F.lit(True).alias("known")).distinct(), "digest", "left").select("digest", "n", known), "digests")
+        again = kept(digests.filter("n > 1 OR known").select("digest", "known"), "again")
+        new = given.join(again, "digest", "left_anti").unionByName(
+            given.join(again.filter("NOT known").select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
+        found = string_leaves(new, "obj", deepest(objects, "obj")).select("digest", F.xxhash64("field").alias("leaf"), "field", "text")
+        leaves = kept(found, "leaves", compression="zstd")
+        kept(leaves.select("digest", "leaf", "text").mapInArrow(segments, SEGMENTS), "segments", **PACKED)
         # last, as its rows say that a body is indexed
-        objects.select(body_digest("obj").alias("digest")).distinct().join(self.bodies(), "digest", "left_anti").write.mode(
-            "overwrite").parquet(f"{self.path}/bodies/{batch}")
+        kept(digests.filter("NOT known").select("digest"), "indexed")
         return self
 
     def candidates(self, pattern: str, regex: bool = False) -> DataFrame | None:
@@ -204,10 +263,11 @@ class TextIndex:
         uses = F.create_map(*[x for g, at in of.items() for x in (
             F.lit(g), F.array(*[F.struct(F.lit(n).alias("lit"), F.lit(p).alias("off")) for n, p in at]))])
         size = F.create_map(*[x for n, t in enumerate(texts) for x in (F.lit(n), F.lit(len(t) - GRAM + 1))])
-        hits = self.grams().filter(F.col("gram").isin(list(of))).select("digest", "leaf", "place", F.explode(F.element_at(uses, F.col("gram"))).alias("u"))
-        whole = hits.groupBy("digest", "leaf", F.col("u.lit").alias("lit"), (F.col("place") - F.col("u.off")).alias("start")).agg(
-            F.count_distinct("u.off").alias("n")).filter(F.col("n") == F.element_at(size, F.col("lit")))
-        held = whole.groupBy("digest", "leaf").agg(F.collect_set("lit").alias("lits"))  # at most the pattern's literals
+        hits = self._found(list(of)).select("segment", "place", F.explode(F.element_at(uses, F.col("gram"))).alias("u"))
+        # neighbouring trigrams share two characters, so those in a row from one start are in one leaf
+        whole = hits.groupBy("segment", F.col("u.lit").alias("lit"), (F.col("place") - F.col("u.off")).alias("place")).agg(
+            F.count("*").alias("n")).filter(F.col("n") == F.element_at(size, F.col("lit")))
+        held = self._located(whole).groupBy("digest", "leaf").agg(F.collect_set("lit").alias("lits"))  # at most the pattern's literals
         return held.filter(_holds(need, lambda t: F.array_contains("lits", texts.index(t)))).select("digest", "leaf")
 
     def to_match(self, pattern: str, regex: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kubestrata import schema
 from kubestrata.llm import near_copies, quality
-from kubestrata.operators import dash, graph, health, shape
+from kubestrata.operators import dash, graph, health, search, shape, textindex
 from kubestrata.operators.textindex import TextIndex
 from kubestrata.plans import all_queries
 
@@ -52,6 +52,66 @@ def test_index_keeps_one_posting_per_leaf_with_all_places(spark, tmp_path):
     assert sorted((r["gram"], r["place"]) for r in index.grams().select("gram", "place").collect()) == want
 
 
+def test_segments_hold_every_place_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    wide = "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 5000, 100_000).tolist()))  # so many trigrams that places wrap at 2^32
+    texts = ["abcabc", "ab", "", "é😀xé😀x", wide, "abc", "def" * 50, "xyz"]
+    monkeypatch.setattr(textindex, "SLICE_CHARS", 100)
+    batch = pa.RecordBatch.from_pydict({"digest": pa.array([b"%d" % n for n in range(len(texts))]), "leaf": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    got, pieces = [], list(textindex.segments(iter([batch, batch.slice(0, 0)])))
+    for piece in pieces:
+        lists, *rows = piece.to_pylist()
+        place = lambda r: [(v - r["base"]) % 2**32 for v in r["places"]]
+        *first, end = place(lists)
+        assert lists["gram"] == "" and [r["gram"] for r in rows] == sorted({r["gram"] for r in rows}) and end == sum(len(texts[n]) for n in lists["leaves"])
+        assert [b"%d" % n for n in lists["leaves"]] == lists["digests"] and {r["segment"] for r in rows} == {lists["segment"]}
+        for r in rows:
+            for at in place(r):
+                n = int(np.searchsorted(first, at, "right")) - 1
+                got.append((lists["leaves"][n], at - first[n], r["gram"]))
+    assert len(pieces) == 3 and sorted(got) == sorted((n, i, t[i : i + 3]) for n, t in enumerate(texts) for i in range(len(t) - 2))
+
+
+@pytest.fixture
+def prose(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(300)]
+    rows = [("c", "p", "", "v1", "pods", "ns", f"p{n}", True, "ns", json.dumps({"t": " ".join(rng.choice(words, 1500)) + (" needle" if n % 10 == 0 else "")})) for n in range(30)]
+    names = "capture_id string, path string, group string, version string, resource string, namespace string, name string, decodable boolean, obj_namespace string, obj string"
+    return spark.createDataFrame(rows, names)
+
+
+def test_index_and_search_leave_little_on_disk(spark, prose, tmp_path):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    size, before = sum(len(r["obj"]) for r in prose.collect()), shuffled()
+    moved = lambda: sum(n for name, n in shuffled().items() if name not in before)
+    index = TextIndex(spark, str(tmp_path / "index")).add(prose)
+    assert moved() < size / 8  # no body is shuffled
+    assert sorted(r["name"] for r in search.search_text(prose, "needle", index=index).collect()) == ["p0", "p10", "p20"]
+    assert moved() < size / 8
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2.3 * size
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_bodies_that_come_again_are_indexed_once(spark, tmp_path, broadcast):
+    bodies = lambda *texts: spark.createDataFrame([(None if t is None else json.dumps({"t": t, "u": "def"}),) for t in texts], "obj string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        index = TextIndex(spark, str(tmp_path / "index")).add(bodies("abc", "abc", "needle", "xabc", None, None)).add(bodies("needle", "abc", "new", "new", "other"))
+        assert sorted(r["text"] for r in index.leaves().collect()) == sorted(["abc", "needle", "xabc", "new", "other"] + ["def"] * 5)
+        assert index.bodies().filter("digest IS NOT NULL").count() == 5
+        places = sorted((r["gram"], r["place"]) for r in index.grams().collect())
+        assert places == sorted((t[i : i + 3], i) for t in ["abc", "needle", "xabc", "new", "other"] + ["def"] * 5 for i in range(len(t) - 2))
+        assert index.candidates("abcdef").count() == index.candidates("cde").count() == 0  # two texts side by side are not one
+        assert index.candidates("abc").count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_pod_rows_are_decoded_once_before_their_sort(pods):
     rows = dash.pod_rows(pods, AT)
     assert "from_json" not in plan(rows)
