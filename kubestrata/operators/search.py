@@ -9,7 +9,7 @@ from kubestrata.functions import jsonpath
 from kubestrata.functions.paths import log_path_cols
 from kubestrata.functions.scalars import blank, first_non_empty, rfc3339
 from kubestrata.functions.variants import string_leaves
-from kubestrata.operators.textindex import TextIndex, body_digest
+from kubestrata.operators.textindex import TextIndex, body_digest, may_be_among
 from kubestrata.operators.timetravel import latest_at
 from kubestrata.schema import BAD_EVENT_REASONS, EVENT_DDL
 from kubestrata.session import written
@@ -113,7 +113,7 @@ def search_text(objects: DataFrame, pattern: str, regex: bool = False, resource:
     old = holders.join(known, "digest").select(*MATCH_COLUMNS, "field", "snippet", "byte_start")
     # told by digests alone: most often there are none, and bodies need not be shuffled to learn that
     unknown = written(holders.select("digest").distinct().join(index.bodies(), "digest", "left_anti"), "unknown-bodies")
-    new = rows.withColumn("digest", body_digest("obj")).join(unknown, "digest", "left_semi").drop("digest")
+    new = rows.withColumn("digest", body_digest("obj")).filter(may_be_among(unknown)).join(unknown, "digest", "left_semi").drop("digest")
     return old.unionByName(search_text(new, pattern, regex))
 
 

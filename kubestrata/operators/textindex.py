@@ -34,6 +34,8 @@ SLICE_CHARS = 1 << 21
 #: Characters of a segment that are looked up together: a leaf is listed once for each run of so many that it touches.
 REACH = 1 << 12
 WRAP = 0xFFFFFFFF
+#: Bits that digests are marked in, and those of one ``bitmap_construct_agg``.
+MARKS, MARKED = 1 << 23, 1 << 15
 SEGMENTS = "gram string, segment binary, base int, places array<int>, digests array<binary>, leaves array<long>"
 #: Places grow along a file, so their differences are packed into few bits; short pages let a search skip other trigrams.
 PACKED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "512"}
@@ -43,6 +45,20 @@ def body_digest(obj) -> Column:
     return F.unhex(F.md5(obj))
 
 
+def may_be_among(digests: DataFrame) -> Column:
+    """A filter on ``digest`` that is false only for what is not in ``digests``: 1 MB of bits, however many they are.
+
+    A join behind it shuffles few of the bodies that have no match.
+    """
+    at = F.pmod(F.xxhash64("digest"), F.lit(MARKS))
+    marks = digests.select(at.alias("at")).groupBy(F.expr(f"at div {MARKED}").alias("page")).agg(
+        F.bitmap_construct_agg(F.col("at") % MARKED).alias("bits"))
+    held = marks.agg(F.map_from_entries(F.collect_list(F.struct("page", "bits"))).alias("held"))  # at most MARKS / MARKED pages
+    pages = held.select(F.transform(F.sequence(F.lit(0), F.lit(MARKS // MARKED - 1)), lambda n: F.try_element_at("held", n.cast("long")))).scalar()
+    byte = F.substring(F.get(pages, F.floor(at / MARKED).cast("int")), (F.floor(at / 8) % (MARKED // 8) + 1).cast("int"), F.lit(1))
+    return F.coalesce(F.bit_get(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1, F.lit(False))
+
+
 def _order(code: np.ndarray) -> np.ndarray:
     """What sorts ``code`` (not negative), equal ones as they lie: 16 bits at a time, which numpy sorts by counting."""
     order = np.argsort(code.astype(np.uint16), kind="stable")
@@ -241,8 +257,12 @@ class TextIndex:
         digests = kept(given.groupBy("digest").agg(F.count("*").alias("n")).join(
             self.bodies().select("digest", F.lit(True).alias("known")).distinct(), "digest", "left").select("digest", "n", known), "digests")
         again = kept(digests.filter("n > 1 OR known").select("digest", "known"), "again")
-        new = given.join(again, "digest", "left_anti").unionByName(
-            given.join(again.filter("NOT known").select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
+        new = given
+        if not again.isEmpty():
+            marked = may_be_among(again)
+            doubtful = given.filter(marked)
+            new = given.filter(~marked).unionByName(doubtful.join(again, "digest", "left_anti")).unionByName(
+                doubtful.join(again.filter("NOT known").select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
         found = string_leaves(new, "obj", deepest(objects, "obj")).select("digest", F.xxhash64("field").alias("leaf"), "field", "text")
         leaves = kept(found, "leaves", compression="zstd")
         kept(leaves.select("digest", "leaf", "text").mapInArrow(segments, SEGMENTS), "segments", **PACKED)

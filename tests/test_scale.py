@@ -95,6 +95,13 @@ def test_index_and_search_leave_little_on_disk(spark, prose, tmp_path):
     assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2.3 * size
 
 
+def test_marks_miss_no_digest_and_few_others(spark):
+    given = spark.range(4000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("digest"), "id").union(spark.sql("SELECT CAST(NULL AS BINARY), -1L"))
+    marked = given.filter(textindex.may_be_among(given.filter("id % 4 = 0").select("digest")))
+    assert marked.filter("id % 4 = 0").count() == 1000 and marked.filter("id % 4 <> 0").count() < 30
+    assert given.filter(textindex.may_be_among(given.filter("id > 9999").select("digest"))).count() == 0
+
+
 @pytest.mark.parametrize("broadcast", ["10MB", "-1"])
 def test_bodies_that_come_again_are_indexed_once(spark, tmp_path, broadcast):
     bodies = lambda *texts: spark.createDataFrame([(None if t is None else json.dumps({"t": t, "u": "def"}),) for t in texts], "obj string")
